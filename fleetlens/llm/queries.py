@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .common import load
+from .mixing import mix_sources
+from .packing import pack
+from .quality import quality_filter
+from .secret_scan import scan_secrets
 from .topk import exact_top_k
+from .toxicity import score_documents
 from .url_filter import url_filter
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -17,11 +22,34 @@ def op1_exact_top_k(spark, sf_dir):
     return exact_top_k(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, k=5)
 
 
+def op2_mix_sources(spark, sf_dir):
+    return mix_sources(load(spark, sf_dir, "documents"), (3, 1, 2), 1.5, 2.0)
+
+
 def op6_url_filter(spark, sf_dir):
     return url_filter(load(spark, sf_dir, "pages"), URL_RULES, URL_BLOCKED_HOSTS)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op6_url_filter)}
+def op7_best_fit_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), room=4096, end_id=1)
+
+
+def op8_toxicity(spark, sf_dir):
+    scored = score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), ["doc_id", "lang"])
+    return scored.select("doc_id", "held_out", "score", "predicted", "threshold", "flagged")
+
+
+def op9_quality_rules(spark, sf_dir):
+    return quality_filter(load(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark, sf_dir):
+    return scan_secrets(load(spark, sf_dir, "documents"), ["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_mix_sources, op6_url_filter, op7_best_fit_packing, op8_toxicity, op9_quality_rules, op10_secret_scan)}
 
 ORACLE = {
     "op1_exact_top_k": """
@@ -31,6 +59,20 @@ ORACLE = {
               FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op2_mix_sources": """
+        WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
+                          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3.0::DOUBLE, 1.0, 2.0][(row_number() OVER (ORDER BY source COLLATE C NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+        o AS (SELECT *, 2.0 * source_size / w AS ratio, row_number() OVER (ORDER BY 2.0 * source_size / w, source) AS i FROM s),
+        l AS (SELECT *, (1.5 * (SELECT sum(source_size) FROM s) - coalesce(sum(2.0 * source_size) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                        / sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+        t AS (SELECT source, source_size, CAST(least(2.0 * source_size, w * (SELECT level FROM l WHERE level <= ratio ORDER BY i LIMIT 1)) AS DOUBLE) AS target FROM o),
+        e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+        g AS (SELECT d.source, d.h, sum(size) AS g, sum(sum(size)) OVER (PARTITION BY d.source ORDER BY d.h) AS run FROM d WHERE size > 0 GROUP BY d.source, d.h),
+        f AS (SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, e.source_size, e.target, e.epochs, g.g, g.run, e.target - e.epochs * e.source_size AS budget
+              FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source LEFT JOIN g ON g.source IS NOT DISTINCT FROM d.source AND g.h = d.h)
+        SELECT doc_id, size, source_size, target,
+               CAST(size * (epochs + CASE WHEN size > 0 AND (run <= budget OR (run - g <= budget AND g < 2 * (budget - (run - g)))) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM f""",
     "op6_url_filter": """
         WITH a AS (SELECT page_id, CASE WHEN url IS NOT NULL AND instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
         b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
