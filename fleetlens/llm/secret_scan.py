@@ -61,18 +61,18 @@ def hex_runs(text: str) -> Iterator[tuple[int, int]]:
     """Maximal runs of 24 and more [0-9a-f]: such a run covers two neighbours of every twelfth character, so only near those is looked."""
     step, end = HEX_LEAST // 2, 0
     for m in _HEX_TWO.finditer(text[::step]):
-        at = m.start() * step
-        if at < end:
-            continue
-        run = _HEX_RUN.match(text, at)
-        if run.end() - at <= step:
-            continue
-        start = at
-        while start > end and text[start - 1] in "0123456789abcdef":
-            start -= 1
-        end = run.end()
-        if end - start >= HEX_LEAST:
-            yield start, end
+        for at in range(m.start() * step, (m.end() - 1) * step, step):
+            if at < end:
+                continue
+            stop = _HEX_RUN.match(text, at).end()
+            if stop - at <= step:
+                continue
+            start = at
+            while start > end and text[start - 1] in "0123456789abcdef":
+                start -= 1
+            end = stop
+            if end - start >= HEX_LEAST:
+                yield start, end
 
 
 def automaton():
