@@ -10,6 +10,7 @@ from .packing import pack
 from .quality import quality_filter
 from .secret_scan import scan_secrets
 from .topk import exact_top_k
+from .substring_dedup import substring_dedup
 from .toxicity import score_documents
 from .url_filter import url_filter
 
@@ -26,6 +27,10 @@ def op2_mix_sources(spark, sf_dir):
     return mix_sources(load(spark, sf_dir, "documents"), (3, 1, 2), 1.5, 2.0)
 
 
+def op5_substring_dedup(spark, sf_dir):
+    return substring_dedup(load(spark, sf_dir, "documents"), window=50)
+
+
 def op6_url_filter(spark, sf_dir):
     return url_filter(load(spark, sf_dir, "pages"), URL_RULES, URL_BLOCKED_HOSTS)
 
@@ -49,7 +54,7 @@ def op10_secret_scan(spark, sf_dir):
     return scan_secrets(load(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_mix_sources, op6_url_filter, op7_best_fit_packing, op8_toxicity, op9_quality_rules, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_mix_sources, op5_substring_dedup, op6_url_filter, op7_best_fit_packing, op8_toxicity, op9_quality_rules, op10_secret_scan)}
 
 ORACLE = {
     "op1_exact_top_k": """
