@@ -8,6 +8,7 @@ from .common import load
 from .jaccard_join import jaccard_components
 from .mixing import mix_sources
 from .packing import pack
+from .pii import find_pii
 from .quality import quality_filter
 from .secret_scan import scan_secrets
 from .topk import exact_top_k
@@ -28,6 +29,10 @@ def op2_mix_sources(spark, sf_dir):
     return mix_sources(load(spark, sf_dir, "documents"), (3, 1, 2), 1.5, 2.0)
 
 
+def op3_pii(spark, sf_dir):
+    return find_pii(load(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark, sf_dir):
     return jaccard_components(load(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_secret_scan(spark, sf_dir):
     return scan_secrets(load(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_mix_sources, op4_jaccard_join, op5_substring_dedup, op6_url_filter, op7_best_fit_packing, op8_toxicity, op9_quality_rules, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_mix_sources, op3_pii, op4_jaccard_join, op5_substring_dedup, op6_url_filter, op7_best_fit_packing, op8_toxicity, op9_quality_rules, op10_secret_scan)}
 
 ORACLE = {
     "op1_exact_top_k": """
