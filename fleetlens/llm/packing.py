@@ -13,19 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_pass, within, written
+from .common import _LOWER, _SPACE, arrow_pass, column_bytes, within, written
 
 #: Words whose ids a worker keeps; the store is emptied when it is full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 _caches: dict[str, dict[bytes, bytes]] = {}
-_PUNCTUATION = b".,;:!?"
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,;:!?"]] = True
 
 
 class WordIds:
     """The ids of a text, put together from those of its words; a word's ids don't depend on its neighbours.
 
-    That holds for tokenizers whose pieces never cross white space and that drop it. Ids are little-endian unsigned
-    32-bit bytes."""
+    That holds for tokenizers whose pieces never cross white space and that drop it and the case. Ids are
+    little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -33,36 +34,54 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.cache = _caches.setdefault(path, {})
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encodes words together, each as a text of its own for the tokenizer."""
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encodes words that the store lacks. Those of ASCII letters are one piece each, so many go in one text and are told apart by the ids that end a word."""
+        cache, single = self.cache, [w for w in words if not w.isalpha()]
+        plain = [w for w in words if w.isalpha()]
+        lines = [b" ".join(plain[i : i + 256]).decode() for i in range(0, len(plain), 256)]
+        coded = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) if lines else []
+        for i, e in enumerate(coded):
+            own, ids = plain[256 * i : 256 * (i + 1)], np.array(e.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) != len(own):
+                single += own
+                continue
+            code, at = ids.tobytes(), 0
+            for w, end in zip(own, ends, strict=True):
+                cache[w] = code[at:end]
+                at = end
+        for w, e in zip(single, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in single], add_special_tokens=False) if single else [], strict=True):
+            cache[w] = np.array(e.ids, "<u4").tobytes()
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of each of the texts that lie one after the other in data."""
+        data, offsets = parted(data, offsets)
+        code = data.tobytes()
+        split = [code[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         cache = self.cache
-        if len(cache) + len(words) > CACHE_WORDS:
+        new = [w for w in set().union(*split) if w not in cache]
+        if len(cache) + len(new) > CACHE_WORDS and cache:
             cache.clear()
-        pairs, plain = [], set()
-        for w in words:
-            # letters and then a mark are pieces of their own, so words that differ in case or mark share their letters
-            core, mark = (w[:-1], w[-1:]) if w[-1:] in _PUNCTUATION and w[:-1].isalpha() else (w, b"")
-            core = core.lower() if core.isalpha() else core
-            pairs.append((w, core, mark))
-            plain.update((core, mark) if mark else (core,))
-        plain = [x for x in plain if x not in cache]
-        coded = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in plain], add_special_tokens=False)
-        for x, e in zip(plain, coded, strict=True):
-            cache[x] = np.array(e.ids, "<u4").tobytes()
-        for w, core, mark in pairs:
-            if w != core:
-                cache[w] = cache[core] + (cache[mark] if mark else b"")
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        cache = self.cache
-        new = {w for words in split for w in words if w not in cache}
-        if new:
-            self.learn(new)
-            if not all(w in cache for words in split for w in words):  # the store was emptied
-                self.learn({w for words in split for w in words if w not in cache})
-        return [b"".join([cache[w] for w in words]) for words in split]
+            new = list(set().union(*split))
+        self.learn(new)
+        return [b"".join(map(cache.__getitem__, words)) for words in split]
+
+
+def parted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with A-Z lowered and a space before a mark that follows a letter and ends its word: pieces stay as they are, and there are fewer different words. Texts that may spell a special token stay as they are."""
+    if b"<|" in data.tobytes() or not len(data):
+        return data, offsets
+    data = _LOWER[data]
+    mark, letter = _MARK[data], (data >= 97) & (data <= 122)
+    last = np.zeros(len(data), bool)
+    last[:-1] = _SPACE[data[1:]]
+    last[offsets[1:][np.diff(offsets) > 0] - 1] = True
+    split = np.flatnonzero(mark[1:] & letter[:-1] & last[1:]) + 1
+    return np.insert(data, split, 32), offsets + np.searchsorted(split, offsets)
 
 
 def tokenised(docs: DataFrame, tokenizer: str, room: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -73,10 +92,9 @@ def tokenised(docs: DataFrame, tokenizer: str, room: int, end_id: int, id_col: s
         ids, seen, pid = WordIds(tokenizer), np.zeros(room + 1, np.int64), TaskContext.get().partitionId()
 
         def step(batch: pa.RecordBatch):
-            texts = batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
             rows: list[tuple] = []
             doc: list[int] = []
-            for i, code in enumerate(ids(texts)):
+            for i, code in enumerate(ids(*column_bytes(batch.column(1)))):
                 code += end
                 for piece, at in enumerate(range(0, len(code), 4 * room)):
                     part = code[at : at + 4 * room]
