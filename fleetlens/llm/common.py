@@ -158,22 +158,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, stop: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Of the words of many texts that lie one after the other: 64-bit hashes, and n+1 offsets of each text's words.
-
-    A word is a run of bytes outside `stop`; it ends with its text."""
-    n = len(data)
-    counts = np.zeros(len(offsets), np.int64)
-    if not n:
-        return np.zeros(0, np.uint64), counts
+def word_starts(data: np.ndarray, offsets: np.ndarray, stop: np.ndarray = _SPACE) -> np.ndarray:
+    """Where words start: a word is a run of bytes outside `stop`; it ends with its text."""
+    if not len(data):
+        return np.zeros(0, np.int64)
     word = ~stop[data]
     head = word.copy()
     head[1:] &= ~word[:-1]
     first = offsets[:-1][np.diff(offsets) > 0]
     head[first] = word[first]
-    starts = np.flatnonzero(head)
+    return np.flatnonzero(head)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False, stop: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Of the words of many texts that lie one after the other: 64-bit hashes, and n+1 offsets of each text's words."""
+    n = len(data)
+    starts = word_starts(data, offsets, stop)
     if not len(starts):
-        return np.zeros(0, np.uint64), counts
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    word = ~stop[data]
     p, pi = _powers(n)
     x = _BYTE[_LOWER[data] if lower else data]
     x *= p[:n]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _SPACE, arrow_pass, column_bytes, rolling, text_of, word_hashes, written
+from .common import _SPACE, arrow_pass, column_bytes, rolling, text_of, word_hashes, word_starts, written
 
 #: Words of a window whose repeats count.
 WINDOW = 8
@@ -41,15 +41,7 @@ def text_metrics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]
     out = {"n_words": np.diff(at), "word_chars": summed(head & inside, offsets), "n_symbols": summed(_SYMBOL[data], offsets), "n_letters": summed(head & _LETTER[data], offsets), "n_sentences": summed(_END[data], offsets)}
     lines, line_at = word_hashes(data, offsets, stop=_LINE)
     # lines with a word: their number of word bytes is positive
-    if len(lines):
-        word = ~_LINE[data]
-        first = word.copy()
-        first[1:] &= ~word[:-1]
-        edge = offsets[:-1][np.diff(offsets) > 0]
-        first[edge] = word[edge]
-        full = np.add.reduceat(inside.astype(np.int64), np.flatnonzero(first)) > 0
-    else:
-        full = np.zeros(0, bool)
+    full = np.add.reduceat(inside.astype(np.int64), word_starts(data, offsets, _LINE)) > 0 if len(lines) else np.zeros(0, bool)
     doc = text_of(line_at)[full]
     own = lines[full]
     order = np.lexsort((own, doc))
