@@ -87,20 +87,19 @@ def rules() -> dict[str, Column]:
         "enough_words": vote(c("n_words") < 10, c("n_words") >= 40),
         "word_length": vote((c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 14 * c("n_words")), c("word_chars").between(3 * c("n_words"), 10 * c("n_words"))),
         "few_symbols": vote(4 * c("n_symbols") > c("n_words"), 50 * c("n_symbols") <= c("n_words")),
-        "new_lines": vote(3 * c("n_dup_lines") > c("n_lines"), (c("n_dup_lines") == 0) & (c("n_lines") >= 2)),
-        "no_repeats": vote(5 * c("n_repeat_words") > c("n_words"), 50 * c("n_repeat_words") <= c("n_words")),
-        "letters": vote(2 * c("n_letters") < c("word_chars"), 10 * c("n_letters") >= 9 * c("word_chars")),
+        "no_repeats": vote((3 * c("n_dup_lines") > c("n_lines")) | (5 * c("n_repeat_words") > c("n_words")), (5 * c("n_dup_lines") <= c("n_lines")) & (10 * c("n_repeat_words") <= c("n_words"))),
+        "letters": vote(4 * c("n_letters") < 3 * c("word_chars"), 100 * c("n_letters") >= 93 * c("word_chars")),
         "sentences": vote((c("n_sentences") == 0) & (c("n_words") > 60), (c("n_sentences") > 0) & (50 * c("n_sentences") >= c("n_words"))),
     }
 
 
 def label_model(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The posterior probability of good for each pattern of votes: expectation-maximisation with a prior, and for each rule the chance of each vote given good and given bad. It starts from the share of good votes."""
-    votes = np.stack([patterns == v for v in (-1, 0, 1)], axis=-1).astype(float)
-    good = (1 + (patterns > 0).sum(1)) / (2 + (patterns != 0).sum(1))
+    """The posterior probability of good for each pattern of votes: expectation-maximisation with a prior, and for each rule that votes the chance of either vote given good and given bad. Abstaining tells nothing. It starts from all rules being better than chance: a pattern with a bad vote is likely bad."""
+    votes = np.stack([patterns == v for v in (-1, 1)], axis=-1).astype(float)
+    good = np.where((patterns < 0).any(1), 0.1, 0.95)
     weight = counts.astype(float)
     for _ in range(ROUNDS):
-        chance = np.stack([np.einsum("p,pjv->jv", weight * q, votes) + [[1.0, 1.0, 1.0]] for q in (1 - good, good)])
+        chance = np.stack([np.einsum("p,pjv->jv", weight * q, votes) + [[1.0, 1.0]] for q in (1 - good, good)])
         chance /= chance.sum(-1, keepdims=True)
         prior = np.clip((weight * good).sum() / weight.sum(), 1e-6, 1 - 1e-6)
         like = np.einsum("pjv,cjv->pc", votes, np.log(chance)) + np.log([1 - prior, prior])
