@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from fleetlens.plans import exposure_queries, portfolio_queries
+
+MODULES = (exposure_queries, portfolio_queries)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE.items()}
