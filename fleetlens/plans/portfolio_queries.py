@@ -93,11 +93,13 @@ def sample_selection(spark, d):
 
 
 def _utility(kind: str):
+    places = 12 if kind.startswith("linear") else 9  # sums of linear shares fall on halves of the ninth place
+
     def f(spark, d):
-        return _samples(spark, d, kind).withColumn("utility", F.round("utility", 9))
+        return _samples(spark, d, kind).withColumn("utility", F.round("utility", places))
 
     f.__name__ = f"sample_utility_{kind}"
-    query(f"WITH {_samples_sql(kind)} SELECT portfolio_id, round_id, round(utility, 9) AS utility, total_us FROM samples")(f)
+    query(f"WITH {_samples_sql(kind)} SELECT portfolio_id, round_id, round(utility, {places}) AS utility, total_us FROM samples")(f)
 
 
 for _kind in K.UTILITIES:
