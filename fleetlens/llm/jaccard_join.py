@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import arrow_pass, column_bytes, components, keep_ids, mix, shingle_sets, signed, text_of, within, written
 
@@ -17,6 +18,8 @@ MOST_MATCHES = 4
 SKETCH_BITS = 16
 #: A token that more than one in HOT of all documents may hold is dealt to SALTS groups.
 HOT, SALTS = 2048, 64
+#: Documents of a list that the others are held against in a round, and rounds, each with others.
+PIVOTS, ROUNDS = 8, 2
 #: Cost of verifying a candidate against that of reading one entry of a token's list, in list entries for each of its shingles.
 VERIFY_COST = 0.05
 
@@ -80,7 +83,7 @@ def chosen_matches(cost: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: np.nda
 
 
 def _entries(reps: DataFrame, sketch: np.ndarray, rows: int) -> DataFrame:
-    """Entries of tokens that more than one document has in its prefix: (token, salt, doc_id, n, pos, need) and the same of the group's first document as p_*. Salted tokens keep all their entries, as their groups meet later.
+    """Entries of tokens that more than one document has in its prefix: (token, salt, doc_id, n, pos, need). Salted tokens keep all their entries, as their groups meet later.
 
     A document's tokens are in order of the sketch's count, then hash: one order for all, rare ones first."""
     sent = reps.sparkSession.sparkContext.broadcast(sketch)
@@ -107,36 +110,28 @@ def _entries(reps: DataFrame, sketch: np.ndarray, rows: int) -> DataFrame:
         return step
 
     schema = "token bigint, salt int, doc_id bigint, n int, pos int, need int"
-    entries = arrow_pass(reps, make, schema).repartition("token", "salt").sortWithinPartitions("token", "salt", "doc_id")
+    entries = arrow_pass(reps, make, schema).repartition("token", "salt").sortWithinPartitions("token", "salt")
     cols = ("token", "salt", "doc_id", "n", "pos", "need")
 
     def make_groups():
-        # pending: a last row of which it isn't known yet whether it has a neighbour; head: the first row of the open group
-        state: dict = {"pending": None, "head": None}
+        # pending: a last row of which it isn't known yet whether it has a neighbour; open: the group of the last row that has
+        state: dict = {"pending": None, "open": None}
 
         def step(batch: pa.RecordBatch):
             x = [batch.column(c).to_numpy().astype(np.int64) for c in cols]
-            pending, open_head = state["pending"], state["head"]
-            if pending is not None:
-                x = [np.concatenate(([v], c)) for v, c in zip(pending, x, strict=True)]
-            n = len(x[0])
+            if state["pending"] is not None:
+                x = [np.concatenate(([v], c)) for v, c in zip(state["pending"], x, strict=True)]
             same = (x[0][1:] == x[0][:-1]) & (x[1][1:] == x[1][:-1])
-            lead = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(n), 0))
-            heads = [c[lead] for c in x]
             shared = np.concatenate((same, [False])) | np.concatenate(([False], same)) | (x[1] > 0)
-            if pending is None and open_head is not None and (open_head[0], open_head[1]) == (x[0][0], x[1][0]):
-                for h, v in zip(heads, open_head, strict=True):
-                    h[lead == 0] = v
-                shared[lead == 0] = True
+            if state["pending"] is None and state["open"] == (x[0][0], x[1][0]):
+                shared[0] = True
             state["pending"] = None if shared[-1] else [c[-1] for c in x]
-            state["head"] = [h[-1] for h in heads]
-            out = {c: pa.array(v[shared] if c in ("token", "doc_id") else v[shared].astype(np.int32)) for c, v in zip(cols, x, strict=True)}
-            doc, size, pos, need = (h[shared] for h in heads[2:])
-            yield out | {"p_doc": pa.array(doc), "p_n": pa.array(size.astype(np.int32)), "p_pos": pa.array(pos.astype(np.int32)), "p_need": pa.array(need.astype(np.int32))}
+            state["open"] = (x[0][-1], x[1][-1])
+            yield {c: pa.array(v[shared] if c in ("token", "doc_id") else v[shared].astype(np.int32)) for c, v in zip(cols, x, strict=True)}
 
         return step
 
-    return arrow_pass(entries, make_groups, schema + ", p_doc bigint, p_n int, p_pos int, p_need int")
+    return arrow_pass(entries, make_groups, schema)
 
 
 def _candidates(met: DataFrame) -> DataFrame:
@@ -175,15 +170,36 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         return step
 
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-ids")
+    ids = written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "jaccard-ids")
     own = keep_ids(texts, ids, "doc_id")
     with_b = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
     whole = with_b.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").select("a", "b", "a_text", "b_text")
     return arrow_pass(whole, make, "a bigint, b bigint")
 
 
-def _named(side: str, cols: dict[str, str]) -> list:
-    return [F.col(c).alias(f"{side}_{k}") for k, c in cols.items()]
+def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
+    own = {"doc": "doc_id", "n": "n", "pos": "pos", "need": "need", "component": "component"}
+    return rows.select("token", *more, *[F.col(c).alias(f"{side}_{k}") for k, c in own.items()])
+
+
+def _star(entries: DataFrame, turn: int) -> DataFrame:
+    """Each token's entries against those of its PIVOTS first documents, in an order by a hash of this turn, where components differ.
+
+    The first ones of salted groups meet to find those of the token, and go back to every group."""
+    hashed = entries.withColumn("h", F.xxhash64(F.lit(turn), "doc_id"))
+    heads = hashed.withColumn("r", F.row_number().over(Window.partitionBy("token", "salt").orderBy("h", "doc_id"))).where(F.col("r") <= PIVOTS)
+    heads = heads.withColumn("r", F.row_number().over(Window.partitionBy("token").orderBy("h", "doc_id"))).where(F.col("r") <= PIVOTS)
+    every = F.when(F.col("salt") > 0, F.sequence(F.lit(1), F.lit(SALTS))).otherwise(F.array("salt"))
+    pivots = _side(heads.withColumn("salt", F.explode(every)), "b", "salt", F.col("h").alias("b_h"))
+    return _side(hashed, "a", "salt", "h").join(pivots, ["token", "salt"]).where("struct(b_h, b_doc) < struct(h, a_doc) and a_component <> b_component").drop("salt", "h", "b_h")
+
+
+def _apart(entries: DataFrame, joined: DataFrame) -> DataFrame:
+    """Entries of tokens whose documents lie in several components, with those."""
+    label = F.broadcast(joined) if within(joined) else joined
+    placed = entries.join(label.withColumnRenamed("component", "_c"), F.col("doc_id") == F.col("node"), "left").select("token", "salt", "doc_id", "n", "pos", "need", F.coalesce("_c", "doc_id").alias("component"))
+    split = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    return placed.join(split, "token")
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,9 +207,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Sets that are equal are one class at once, so copies never meet. For the rest, a document's prefix in a global
     order of tokens is as long as its estimated candidate cost makes it; a longer one asks for more shared tokens.
-    First each list's documents are held against its first one, which is linear in the lists and joins what is alike;
-    then only pairs that lie in different components are made, so a group of near copies is never paired out, and no
-    link between components is lost. Candidates are verified on the whole sets. Tokens that very many documents hold
+    First each list's documents are held against a few of them, which is linear in the lists and joins what is alike,
+    and again against others where components still differ; then only pairs that lie in different components are
+    made, so a group of near copies is never paired out, and no link between components is lost. Candidates are verified on the whole sets. Tokens that very many documents hold
     are dealt to salted groups whose first documents meet in turn.
 
     Defined results: a null, empty or blank text has an empty set, links with nothing and is its own component; rows
@@ -208,24 +224,17 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     several = full.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).where("x <> y").select("doc_id")
     texts = own.where("doc_id is not null and text is not null")
     alone = written(copies.select("doc_id").distinct().join(several, "doc_id", "left_anti"), "jaccard-alone")
-    met = written(_entries(keep_ids(texts, alone, "doc_id", "left_anti"), sketch, rows), "jaccard-entries")
-
-    mine = {"doc": "doc_id", "n": "n", "pos": "pos", "need": "need"}
-    head = {"doc": "p_doc", "n": "p_n", "pos": "p_pos", "need": "p_need"}
-    with_head = met.where("doc_id <> p_doc").select(*_named("a", mine), *_named("b", head))
-    leads = met.where("salt > 0 and doc_id = p_doc").dropDuplicates(["token", "salt"])
-    first = leads.groupBy("token").agg(F.min(F.struct("doc_id", "n", "pos", "need")).alias("f")).select("token", *_named("b", {k: f"f.{c}" for k, c in mine.items()}))
-    between = leads.join(first, "token").where("doc_id <> b_doc").select(*_named("a", mine), *[f"b_{k}" for k in mine])
-    pairs = written(_candidates(with_head.unionByName(between)), "jaccard-pairs")
-    links = written(_verified(pairs, texts), "jaccard-links")
-
-    joined = written(components(links, "jaccard-joined"), "jaccard-joined")
-    label = F.broadcast(joined) if within(joined) else joined
-    placed = met.select("token", *mine.values()).join(label, F.col("doc_id") == F.col("node"), "left").select("token", *mine.values(), F.coalesce("component", "doc_id").alias("component"))
-    split = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    apart = written(placed.join(split, "token"), "jaccard-apart")
-    sides = [apart.select("token", *_named(k, mine | {"component": "component"})) for k in "ab"]
-    across = sides[0].join(sides[1], "token").where("a_doc < b_doc and a_component <> b_component")
+    rest = written(_entries(keep_ids(texts, alone, "doc_id", "left_anti"), sketch, rows).withColumn("component", F.col("doc_id")), "jaccard-entries")
+
+    pairs = links = None
+    for turn in range(ROUNDS):
+        new = _candidates(_star(rest, turn))
+        new = written(new.join(pairs, ["a", "b"], "left_anti") if pairs else new, "jaccard-pairs")
+        pairs = pairs.unionByName(new) if pairs else new
+        own = written(_verified(new, texts), "jaccard-links")
+        links = links.unionByName(own) if links else own
+        rest = written(_apart(rest.drop("component"), written(components(links, "jaccard-joined"), "jaccard-joined")), "jaccard-apart")
+    across = _side(rest, "a").join(_side(rest, "b"), "token").where("a_doc < b_doc and a_component <> b_component")
     more = written(_candidates(across).join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
 
     edges = links.unionByName(_verified(more, texts)).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")))
