@@ -108,5 +108,5 @@ def exact_top_k(vectors: DataFrame, id_col: str, vector_col: str, is_query: Colu
     queries = v.where("asks").select("id", "v", F.pmod(F.shiftright(h, 20), F.lit(groups)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"))
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("query_id", "vec_id", "score")])
     best = queries.groupBy("qb", "rb").cogroup(rows.groupBy("qb", "rb")).applyInPandas(_block(k), schema)
-    merged = best.distinct().groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, k).alias("best"))
+    merged = best.distinct().groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.bitwise_not("score").alias("s"), "vec_id", "score"))), 1, k).alias("best"))
     return merged.select("query_id", F.posexplode("best").alias("p", "b")).select("query_id", (F.col("p") + 1).alias("rank"), "b.vec_id", "b.score")
