@@ -139,18 +139,22 @@ def _candidates(met: DataFrame) -> DataFrame:
 
     met has a row for each token that two documents share in their prefixes, with doc, n, pos and need of both as
     a_* and b_*. The larger document (then the larger id) asks: both prefixes are as long as its number of matches
-    makes them, and that many tokens within them must be shared. All shared tokens up to the last one are counted, so
-    the overlap is at most that count and what remains after it."""
+    makes them, and that many tokens within them must be shared. A shared token leaves an overlap of at most what is
+    ahead of it in either document and can be shared at all, and what follows in the shorter rest; rows of which that
+    is too little aren't made; and all shared tokens up to the last one are counted, so the overlap is at most their number and the rest."""
     asks = F.struct("a_n", "a_doc") > F.struct("b_n", "b_doc")
     need = F.when(asks, F.col("a_need")).otherwise(F.col("b_need"))
+    both, rest = F.col("a_n") + F.col("b_n"), F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
 
     def edge(n: str):
         return F.col(n) - F.ceil(F.col(n) * SHARE[0] / SHARE[1]).cast("int")
 
-    fits = (F.least("a_n", "b_n") * SHARE[1] >= F.greatest("a_n", "b_n") * SHARE[0])
-    rows = met.where(fits).select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"), "a_n", "b_n", need.alias("need"), ((F.col("a_pos") < edge("a_n") + need) & (F.col("b_pos") < edge("b_n") + need)).cast("int").alias("inside"), F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")).alias("rest"), (F.col("a_n") + F.col("b_n")).alias("both"))
-    pairs = rows.groupBy("a", "b").agg(F.sum("inside").alias("inside"), F.count("*").alias("shared"), F.max("need").alias("need"), F.min("rest").alias("rest"), F.max("both").alias("both"))
-    return pairs.where((F.col("inside") >= F.col("need")) & (9 * (F.col("shared") + F.col("rest") - 1) >= 4 * F.col("both"))).select("a", "b")
+    fits = F.least("a_n", "b_n") * SHARE[1] >= F.greatest("a_n", "b_n") * SHARE[0]
+    inside = (F.col("a_pos") < edge("a_n") + need) & (F.col("b_pos") < edge("b_n") + need)
+    can = 9 * (F.least("a_ahead", "b_ahead") + rest) >= 4 * both
+    rows = met.where(fits & inside & can).select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"), need.alias("need"), rest.alias("rest"), both.alias("both"))
+    pairs = rows.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need"), F.min("rest").alias("rest"), F.max("both").alias("both"))
+    return pairs.where((F.col("shared") >= F.col("need")) & (9 * (F.col("shared") + F.col("rest") - 1) >= 4 * F.col("both"))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -178,15 +182,16 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
-    own = {"doc": "doc_id", "n": "n", "pos": "pos", "need": "need", "component": "component"}
+    own = {"doc": "doc_id", "n": "n", "pos": "pos", "need": "need", "ahead": "ahead", "component": "component"}
     return rows.select("token", *more, *[F.col(c).alias(f"{side}_{k}") for k, c in own.items()])
 
 
 def _star(entries: DataFrame, turn: int) -> DataFrame:
-    """Each token's entries against those of its PIVOTS first documents, in an order by a hash of this turn, where components differ.
+    """Each token's entries against those of its PIVOTS first documents where components differ: at first those with the fewest tokens ahead that no one shares, then any by a hash of this turn.
 
     The first ones of salted groups meet to find those of the token, and go back to every group."""
-    hashed = entries.withColumn("h", F.xxhash64(F.lit(turn), "doc_id"))
+    h = F.xxhash64(F.lit(turn), "doc_id")
+    hashed = entries.withColumn("h", F.struct((F.col("pos") - F.col("ahead")).alias("alone"), h.alias("x")) if turn == 0 else F.struct(F.lit(0).alias("alone"), h.alias("x")))
     heads = hashed.withColumn("r", F.row_number().over(Window.partitionBy("token", "salt").orderBy("h", "doc_id"))).where(F.col("r") <= PIVOTS)
     heads = heads.withColumn("r", F.row_number().over(Window.partitionBy("token").orderBy("h", "doc_id"))).where(F.col("r") <= PIVOTS)
     every = F.when(F.col("salt") > 0, F.sequence(F.lit(1), F.lit(SALTS))).otherwise(F.array("salt"))
@@ -194,12 +199,16 @@ def _star(entries: DataFrame, turn: int) -> DataFrame:
     return _side(hashed, "a", "salt", "h").join(pivots, ["token", "salt"]).where("struct(b_h, b_doc) < struct(h, a_doc) and a_component <> b_component").drop("salt", "h", "b_h")
 
 
-def _apart(entries: DataFrame, joined: DataFrame) -> DataFrame:
-    """Entries of tokens whose documents lie in several components, with those."""
-    label = F.broadcast(joined) if within(joined) else joined
-    placed = entries.join(label.withColumnRenamed("component", "_c"), F.col("doc_id") == F.col("node"), "left").select("token", "salt", "doc_id", "n", "pos", "need", F.coalesce("_c", "doc_id").alias("component"))
-    split = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    return placed.join(split, "token")
+def _apart(entries: DataFrame, joined: DataFrame | None = None) -> DataFrame:
+    """Entries of tokens whose documents lie in several components, with those, and with the number of such tokens ahead in the document."""
+    if joined is None:
+        placed = entries.withColumn("component", F.col("doc_id"))
+    else:
+        label = F.broadcast(joined) if within(joined) else joined
+        placed = entries.join(label.withColumnRenamed("component", "_c"), F.col("doc_id") == F.col("node"), "left").select("token", "salt", "doc_id", "n", "pos", "need", F.coalesce("_c", "doc_id").alias("component"))
+        split = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+        placed = placed.join(split, "token")
+    return placed.withColumn("ahead", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "token")) - 1)
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,7 +233,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     several = full.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).where("x <> y").select("doc_id")
     texts = own.where("doc_id is not null and text is not null")
     alone = written(copies.select("doc_id").distinct().join(several, "doc_id", "left_anti"), "jaccard-alone")
-    rest = written(_entries(keep_ids(texts, alone, "doc_id", "left_anti"), sketch, rows).withColumn("component", F.col("doc_id")), "jaccard-entries")
+    rest = written(_apart(_entries(keep_ids(texts, alone, "doc_id", "left_anti"), sketch, rows)), "jaccard-entries")
 
     pairs = links = None
     for turn in range(ROUNDS):
@@ -233,7 +242,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         pairs = pairs.unionByName(new) if pairs else new
         own = written(_verified(new, texts), "jaccard-links")
         links = links.unionByName(own) if links else own
-        rest = written(_apart(rest.drop("component"), written(components(links, "jaccard-joined"), "jaccard-joined")), "jaccard-apart")
+        rest = written(_apart(rest.drop("component", "ahead"), written(components(links, "jaccard-joined"), "jaccard-joined")), "jaccard-apart")
     across = _side(rest, "a").join(_side(rest, "b"), "token").where("a_doc < b_doc and a_component <> b_component")
     more = written(_candidates(across).join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
 
