@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 #: A side of at most so many rows of a few fixed-width columns may be broadcast (16 bytes each: 32 MB).
 BROADCAST_ROWS = 2_000_000
 #: Texts are worked on in chunks of about so many bytes; one longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch, which a worker holds whole.
+BATCH_ROWS = 2000
 #: Java's class for what ends a word: space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -72,9 +74,12 @@ def arrow_pass(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iter
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    kind = to_arrow_schema(_parse_datatype_string(schema))
-    run = arrow_runner(make, kind)
-    return df.mapInArrow(run, schema)
+    return arrow_rows(df, make, to_arrow_schema(_parse_datatype_string(schema)), schema)
+
+
+def arrow_rows(df: DataFrame, make, kind: pa.Schema, schema) -> DataFrame:
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df.mapInArrow(arrow_runner(make, kind), schema)
 
 
 def arrow_runner(make, kind: pa.Schema):

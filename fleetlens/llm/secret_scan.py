@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import arrow_runner
+from .common import arrow_rows
 
 #: Kinds in the order in which they are listed, base kinds first.
 BASE_KINDS = ("assign", "access", "hex")
@@ -155,4 +155,4 @@ def scan_secrets(docs: DataFrame, keep: list[str], text_col: str = "text", redac
     rows = docs.select(*[docs[c] for c in keep if not (redact and c == text_col)], docs[text_col].alias("_text"))
     if redact:
         rows = rows.withColumn(text_col, rows["_text"])
-    return rows.mapInArrow(arrow_runner(make, kind), schema)
+    return arrow_rows(rows, make, kind, schema)
