@@ -88,6 +88,25 @@ ORACLE = {
               FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source LEFT JOIN g ON g.source IS NOT DISTINCT FROM d.source AND g.h = d.h)
         SELECT doc_id, size, source_size, target,
                CAST(size * (epochs + CASE WHEN size > 0 AND (run <= budget OR (run - g <= budget AND g < 2 * (budget - (run - g)))) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM f""",
+    "op4_jaccard_join": """
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+        x AS (SELECT doc_id, string_agg(x, ' ') OVER f AS h, count(*) OVER f AS n FROM t WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+        s AS (SELECT DISTINCT doc_id, h FROM x WHERE n = 5 UNION SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS node, doc_id AS seen FROM d UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.seen) AS component_id FROM d JOIN r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op5_substring_dedup": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+        x AS (SELECT doc_id, i, md5(string_agg(x, ' ') OVER f) AS h, count(*) OVER f AS n FROM t WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+        m AS (SELECT h, min(doc_id) AS first FROM x WHERE n = 50 GROUP BY h),
+        r AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS i FROM x JOIN m USING (h) WHERE n = 50 AND doc_id > first),
+        k AS (SELECT t.doc_id, count(*) AS n_words, count(r.i) AS n_removed, string_agg(x, ' ' ORDER BY t.i) FILTER (WHERE r.i IS NULL) AS kept FROM t LEFT JOIN r ON r.doc_id = t.doc_id AND r.i = t.i GROUP BY 1)
+        SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id""",
     "op6_url_filter": """
         WITH a AS (SELECT page_id, CASE WHEN url IS NOT NULL AND instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
         b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
