@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from .common import _LOWER, _SPACE, arrow_pass, column_bytes, within, written
 
 #: Words whose ids a worker keeps; the store is emptied when it is full.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 700_000
 _caches: dict[str, dict[bytes, bytes]] = {}
 _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in ".,;:!?"]] = True
