@@ -18,16 +18,15 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?+[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-TERM = r"\p{L}{4,}"
-#: Code points to each side of a protected value in which terms count as told together with it.
-REACH = 60
-#: A term is weighed for a value if so many documents tell them together.
-SUPPORT = 3
+#: A term is a whole run of letters, marks and digits outside the base spans, in lower case.
+TERM = r"[\p{L}\p{M}\p{N}]++"
+#: Documents that a term's share of documents with a value is drawn to the value's overall share by, so that one meeting of rare things isn't certainty.
+PRIOR = 1.0
 #: Shares of a value's information that a term may give away: above the first it is generalised, above the second removed.
 GENERALISE, REMOVE = 0.75, 0.9
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """(start, end, value) of each match, in code points: the lengths of the pieces between matches and of the matches are summed up."""
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
@@ -79,63 +78,82 @@ def _spans_of(text: Column, rank: int, kind: str) -> Column:
     return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["value"].alias("value")))
 
 
-def _terms_near(text: Column, span: Column) -> Column:
-    """(entity, term, start, end) of whole terms within REACH of a span on either side."""
+def _entity(span: Column) -> Column:
     digits = F.regexp_replace(span["value"], "[^0-9]", "")
-    entity = F.concat(span["kind"], F.lit(":"), F.when(span["kind"] == "email", F.lower(span["value"])).when(span["kind"] == "ip", span["value"]).otherwise(digits))
-    low = F.greatest(span["start"] - REACH, F.lit(0))
-    left, right = F.substring(text, low + 1, span["start"] - low), F.substring(text, span["end"] + 1, F.lit(REACH))
-    whole_left = F.filter(matches(left, TERM), lambda m: ((m["start"] > 0) | (low == 0)) & (m["end"] < span["start"] - low))
-    whole_right = F.filter(matches(right, TERM), lambda m: (m["start"] > 0) & (m["end"] < REACH))
+    return F.concat(span["kind"], F.lit(":"), F.when(span["kind"] == "email", F.lower(span["value"])).when(span["kind"] == "ip", span["value"]).otherwise(digits))
 
-    def placed(found: Column, base: Column) -> Column:
-        return F.transform(found, lambda m: F.struct(entity.alias("entity"), F.lower(m["value"]).alias("term"), (base + m["start"]).alias("start"), (base + m["end"]).alias("end")))
 
-    return F.concat(placed(whole_left, low), placed(whole_right, span["end"]))
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with blanks for what the spans (by start) cover, so that places stay."""
 
+    def step(a: Column, s: Column) -> Column:
+        gap = F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], a["at"]), F.lit(0)))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], gap, blank).alias("out"))
 
-def disclosing(near: DataFrame, found: DataFrame, texts: Column, docs: DataFrame, n_docs: int) -> DataFrame:
-    """(entity, term, disclosure) of terms that give away at least GENERALISE of an entity's information.
+    walked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.length(text))))
+
+
+def _forms(rows: DataFrame) -> Column:
+    """The distinct terms of a row as they are written."""
+    return F.array_distinct(F.regexp_extract_all(_masked(rows["text"], rows["base"]), F.lit(TERM), F.lit(0)))
+
+
+def _terms(rows: DataFrame) -> Column:
+    return F.array_distinct(F.transform(_forms(rows), F.lower))
+
+
+def _entities(rows: DataFrame) -> DataFrame:
+    """(row, entity, n_entity) for one entity of each set of rows: entities that stand in the same rows give the same counts with any term."""
+    found = written(rows.where("size(base) > 0").select("row", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")), "pii-entities")
+    sums = found.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("row")).alias("s1"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("s2"))
+    first = sums.groupBy("n_entity", "s1", "s2").agg(F.min("entity").alias("entity")).select("entity", "n_entity")
+    return found.join(first, "entity")
+
+
+def disclosing(rows: DataFrame, n_docs: int) -> DataFrame:
+    """(term, disclosure) of terms that give away at least GENERALISE of some entity's information.
 
-    near has (row, entity, term), found (row, entity). Disclosure is the pointwise mutual information of the two over
-    the entity's own information, 1 + log p(entity | term) / -log p(entity), from numbers of documents in the whole
-    corpus: those that hold the entity, the term anywhere, and the two within reach of each other."""
-    together = near.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
-    together = written(together, "pii-pairs")
-    n_entity = found.distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = docs.where(texts.isNotNull()).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(texts), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
+    Disclosure is the pointwise mutual information of term and entity over the entity's own information,
+    1 + log p(entity | term) / -log p(entity), from numbers of whole documents: those that hold the entity, the term,
+    and both. There is no least number of documents: p(entity | term) is (n_both + PRIOR p(entity)) / (n_term + PRIOR).
+    A term's disclosure is its greatest over all entities that it meets."""
+    own = written(_entities(rows).groupBy("row").agg(F.collect_list(F.struct("entity", "n_entity")).alias("entities")), "pii-entities")
+    held = rows.where("size(base) > 0").select("row", _terms(rows).alias("terms")).join(F.broadcast(own) if within(own, 200_000) else own, "row")
+    told = held.select("entities", F.explode("terms").alias("term")).select("term", F.explode("entities").alias("e")).groupBy("term", "e").agg(F.count("*").alias("n_both"))
+    told = written(told.select("term", F.col("e.n_entity").alias("n_entity"), "n_both").distinct(), "pii-pairs")
+    n_term = rows.select(F.explode(_terms(rows)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     p_entity = F.col("n_entity") / F.lit(float(max(n_docs, 1)))
-    share = F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0))
+    share = (F.col("n_both") + PRIOR * p_entity) / (F.col("n_term") + PRIOR)
     disclosure = F.when(p_entity < 1, 1 + F.log(share) / -F.log(p_entity)).otherwise(F.lit(0.0))
-    return together.join(n_term, "term").join(n_entity, "entity").select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    return told.join(n_term, "term").groupBy("term").agg(F.max(disclosure).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms) of every row.
 
-    Base spans are found by patterns and tests. The values they cover are the protected entities; a term within reach
-    of one, in at least SUPPORT documents, is a span too where the corpus tells that it gives the entity away, and
-    only in documents that hold that entity near it. Counts run over all documents; texts are never shuffled: what
-    moves are values, the few terms about them, and the corpus's vocabulary with counts, combined before it moves.
+    Base spans are found by patterns and tests. The values they cover are the protected entities; a term that the
+    corpus tells to give one of them away is a span wherever it stands, in documents without the entity too. Counts
+    run over whole documents, all of them, and are combined before they move; texts are written once beside their
+    spans, and move once where more rows than can be sent to all have terms.
     Defined results: a null or empty text has no spans; rows are judged each, and repeated ones count as documents
-    each; terms at the edge of the reach that may be cut don't count; other columns are ignored; an empty table gives
-    none."""
+    each; other columns are ignored; an empty table gives none."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    spans = docs.select(docs[id_col].alias("doc_id"), text.alias("text")).withColumn("base", F.when(F.length("text") > 0, base_spans(F.col("text"))).otherwise(F.array().cast(_SPANS)))
-    near = F.flatten(F.transform("base", lambda s: _terms_near(F.col("text"), s)))
-    rows = written(spans.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", F.when(F.size("base") > 0, near).alias("near")), "pii-spans")
-    told = rows.where("near is not null").select("row", F.explode("near").alias("m")).select("row", "m.entity", "m.term", "m.start", "m.end")
-    found = told.select("row", "entity").unionByName(rows.where("size(base) > 0").select("row", F.explode("base").alias("s")).select("row", F.concat("s.kind", F.lit(":"), F.when(F.col("s.kind") == "email", F.lower("s.value")).when(F.col("s.kind") == "ip", F.col("s.value")).otherwise(F.regexp_replace("s.value", "[^0-9]", ""))).alias("entity")))
-    bad = written(disclosing(told.select("row", "entity", "term"), found, docs[text_col], docs, rows.count()), "pii-disclosing")
-    mine = told.join(F.broadcast(bad) if within(bad, 200_000) else bad, ["entity", "term"])
-    terms = mine.groupBy("row").agg(F.collect_set(F.struct("start", F.lit(4).alias("rank"), "end", F.lit("term").alias("kind"), F.lit("").alias("value"))).alias("terms"))
-    terms = written(terms, "pii-terms")
-    both = rows.join(F.broadcast(terms) if within(terms, 200_000) else terms, "row", "left")
+    base = F.when(F.length(text) > 0, base_spans(text)).otherwise(F.array().cast(_SPANS))
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("doc_id"), text.alias("text"), base.alias("base")), "pii-spans")
+    bad = written(disclosing(rows, rows.count()), "pii-disclosing")
+    forms = rows.select("row", F.explode(_forms(rows)).alias("form")).withColumn("term", F.lower("form"))
+    mine = forms.join(F.broadcast(bad) if within(bad, 200_000) else bad, "term").groupBy("row").agg(F.sort_array(F.collect_list("form")).alias("forms"))
+    mine = written(mine, "pii-terms")
+    both = rows.join(F.broadcast(mine) if within(mine, 50_000) else mine, "row", "left")
+    edge = r"[\p{L}\p{M}\p{N}]"
+    any_of = F.concat(F.lit(f"(?<!{edge})(?:"), F.array_join("forms", "|"), F.lit(f")(?!{edge})"))
+    terms = F.transform(matches(_masked(F.col("text"), F.col("base")), any_of), lambda m: F.struct(m["start"].alias("start"), F.lit(4).alias("rank"), m["end"].alias("end"), F.lit("term").alias("kind"), m["value"].alias("value")))
+    both = both.withColumn("terms", F.when(F.col("forms").isNull(), F.array().cast(_SPANS)).otherwise(terms.cast(_SPANS)))
     base_text = spans_text(F.col("base"))
     counts = [_count(F.col("base"), kind).alias(f"n_{kind}") for kind in PATTERNS]
-    extra = F.coalesce(F.col("terms").cast(_SPANS), F.array().cast(_SPANS))
-    return both.select("doc_id", *counts, F.sha2(base_text.cast("binary"), 256).alias("base_sha256"), spans_text(F.array_sort(F.concat("base", extra))).alias("spans"), F.size(extra).cast("long").alias("n_terms"))
+    return both.select("doc_id", *counts, F.sha2(base_text.cast("binary"), 256).alias("base_sha256"), spans_text(F.array_sort(F.concat("base", "terms"))).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
 
 
 def _count(spans: Column, kind: str) -> Column:
