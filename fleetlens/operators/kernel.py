@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, insort
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -31,7 +32,9 @@ class Run:
     """A replication: tasks (task_id, release, place, duration, quantity) and vehicles on a line, a metre a second.
 
     At a time, completions come first, then exits, entries and releases; dispatch follows when all of them are done,
-    nearest pairs first by (travel, release, task, vehicle), each task and vehicle once, until nothing more fits."""
+    nearest pairs first by (travel, release, task, vehicle), each task and vehicle once, until nothing more fits.
+    After a dispatch no free vehicle fits a waiting task, so the next one only looks from what has come since: each new
+    task's best vehicle and each new vehicle's best task, found outwards from its place and sought again when taken."""
 
     horizon: float
     tasks: dict[str, dict]
@@ -40,11 +43,18 @@ class Run:
     heap: list[tuple] = field(default_factory=list)
     events: list[tuple] = field(default_factory=list)
     outcome: dict[str, dict] = field(default_factory=dict)
+    #: Free vehicles (place, id) and waiting tasks (place, release, id), sorted, and those that came after the last dispatch.
+    free: list[tuple] = field(default_factory=list)
+    waiting: list[tuple] = field(default_factory=list)
+    new_vehicles: set[str] = field(default_factory=set)
+    new_tasks: set[str] = field(default_factory=set)
+    least: float = 0.0
 
     def push(self, time: float, phase: int, key: str) -> None:
         heapq.heappush(self.heap, (time, phase, key))
 
     def go(self) -> None:
+        self.least = min((t["quantity"] for t in self.tasks.values()), default=0.0)
         for t in self.tasks.values():
             self.outcome[t["task_id"]] = {"status": "unreleased", "vehicle_id": None, "assigned_at": None, "service_at": None, "completed_at": None}
             self.push(max(t["release"], 0.0), RELEASE, t["task_id"])
@@ -71,22 +81,73 @@ class Run:
             o = self.outcome[key]
             v = self.vehicles[o["vehicle_id"]]
             o["status"], o["completed_at"], v.busy, v.place = "completed", now, None, self.tasks[key]["place"]
+            self.set_free(v)
             self.events.append((now, phase, "completion", v.vehicle_id, key))
         elif phase == RELEASE:
+            t = self.tasks[key]
             self.outcome[key]["status"] = "waiting"
+            insort(self.waiting, (t["place"], t["release"], key))
+            self.new_tasks.add(key)
             self.events.append((now, phase, "release", None, key))
         else:
-            self.vehicles[key].inside = phase == ENTRY
+            v = self.vehicles[key]
+            self.drop(self.free, (v.place, key))
+            self.new_vehicles.discard(key)
+            v.inside = phase == ENTRY
+            self.set_free(v)
             self.events.append((now, phase, "entry" if phase == ENTRY else "exit", key, None))
 
+    def set_free(self, v: Vehicle) -> None:
+        """Among the free ones, if it is inside, idle and can still take some task."""
+        if v.inside and v.busy is None and v.used + self.least <= v.capacity:
+            insort(self.free, (v.place, v.vehicle_id))
+            self.new_vehicles.add(v.vehicle_id)
+
+    @staticmethod
+    def drop(rows: list[tuple], row: tuple) -> None:
+        i = bisect_left(rows, row)
+        if i < len(rows) and rows[i] == row:
+            del rows[i]
+
+    def best(self, rows: list[tuple], place: float, fits) -> tuple | None:
+        """The least (travel, *rest) of sorted rows (place, *rest) whose last item fits."""
+        best, right = None, bisect_left(rows, (place,))
+        for steps in (range(right, len(rows)), range(right - 1, -1, -1)):
+            for i in steps:
+                travel = abs(rows[i][0] - place) / self.speed
+                if best is not None and travel > best[0]:
+                    break
+                if fits(rows[i][-1]):
+                    own = (travel, *rows[i][1:])
+                    best = own if best is None else min(best, own)
+        return best
+
+    def best_of_task(self, key: str) -> tuple | None:
+        t = self.tasks[key]
+        found = self.best(self.free, t["place"], lambda v: self.vehicles[v].used + t["quantity"] <= self.vehicles[v].capacity)
+        return found and (found[0], t["release"], key, found[1], True)
+
+    def best_of_vehicle(self, key: str) -> tuple | None:
+        v = self.vehicles[key]
+        found = self.best(self.waiting, v.place, lambda k: v.used + self.tasks[k]["quantity"] <= v.capacity)
+        return found and (*found, key, False)
+
     def dispatch(self, now: float) -> None:
-        free = [v for v in self.vehicles.values() if v.inside and v.busy is None]
-        waiting = [t for k, t in self.tasks.items() if self.outcome[k]["status"] == "waiting"]
-        pairs = sorted((abs(v.place - t["place"]) / self.speed, t["release"], t["task_id"], v.vehicle_id) for v in free for t in waiting if v.used + t["quantity"] <= v.capacity)
-        for travel, _, task, vehicle in pairs:
+        asked = [self.best_of_task(k) for k in self.new_tasks] + [self.best_of_vehicle(k) for k in self.new_vehicles]
+        self.new_tasks, self.new_vehicles = set(), set()
+        pairs = [p for p in asked if p]
+        heapq.heapify(pairs)
+        while pairs:
+            travel, release, task, vehicle, of_task = heapq.heappop(pairs)
             v, o = self.vehicles[vehicle], self.outcome[task]
             if v.busy is not None or o["status"] != "waiting":
+                if (o["status"] == "waiting") if of_task else (v.busy is None):
+                    again = self.best_of_task(task) if of_task else self.best_of_vehicle(vehicle)
+                    if again:
+                        heapq.heappush(pairs, again)
                 continue
+            self.drop(self.free, (v.place, vehicle))
+            self.drop(self.waiting, (self.tasks[task]["place"], release, task))
             v.busy, v.used = task, v.used + self.tasks[task]["quantity"]
             service = now + travel
             o.update(status="assigned", vehicle_id=vehicle, assigned_at=now, service_at=service)
