@@ -24,6 +24,8 @@ TERM = r"[\p{L}\p{M}\p{N}]++"
 PRIOR = 1.0
 #: Shares of a value's information that a term may give away: above the first it is generalised, above the second removed.
 GENERALISE, REMOVE = 0.75, 0.9
+#: A longer term's ancestor is its stem, its first code points; the next one is its kind, a word or a number.
+STEM = 4
 
 
 def matches(text: Column, pattern: str | Column) -> Column:
@@ -100,8 +102,15 @@ def _forms(rows: DataFrame) -> Column:
     return F.array_distinct(F.regexp_extract_all(_masked(rows["text"], rows["base"]), F.lit(TERM), F.lit(0)))
 
 
+def _stem(term: Column) -> Column:
+    """The stem, which no term equals as it ends in an asterisk; null for a term that is no longer than it."""
+    return F.when(F.length(term) > STEM, F.concat(F.substring(term, 1, STEM), F.lit("*")))
+
+
 def _terms(rows: DataFrame) -> Column:
-    return F.array_distinct(F.transform(_forms(rows), F.lower))
+    """The distinct terms of a row, in lower case, and their stems."""
+    terms = F.transform(_forms(rows), F.lower)
+    return F.array_distinct(F.concat(terms, F.filter(F.transform(terms, _stem), lambda t: t.isNotNull())))
 
 
 def _entities(rows: DataFrame) -> DataFrame:
@@ -113,7 +122,7 @@ def _entities(rows: DataFrame) -> DataFrame:
 
 
 def disclosing(rows: DataFrame, n_docs: int) -> DataFrame:
-    """(term, disclosure) of terms that give away at least GENERALISE of some entity's information.
+    """(term, disclosure) of terms and stems that give away at least GENERALISE of some entity's information.
 
     Disclosure is the pointwise mutual information of term and entity over the entity's own information,
     1 + log p(entity | term) / -log p(entity), from numbers of whole documents: those that hold the entity, the term,
@@ -131,29 +140,41 @@ def disclosing(rows: DataFrame, n_docs: int) -> DataFrame:
 
 
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms) of every row.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms, n_generalised, n_removed, sanitised) of every row.
 
     Base spans are found by patterns and tests. The values they cover are the protected entities; a term that the
     corpus tells to give one of them away is a span wherever it stands, in documents without the entity too. Counts
     run over whole documents, all of them, and are combined before they move; texts are written once beside their
     spans, and move once where more rows than can be sent to all have terms.
-    Defined results: a null or empty text has no spans; rows are judged each, and repeated ones count as documents
+    A term above REMOVE is removed, one above GENERALISE only is generalised: to its stem where that gives away less
+    than GENERALISE of every entity, else to its kind, which is as broad as the language. sanitised is the text after
+    that, with base values replaced by their kinds.
+    Defined results: a null or empty text has no spans and is sanitised to an empty one; rows are judged each, and repeated ones count as documents
     each; other columns are ignored; an empty table gives none."""
     text = F.coalesce(docs[text_col], F.lit(""))
     base = F.when(F.length(text) > 0, base_spans(text)).otherwise(F.array().cast(_SPANS))
     rows = written(docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("doc_id"), text.alias("text"), base.alias("base")), "pii-spans")
     bad = written(disclosing(rows, rows.count()), "pii-disclosing")
+    stems = bad.where(F.endswith("term", F.lit("*"))).select(F.col("term").alias("stem"), F.lit(True).alias("told"))
+    acts = bad.where(~F.endswith("term", F.lit("*"))).withColumn("stem", _stem(F.col("term"))).join(stems, "stem", "left")
+    kind = F.when(F.col("term").rlike(r"\p{L}"), "[WORD]").otherwise("[NUMBER]")
+    to = F.when(F.col("disclosure") >= REMOVE, "").when(F.col("stem").isNotNull() & F.col("told").isNull(), F.col("stem")).otherwise(kind)
+    acts = written(acts.select("term", to.alias("to")), "pii-actions")
     forms = rows.select("row", F.explode(_forms(rows)).alias("form")).withColumn("term", F.lower("form"))
-    mine = forms.join(F.broadcast(bad) if within(bad, 200_000) else bad, "term").groupBy("row").agg(F.sort_array(F.collect_list("form")).alias("forms"))
+    mine = forms.join(F.broadcast(acts) if within(acts, 200_000) else acts, "term").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("form", "to"))).alias("forms"))
     mine = written(mine, "pii-terms")
     both = rows.join(F.broadcast(mine) if within(mine, 50_000) else mine, "row", "left")
     edge = r"[\p{L}\p{M}\p{N}]"
-    any_of = F.concat(F.lit(f"(?<!{edge})(?:"), F.array_join("forms", "|"), F.lit(f")(?!{edge})"))
-    terms = F.transform(matches(_masked(F.col("text"), F.col("base")), any_of), lambda m: F.struct(m["start"].alias("start"), F.lit(4).alias("rank"), m["end"].alias("end"), F.lit("term").alias("kind"), m["value"].alias("value")))
+    any_of = F.concat(F.lit(f"(?<!{edge})(?:"), F.array_join("forms.form", "|"), F.lit(f")(?!{edge})"))
+    found = matches(_masked(F.col("text"), F.col("base")), any_of)
+    to = F.map_from_entries("forms")
+    terms = F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(4).alias("rank"), m["end"].alias("end"), F.lit("term").alias("kind"), F.element_at(to, m["value"]).alias("value")))
     both = both.withColumn("terms", F.when(F.col("forms").isNull(), F.array().cast(_SPANS)).otherwise(terms.cast(_SPANS)))
+    removed = F.size(F.filter("terms", lambda s: s["value"] == "")).cast("long")
+    acted = F.array_sort(F.concat("base", "terms"))
     base_text = spans_text(F.col("base"))
     counts = [_count(F.col("base"), kind).alias(f"n_{kind}") for kind in PATTERNS]
-    return both.select("doc_id", *counts, F.sha2(base_text.cast("binary"), 256).alias("base_sha256"), spans_text(F.array_sort(F.concat("base", "terms"))).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
+    return both.select("doc_id", *counts, F.sha2(base_text.cast("binary"), 256).alias("base_sha256"), spans_text(acted).alias("spans"), F.size("terms").cast("long").alias("n_terms"), (F.size("terms") - removed).alias("n_generalised"), removed.alias("n_removed"), sanitised(F.col("text"), acted).alias("sanitised"))
 
 
 def _count(spans: Column, kind: str) -> Column:
@@ -161,7 +182,12 @@ def _count(spans: Column, kind: str) -> Column:
 
 
 def sanitised(text: Column, spans: Column) -> Column:
-    """The text with each span (start, end, kind by start) replaced by its kind in brackets; a span that starts in an earlier one is left out."""
-    step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out")))
+    """The text with each span (start, end, kind, value by start) replaced: by its kind in brackets, a term by its value, which is its generalisation or empty. Of a span that starts in an earlier one, what reaches beyond it goes too."""
+
+    def step(a: Column, s: Column) -> Column:
+        own = F.when(s["kind"] == "term", s["value"]).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        gap = F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], gap, F.when(s["start"] < a["at"], "").otherwise(own)).alias("out"))
+
     walked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
     return F.concat(walked["out"], F.substring(text, walked["at"] + 1, F.length(text)))

@@ -30,7 +30,8 @@ def op2_mix_sources(spark, sf_dir):
 
 
 def op3_pii(spark, sf_dir):
-    return find_pii(load(spark, sf_dir, "documents"))
+    found = find_pii(load(spark, sf_dir, "documents"))
+    return found.withColumn("sanitised_sha256", F.sha2(F.col("sanitised").cast("binary"), 256))
 
 
 def op4_jaccard_join(spark, sf_dir):
