@@ -51,6 +51,13 @@ def od_travel_times(spark, d):
     return routing.od_costs(pairs, _roads(spark, d)).select("source", "target", "seconds")
 
 
+@query()
+def od_travel_times_all(spark, d):
+    nodes = table(spark, d, "nation").select(F.format_string("n%02d", "n_nationkey").alias("node"))
+    pairs = nodes.select(F.col("node").alias("source")).crossJoin(F.broadcast(nodes.select(F.col("node").alias("target"))))
+    return routing.od_costs(pairs, _roads(spark, d)).select("source", "target", "seconds")
+
+
 @query("SELECT 'n' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS node_id, 'n00' AS component FROM nation")
 def strong_components(spark, d):
     return routing.strong_components(_roads(spark, d))

@@ -73,3 +73,17 @@ def test_kernel_queries_simulate_all_orders_and_suppliers(spark, tmp_path):
         assert held([r[1:] for r in got]) == want
         assert {r.task_id: r.vehicle_id for r in outcomes if r.replication_id == str(day)} == {k: v for k, (_, v) in state.items()}
         assert {r[4] for r in got if r[3] == "entry"} == set(vehicles)
+
+
+def test_all_travel_times_against_brute_force(spark):
+    keys = range(25)
+    least = {(a, b): 0.0 if a == b else float("inf") for a in keys for b in keys}
+    for u in keys:
+        for v, s in (((u + 1) % 25, 10 + u % 7), ((u * 3 + 1) % 25, 25 + u % 5)):
+            least[u, v] = min(least[u, v], float(s))
+    for k in keys:
+        for a in keys:
+            for b in keys:
+                least[a, b] = min(least[a, b], least[a, k] + least[k, b])
+    got = {(r.source, r.target): r.seconds for r in registry.QUERIES["od_travel_times_all"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {(f"n{a:02d}", f"n{b:02d}"): s for (a, b), s in least.items()}
