@@ -114,8 +114,17 @@ def portfolio_statistics(spark, d):
 @query(f"""WITH {_samples_sql('binary')}, t AS (SELECT portfolio_id, cell_id, count(*) AS n, avg(d / 1e6) AS a, var_pop(d / 1e6) AS p FROM z WHERE portfolio_id IN ('5-5-5', '10-10-0') GROUP BY ALL)
     SELECT portfolio_id, cell_id, n AS nonzero, round(a * n / 20, 5) AS mean, round((p * n + a * a * n * (20 - n) / 20) / 19, 3) AS variance FROM t""")
 def portfolio_sensing_statistics(spark, d):
+    return _sensing_statistics(spark, d, _selected(spark, d).where(F.col("portfolio_id").isin("5-5-5", "10-10-0")))
+
+
+@query(f"""WITH {_samples_sql('binary')}, t AS (SELECT portfolio_id, cell_id, count(*) AS n, avg(d / 1e6) AS a, var_pop(d / 1e6) AS p FROM z GROUP BY ALL)
+    SELECT portfolio_id, cell_id, n AS nonzero, round(a * n / 20, 5) AS mean, round((p * n + a * a * n * (20 - n) / 20) / 19, 3) AS variance FROM t""")
+def portfolio_sensing_statistics_all(spark, d):
+    return _sensing_statistics(spark, d, _selected(spark, d))
+
+
+def _sensing_statistics(spark, d, selected):
     chosen = P.chosen_replications(_rounds(spark), replications(spark, d))
-    selected = _selected(spark, d).where(F.col("portfolio_id").isin("5-5-5", "10-10-0"))
     sums = selected.join(F.broadcast(chosen), "round_id").join(sparse(spark, d), ["replication_id", "fleet_id", "vehicle_id"]).groupBy("portfolio_id", "round_id", "cell_id").agg((F.sum("duration") / 1e6).alias("x"))
     return S.sparse_moments(sums, ["portfolio_id", "cell_id"], "x", ROUNDS).select("portfolio_id", "cell_id", "nonzero", F.round("mean", 5).alias("mean"), F.round("variance", 3).alias("variance"))
 

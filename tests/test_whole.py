@@ -87,3 +87,10 @@ def test_all_travel_times_against_brute_force(spark):
                 least[a, b] = min(least[a, b], least[a, k] + least[k, b])
     got = {(r.source, r.target): r.seconds for r in registry.QUERIES["od_travel_times_all"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {(f"n{a:02d}", f"n{b:02d}"): s for (a, b), s in least.items()}
+
+
+def test_every_portfolio_has_sensing_statistics(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.portfolio_id for r in registry.QUERIES["portfolio_sensing_statistics_all"](spark, sf).select("portfolio_id").distinct().collect()}
+    want = {r.portfolio_id for r in registry.QUERIES["portfolio_statistics"](spark, sf).select("portfolio_id").distinct().collect()}
+    assert len(want) > 2 and got == {p for p in want if set(p.split("-")) != {"0"}}
