@@ -211,6 +211,13 @@ def population_alignment(spark, d):
     return G.aligned_population(_cells(spark, d).select("cell_id"), p, "uniform_proxy").select("cell_id", "residents", "observed")
 
 
+@query("""WITH p AS (SELECT s_nationkey AS cell_id, CAST(count(*) AS DOUBLE) AS residents FROM supplier GROUP BY 1)
+    SELECT n_nationkey AS cell_id, coalesce(residents, 1.0) AS residents, residents IS NOT NULL AS observed FROM nation LEFT JOIN p ON cell_id = n_nationkey""")
+def population_alignment_all(spark, d):
+    p = table(spark, d, "supplier").select(F.col("s_nationkey").alias("cell_id"), F.lit(1.0).alias("residents"))
+    return G.aligned_population(_cells(spark, d).select("cell_id"), p, "uniform_proxy").select("cell_id", "residents", "observed")
+
+
 @query("""WITH q AS (SELECT c_custkey AS point_id, c_acctbal AS x, CAST(c_nationkey AS DOUBLE) * 40 AS y FROM customer), n AS (SELECT s_suppkey AS node_id, s_acctbal AS nx, CAST(s_nationkey AS DOUBLE) * 40 AS ny FROM supplier),
     j AS (SELECT point_id, node_id, sqrt((x - nx) ** 2 + (y - ny) ** 2) AS distance FROM q, n), k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance, node_id) AS r FROM j WHERE distance <= 150) SELECT point_id, node_id, round(distance, 6) AS distance FROM k WHERE r = 1""")
 def snap_nearest(spark, d):

@@ -94,3 +94,10 @@ def test_every_portfolio_has_sensing_statistics(spark):
     got = {r.portfolio_id for r in registry.QUERIES["portfolio_sensing_statistics_all"](spark, sf).select("portfolio_id").distinct().collect()}
     want = {r.portfolio_id for r in registry.QUERIES["portfolio_statistics"](spark, sf).select("portfolio_id").distinct().collect()}
     assert len(want) > 2 and got == {p for p in want if set(p.split("-")) != {"0"}}
+
+
+def test_population_counts_every_supplier_and_marks_cells_without(spark, tmp_path):
+    spark.createDataFrame([(c, 0) for c in range(4)], "n_nationkey bigint, n_regionkey bigint").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(1, 0), (2, 0), (3, 0), (4, 1), (5, 3)], "s_suppkey bigint, s_nationkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {tuple(r) for r in registry.QUERIES["population_alignment_all"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 3.0, True), (1, 1.0, True), (2, 1.0, False), (3, 1.0, True)}
