@@ -24,6 +24,8 @@ TERM = r"[\p{L}\p{M}\p{N}]++"
 PRIOR = 1.0
 #: Shares of a value's information that a term may give away: above the first it is generalised, above the second removed.
 GENERALISE, REMOVE = 0.75, 0.9
+#: Terms that may be sent to all tasks at once.
+SENT = 200_000
 #: A longer term's ancestor is its stem, its first code points; the next one is its kind, a word or a number.
 STEM = 4
 
@@ -121,7 +123,20 @@ def _entities(rows: DataFrame) -> DataFrame:
     return found.join(first, "entity")
 
 
-def disclosing(rows: DataFrame, n_docs: int) -> DataFrame:
+def _frequent(vocabulary: DataFrame, limit: int) -> DataFrame:
+    """The most frequent terms, at most limit of them, by quarters of a power of two."""
+    vocabulary = vocabulary.where(~F.endswith("term", F.lit("*")))
+    level = F.floor(4 * F.log2("n_term"))
+    sizes = vocabulary.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
+    least, n = 256, 0
+    for r in sizes:
+        if (n := n + r["n"]) > limit:
+            break
+        least = r["level"]
+    return vocabulary.where(level >= least).select("term")
+
+
+def disclosing(rows: DataFrame, vocabulary: DataFrame, n_docs: int) -> DataFrame:
     """(term, disclosure) of terms and stems that give away at least GENERALISE of some entity's information.
 
     Disclosure is the pointwise mutual information of term and entity over the entity's own information,
@@ -132,11 +147,10 @@ def disclosing(rows: DataFrame, n_docs: int) -> DataFrame:
     held = rows.where("size(base) > 0").select("row", _terms(rows).alias("terms")).join(F.broadcast(own) if within(own, 200_000) else own, "row")
     told = held.select("entities", F.explode("terms").alias("term")).select("term", F.explode("entities").alias("e")).groupBy("term", "e").agg(F.count("*").alias("n_both"))
     told = written(told.select("term", F.col("e.n_entity").alias("n_entity"), "n_both").distinct(), "pii-pairs")
-    n_term = rows.select(F.explode(_terms(rows)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     p_entity = F.col("n_entity") / F.lit(float(max(n_docs, 1)))
     share = (F.col("n_both") + PRIOR * p_entity) / (F.col("n_term") + PRIOR)
     disclosure = F.when(p_entity < 1, 1 + F.log(share) / -F.log(p_entity)).otherwise(F.lit(0.0))
-    return told.join(n_term, "term").groupBy("term").agg(F.max(disclosure).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    return told.join(vocabulary, "term").groupBy("term").agg(F.max(disclosure).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,14 +168,20 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(docs[text_col], F.lit(""))
     base = F.when(F.length(text) > 0, base_spans(text)).otherwise(F.array().cast(_SPANS))
     rows = written(docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("doc_id"), text.alias("text"), base.alias("base")), "pii-spans")
-    bad = written(disclosing(rows, rows.count()), "pii-disclosing")
+    vocabulary = written(rows.select(F.explode(_terms(rows)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "pii-vocabulary")
+    bad = written(disclosing(rows, vocabulary, rows.count()), "pii-disclosing")
     stems = bad.where(F.endswith("term", F.lit("*"))).select(F.col("term").alias("stem"), F.lit(True).alias("told"))
     acts = bad.where(~F.endswith("term", F.lit("*"))).withColumn("stem", _stem(F.col("term"))).join(stems, "stem", "left")
     kind = F.when(F.col("term").rlike(r"\p{L}"), "[WORD]").otherwise("[NUMBER]")
     to = F.when(F.col("disclosure") >= REMOVE, "").when(F.col("stem").isNotNull() & F.col("told").isNull(), F.col("stem")).otherwise(kind)
     acts = written(acts.select("term", to.alias("to")), "pii-actions")
-    forms = rows.select("row", F.explode(_forms(rows)).alias("form")).withColumn("term", F.lower("form"))
-    mine = forms.join(F.broadcast(acts) if within(acts, 200_000) else acts, "term").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("form", "to"))).alias("forms"))
+    forms = rows.select("row", F.explode(_forms(rows)).alias("form"))
+    if within(acts, SENT):
+        acts = F.broadcast(acts)
+    else:  # frequent terms that tell nothing are most of what would move
+        plain = written(_frequent(vocabulary, SENT).join(acts, "term", "left_anti"), "pii-plain")
+        forms = forms.join(F.broadcast(plain), F.lower("form") == plain["term"], "left_anti")
+    mine = forms.join(acts, F.lower("form") == F.col("term")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("form", "to"))).alias("forms"))
     mine = written(mine, "pii-terms")
     both = rows.join(F.broadcast(mine) if within(mine, 50_000) else mine, "row", "left")
     edge = r"[\p{L}\p{M}\p{N}]"
