@@ -25,8 +25,10 @@ ANCHORED = {
     "access": re.compile(r"AKIA[A-Z0-9]+"),
     "github": re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
     "npm": re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]*+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"),
 }
+#: What a JWT's head is made of; all heads that start in one such run end with it.
+_JWT_RUN = re.compile(r"[A-Za-z0-9_-]++")
 HEX_LEAST = 24
 _HEX_RUN = re.compile(r"[0-9a-f]+")
 _HEX_TWO = re.compile(r"[0-9a-f]{2,}")
@@ -53,7 +55,7 @@ def valid(kind: str, m: re.Match) -> bool:
     head = m.group().split(".")[0]
     try:
         return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):  # no JSON, or nested deeper than any head
         return False
 
 
@@ -97,6 +99,8 @@ def find_secrets(text: str, words) -> list[tuple[int, int, str]]:
             last[kind] = m.end()
             if valid(kind, m):
                 found.append((start, m.end(), kind))
+        elif kind == "jwt":
+            last[kind] = _JWT_RUN.match(text, start).end()
     found += [(a, b, "hex") for a, b in hex_runs(text)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
@@ -125,7 +129,8 @@ def scan_secrets(docs: DataFrame, keep: list[str], text_col: str = "text", redac
 
     One pass without a shuffle; what a task holds is a slice of a batch. Defined results: a null text has no spans (and
     stays null when redacted); repeated rows are scanned each; columns outside keep are dropped, so clashing names do
-    no harm; very long texts take time in proportion; an empty table gives none."""
+    no harm; very long texts take time in proportion, as a run of characters in which a token could start is read a
+    fixed number of times; a head that nests deeper than Python's parser goes is no JWT; an empty table gives none."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     own = [] if redact else [T.StructField(c, T.LongType()) for c in ("n_assign", "n_access", "n_hex")] + [T.StructField(c, T.StringType()) for c in ("base_sha256", "spans")]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -216,6 +219,36 @@ def test_secrets_with_checksums_and_replacement(spark):
     assert {tuple(r) for r in row.collect()} == {(1, "x [SECRET] y"), (2, None)}
 
 
+def test_secrets_in_hostile_texts(spark):
+    """A head of deep JSON, and long runs in which a token could start at every place: no crash, and time in proportion."""
+    words = secret_scan.automaton()
+    part = lambda s: base64.urlsafe_b64encode(s.encode()).decode().rstrip("=")
+    deep, sound = part('{"a":' + "[" * 300_000), part('{"alg":"none"}')
+    assert deep.startswith("eyJ") and secret_scan.find_secrets(f"{deep}.aa.bb {sound}.aa.bb", words) == [(len(deep) + 7, len(deep) + 7 + len(sound) + 6, "jwt")]
+    assert secret_scan.find_secrets(f"eyJeyJ{sound} {sound}.a {sound}.{sound}.c", words) == [(2 * len(sound) + 10, 4 * len(sound) + 13, "jwt")]
+    for text in ("eyJ" * 350_000, "eyJ." * 250_000, "eyJ" * 200_000 + "." + "eyJ" * 150_000, "token" * 200_000, "token=" * 170_000, "token " * 170_000, "AKIA" * 250_000, "AKIA " * 200_000, "ghp_" * 250_000, "a" * 1_000_000, "a-" * 500_000, "token" + " " * 1_000_000):
+        began = time.process_time()
+        secret_scan.find_secrets(text, words)
+        assert time.process_time() - began < 2, text[:12]
+    rows = [(1, f"token=abcdef1 {deep}.aa.bb"), (1, f"token=abcdef1 {deep}.aa.bb"), (2, "AKIA" * 100_000)]
+    got = sorted((r.doc_id, r.n_assign, r.n_access) for r in secret_scan.scan_secrets(table(spark, rows), ["doc_id"]).collect())
+    assert got == [(1, 1, 0), (1, 1, 0), (2, 0, 1)]
+    assert secret_scan.scan_secrets(table(spark, rows).limit(0), ["doc_id"]).count() == 0
+
+
+def test_npm_and_jwt_spans_against_brute_force():
+    rng, words = random.Random(11), secret_scan.automaton()
+    body = "abcdefghij0123456789ABCDEFGHIJ"
+    head = base64.urlsafe_b64encode(b'{"alg":"none"}').decode().rstrip("=")
+    pool = [f"npm_{body}{secret_scan.base62_crc32(body)}", f"npm_{body}zzzzzz", f"ghs_{body}{secret_scan.base62_crc32(body)}", head, "eyJ", ".", " ", "-", "a", "npm_"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randrange(14)))
+        want = []
+        for kind, pattern in (("github", r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), ("npm", r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), ("jwt", r"eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")):
+            want += [(m.start(), m.end(), kind) for m in re.finditer(pattern, text) if secret_scan.valid(kind, m)]
+        assert [s for s in secret_scan.find_secrets(text, words) if s[2] not in secret_scan.BASE_KINDS] == sorted(want, key=lambda s: (s[0], secret_scan.KINDS.index(s[2])))
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     rows = [(i, "w " * rng.randrange(30), rng.choice(["b", "a", "c", "é", None, "A"] if i % 3 else ["hot"])) for i in range(3000)] + [(9000, None, "z"), (9001, "", "z")]
