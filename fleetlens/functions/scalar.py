@@ -27,8 +27,8 @@ def utility(duration: Column, kind: str, saturation: float) -> Column:
 
 
 def quantised(value: Column, places: int = 12) -> Column:
-    """round_half_even(value / 10**-places) as decimal(38,0), from the shortest decimal text of the double."""
-    return F.bround(value.cast("string").cast("decimal(38,20)") * F.lit(10**places).cast("decimal(13,0)"), 0).cast("decimal(38,0)")
+    """round_half_even(value / 10**-places) as decimal(38,0), from the shortest decimal text of a double below 1e12; no digit is lost before the one rounding."""
+    return (F.bround(value.cast("string").cast("decimal(38,26)"), places) * F.lit(10**places).cast("decimal(13,0)")).cast("decimal(38,0)")
 
 
 def canonical_json(value) -> bytes:

@@ -33,9 +33,10 @@ def scalar_summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.var_samp(c).alias("variance"), F.stddev_samp(c).alias("std"), (F.stddev_samp(c) / F.sqrt(F.count(c))).alias("se"), F.min(c).alias("least"), F.max(c).alias("most"), *quantiles(c))
 
 
-def coverage(sums: DataFrame, observation: str, axis: DataFrame, cells: int, value: str) -> DataFrame:
+def coverage(sums: DataFrame, observation: str | list[str], axis: DataFrame, cells: int, value: str) -> DataFrame:
     """For each observation of the axis the share of cells with a positive sum; observations without rows are 0."""
-    seen = sums.groupBy(observation).agg((F.count_if(F.col(value) > 0) / F.lit(float(cells))).alias("coverage"))
+    observation = [observation] if isinstance(observation, str) else observation
+    seen = sums.groupBy(*observation).agg((F.count_if(F.col(value) > 0) / F.lit(float(cells))).alias("coverage"))
     return axis.join(seen, observation, "left").na.fill(0.0, ["coverage"])
 
 

@@ -42,22 +42,23 @@ def _roads(spark, d):
     return rows.select(F.format_string("e%02d_%d", "u", "k").alias("edge_id"), F.format_string("n%02d", "u").alias("u"), F.format_string("n%02d", "e.v").alias("v"), F.col("e.s").cast("double").alias("seconds"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS u, (n_nationkey + 1) % 25 AS v, 10 + n_nationkey % 7 AS s FROM nation UNION ALL SELECT n_nationkey, (n_nationkey * 3 + 1) % 25, 25 + n_nationkey % 5 FROM nation WHERE n_nationkey <> (n_nationkey * 3 + 1) % 25),
-    p AS (SELECT n_nationkey AS source, n_nationkey AS node, 0 AS s, 0 AS depth FROM nation WHERE n_nationkey < 5 UNION ALL SELECT source, v, p.s + e.s, depth + 1 FROM p JOIN e ON u = node WHERE depth < 13)
-    SELECT 'n' || lpad(CAST(source AS VARCHAR), 2, '0') AS source, 'n' || lpad(CAST(node AS VARCHAR), 2, '0') AS target, CAST(min(s) AS DOUBLE) AS seconds FROM p GROUP BY ALL""")
-def od_travel_times(spark, d):
-    nodes = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.format_string("n%02d", "n_nationkey").alias("node"))
-    pairs = nodes.where("k < 5").select(F.col("node").alias("source")).crossJoin(F.broadcast(nodes.select(F.col("node").alias("target"))))
-    return routing.od_costs(pairs, _roads(spark, d)).select("source", "target", "seconds")
+_TRAVEL = """WITH RECURSIVE e AS (SELECT n_nationkey AS u, (n_nationkey + 1) % 25 AS v, 10 + n_nationkey % 7 AS s FROM nation UNION ALL SELECT n_nationkey, (n_nationkey * 3 + 1) % 25, 25 + n_nationkey % 5 FROM nation WHERE n_nationkey <> (n_nationkey * 3 + 1) % 25),
+    p AS (SELECT n_nationkey AS source, n_nationkey AS node, 0 AS s FROM nation UNION SELECT source, v, p.s + e.s FROM p JOIN e ON u = node WHERE p.s + e.s <= 330)
+    SELECT 'n' || lpad(CAST(source AS VARCHAR), 2, '0') AS source, 'n' || lpad(CAST(node AS VARCHAR), 2, '0') AS target, CAST(min(s) AS DOUBLE) AS seconds FROM p GROUP BY ALL"""
 
 
-@query()
-def od_travel_times_all(spark, d):
+@query(_TRAVEL)
+def od_travel_times(spark, d):
     nodes = table(spark, d, "nation").select(F.format_string("n%02d", "n_nationkey").alias("node"))
     pairs = nodes.select(F.col("node").alias("source")).crossJoin(F.broadcast(nodes.select(F.col("node").alias("target"))))
     return routing.od_costs(pairs, _roads(spark, d)).select("source", "target", "seconds")
 
 
+@query(_TRAVEL)
+def od_travel_times_all(spark, d):
+    return od_travel_times(spark, d)
+
+
 @query("SELECT 'n' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS node_id, 'n00' AS component FROM nation")
 def strong_components(spark, d):
     return routing.strong_components(_roads(spark, d))
@@ -132,10 +133,10 @@ def semantic_seeds(spark, d):
     return u.select("user_id", F.floor(seed / F.lit(65536)).cast("bigint").alias("seed"))
 
 
-@query(f"""WITH {MOVEMENTS}, p AS (SELECT range AS piece, range / 4.0 AS f0, (range + 1) / 4.0 AS f1 FROM range(4)), t AS (SELECT replication_id, vehicle_id, piece, "start" + ("end" - "start") * f0 AS s, "start" + ("end" - "start") * f1 AS e FROM movements, p WHERE kind = 'click'),
+@query(f"""WITH {MOVEMENTS}, p AS (SELECT range AS piece, range / 4.0 AS f0, (range + 1) / 4.0 AS f1 FROM range(4)), t AS (SELECT replication_id, vehicle_id, piece, "start" + ("end" - "start") * f0 AS s, "start" + ("end" - "start") * f1 AS e FROM movements, p),
     b AS (SELECT range AS bin, range * {6.0 * HOUR} AS lo, (range + 1) * {6.0 * HOUR} AS hi FROM range(4)) SELECT bin, CASE WHEN piece < 3 THEN piece END AS cell_id, round(sum(least(e, hi) - greatest(s, lo)) / 1e6, 3) AS duration FROM t JOIN b ON e > lo AND s < hi GROUP BY ALL""")
 def movement_allocation(spark, d):
-    m = movements(spark, d).where("kind = 'click'").select("replication_id", "fleet_id", "vehicle_id", F.col("kind").alias("movement_kind"), F.lit("e").alias("edge_id"), F.col("start").cast("double").alias("start_s"), F.col("end").cast("double").alias("end_s"), F.lit(0.0).alias("edge_start_fraction"), F.lit(1.0).alias("edge_end_fraction"))
+    m = movements(spark, d).select("replication_id", "fleet_id", "vehicle_id", F.col("kind").alias("movement_kind"), F.lit("e").alias("edge_id"), F.col("start").cast("double").alias("start_s"), F.col("end").cast("double").alias("end_s"), F.lit(0.0).alias("edge_start_fraction"), F.lit(1.0).alias("edge_end_fraction"))
     pieces = spark.range(4).select(F.lit("e").alias("edge_id"), F.when(F.col("id") < 3, F.col("id")).alias("cell_id"), (F.col("id") / 4.0).alias("start_fraction"), ((F.col("id") + 1) / 4.0).alias("end_fraction"))
     bins = spark.range(4).select(F.col("id").alias("bin"), (F.col("id") * 6.0 * HOUR).alias("bin_start"), ((F.col("id") + 1) * 6.0 * HOUR).alias("bin_end"))
     return X.allocate_movements(m, F.broadcast(pieces), bins, 0.0, 24.0 * HOUR).groupBy("bin", "cell_id").agg(F.round(F.sum("duration") / 1e6, 3).alias("duration"))

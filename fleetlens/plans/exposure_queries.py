@@ -74,13 +74,15 @@ def window_matrix_levels(spark, d):
     return S.grouped_levels(sparse(spark, d), "replication_id", "duration")
 
 
-@query(f"""WITH {EXPOSURE}, c AS (SELECT replication_id, count(DISTINCT cell_id) / {CELLS}.0 AS coverage FROM exposure WHERE bin = 7 AND fleet_id = 1 GROUP BY 1),
-    a AS (SELECT replication_id, coalesce(coverage, 0) AS coverage FROM replications LEFT JOIN c USING (replication_id))
-    SELECT round(avg(coverage), 9) AS mean, round(quantile_cont(coverage, 0.05), 9) AS p05, round(quantile_cont(coverage, 0.5), 9) AS p50, round(quantile_cont(coverage, 0.95), 9) AS p95 FROM a""")
+@query(f"""WITH {EXPOSURE}, k AS (SELECT DISTINCT fleet_id, bin FROM exposure), c AS (SELECT replication_id, fleet_id, bin, count(DISTINCT cell_id) / {CELLS}.0 AS coverage FROM exposure GROUP BY ALL),
+    a AS (SELECT fleet_id, bin, coalesce(coverage, 0) AS coverage FROM (SELECT * FROM k, replications) LEFT JOIN c USING (replication_id, fleet_id, bin))
+    SELECT fleet_id, bin, round(avg(coverage), 9) AS mean, round(quantile_cont(coverage, 0.05), 9) AS p05, round(quantile_cont(coverage, 0.5), 9) AS p50, round(quantile_cont(coverage, 0.95), 9) AS p95 FROM a GROUP BY ALL""")
 def coverage_quantiles(spark, d):
-    sums = S.observed_sums(sparse(spark, d).where("bin = 7 and fleet_id = 1"), ["replication_id"], ["cell_id"], "duration")
-    c = S.coverage(sums, "replication_id", replications(spark, d), CELLS, "duration")
-    return c.agg(F.avg("coverage").alias("mean"), *S.quantiles(F.col("coverage"))).select(*[F.round(x, 9).alias(x) for x in ("mean", "p05", "p50", "p95")])
+    keys = ["replication_id", "fleet_id", "bin"]
+    sums = S.observed_sums(sparse(spark, d), keys, ["cell_id"], "duration")
+    axis = sums.select("fleet_id", "bin").distinct().crossJoin(F.broadcast(replications(spark, d)))
+    c = S.coverage(sums, keys, axis, CELLS, "duration")
+    return c.groupBy("fleet_id", "bin").agg(F.avg("coverage").alias("mean"), *S.quantiles(F.col("coverage"))).select("fleet_id", "bin", *[F.round(x, 9).alias(x) for x in ("mean", "p05", "p50", "p95")])
 
 
 @query(f"WITH {EXPOSURE} SELECT replication_id, fleet_id, vehicle_id, (cell_id % 10) // 5 + 2 * (cell_id // 50) AS coarse_cell, bin // 6 AS coarse_bin, CAST(sum(duration) AS BIGINT) AS duration FROM exposure GROUP BY ALL")
@@ -200,7 +202,7 @@ def carry_in_tasks(spark, d):
     return O.carry_in(tasks(spark, d), work, 9700, 9800).select("task_id", "status")
 
 
-@query(f"WITH {EXPOSURE}, c AS (SELECT cell_id, CAST(sum(duration) AS DOUBLE) AS x FROM exposure WHERE bin < 12 GROUP BY 1) SELECT round(quantile_cont(x, 0.95), 3) AS p95, max(x) AS most, count(x) AS n FROM c WHERE x > 0")
+@query(f"WITH {EXPOSURE}, c AS (SELECT cell_id, CAST(sum(duration) AS DOUBLE) AS x FROM exposure GROUP BY 1) SELECT round(quantile_cont(x, 0.95), 3) AS p95, max(x) AS most, count(x) AS n FROM c WHERE x > 0")
 def color_scale(spark, d):
-    cells = sparse(spark, d).where("bin < 12").groupBy("cell_id").agg(F.sum("duration").alias("x"))
+    cells = sparse(spark, d).groupBy("cell_id").agg(F.sum("duration").alias("x"))
     return S.color_scale(cells, "x").withColumn("p95", F.round("p95", 3))

@@ -69,7 +69,7 @@ def _selected(spark, d):
 def _samples(spark, d, kind="exponential"):
     chosen = P.chosen_replications(_rounds(spark), replications(spark, d))
     exposure = sparse(spark, d).withColumnRenamed("duration", "duration_us")
-    return P.sample_utilities(_portfolios(spark), chosen, _selected(spark, d), exposure, kind, SATURATION, 100)
+    return P.sample_utilities(_portfolios(spark), chosen, P.orderings(_vehicles(spark, d), _rounds(spark)), exposure, kind, SATURATION, 100)
 
 
 def _statistics(spark, d):
@@ -111,21 +111,24 @@ def portfolio_statistics(spark, d):
     return _statistics(spark, d).drop("counts")
 
 
-@query(f"""WITH {_samples_sql('binary')}, t AS (SELECT portfolio_id, cell_id, count(*) AS n, avg(d / 1e6) AS a, var_pop(d / 1e6) AS p FROM z WHERE portfolio_id IN ('5-5-5', '10-10-0') GROUP BY ALL)
-    SELECT portfolio_id, cell_id, n AS nonzero, round(a * n / 20, 5) AS mean, round((p * n + a * a * n * (20 - n) / 20) / 19, 3) AS variance FROM t""")
+_SENSING = f"""WITH {_samples_sql('binary')}, t AS (SELECT portfolio_id, cell_id, count(*) AS n, avg(d / 1e6) AS a, var_pop(d / 1e6) AS p FROM z GROUP BY ALL)
+    SELECT portfolio_id, cell_id, n AS nonzero, round(a * n / 20, 5) AS mean, round((p * n + a * a * n * (20 - n) / 20) / 19, 3) AS variance FROM t"""
+
+
+@query(_SENSING)
 def portfolio_sensing_statistics(spark, d):
-    return _sensing_statistics(spark, d, _selected(spark, d).where(F.col("portfolio_id").isin("5-5-5", "10-10-0")))
+    return _sensing_statistics(spark, d, _portfolios(spark))
 
 
-@query(f"""WITH {_samples_sql('binary')}, t AS (SELECT portfolio_id, cell_id, count(*) AS n, avg(d / 1e6) AS a, var_pop(d / 1e6) AS p FROM z GROUP BY ALL)
-    SELECT portfolio_id, cell_id, n AS nonzero, round(a * n / 20, 5) AS mean, round((p * n + a * a * n * (20 - n) / 20) / 19, 3) AS variance FROM t""")
+@query(_SENSING)
 def portfolio_sensing_statistics_all(spark, d):
-    return _sensing_statistics(spark, d, _selected(spark, d))
+    return portfolio_sensing_statistics(spark, d)
 
 
-def _sensing_statistics(spark, d, selected):
+def _sensing_statistics(spark, d, portfolios):
     chosen = P.chosen_replications(_rounds(spark), replications(spark, d))
-    sums = selected.join(F.broadcast(chosen), "round_id").join(sparse(spark, d), ["replication_id", "fleet_id", "vehicle_id"]).groupBy("portfolio_id", "round_id", "cell_id").agg((F.sum("duration") / 1e6).alias("x"))
+    ordered = P.orderings(_vehicles(spark, d), _rounds(spark))
+    sums = P.sample_matrices(portfolios, chosen, ordered, sparse(spark, d).withColumnRenamed("duration", "duration_us")).withColumn("x", F.col("d") / 1e6)
     return S.sparse_moments(sums, ["portfolio_id", "cell_id"], "x", ROUNDS).select("portfolio_id", "cell_id", "nonzero", F.round("mean", 5).alias("mean"), F.round("variance", 3).alias("variance"))
 
 
@@ -148,6 +151,18 @@ def budget_frontier_p05(spark, d):
     return P.frontier(_statistics(spark, d), _budgets(spark), "mean", "p05", more_risk_is_better=True).drop("tie_group")
 
 
+@query(f"""WITH {_STATISTICS}, t AS (SELECT portfolio_id, cost, mean, CASE WHEN cost % 3 <> 0 THEN std END AS std FROM statistics), f AS (SELECT budget, t.*, coalesce(std, 'infinity'::DOUBLE) AS r FROM t JOIN (SELECT unnest([10, 20, 30, 40, 50, 60]) AS budget) ON cost <= budget)
+    SELECT CAST(budget AS BIGINT) AS budget, portfolio_id, mean, std, NOT EXISTS (SELECT 1 FROM f g WHERE g.budget = f.budget AND ((g.mean > f.mean AND g.r <= f.r) OR (g.mean >= f.mean AND g.r < f.r))) AS nondominated FROM f""")
+def budget_frontier_unknown_risk(spark, d):
+    s = _statistics(spark, d).withColumn("std", F.when(F.col("cost") % 3 != 0, F.col("std")))
+    return P.frontier(s, _budgets(spark), "mean", "std").select("budget", "portfolio_id", "mean", "std", "nondominated")
+
+
+@query(f"""WITH {_STATISTICS} SELECT CAST(budget AS BIGINT) AS budget, portfolio_id, cost, CAST(NULL AS BOOLEAN) AS nondominated FROM statistics JOIN (SELECT unnest([10, 20, 30, 40, 50, 60]) AS budget) ON cost <= budget""")
+def budget_frontier_one_round(spark, d):
+    return P.frontier(_statistics(spark, d), _budgets(spark), "mean", "std", rounds=1).select("budget", "portfolio_id", "cost", "nondominated")
+
+
 @query(f"""WITH {_STATISTICS}, f AS (SELECT s.*, budget FROM statistics s JOIN portfolios USING (portfolio_id, cost) JOIN (SELECT unnest([10, 20, 30, 40, 50, 60]) AS budget) ON cost <= budget WHERE n2 = 0)
     SELECT CAST(budget AS BIGINT) AS budget, portfolio_id, mean, std FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.budget = f.budget AND ((g.mean > f.mean AND g.std <= f.std) OR (g.mean >= f.mean AND g.std < f.std)))""")
 def frontier_by_fleet_subset(spark, d):
@@ -166,9 +181,13 @@ def budget_levels(spark, d):
     return _portfolios(spark).join(F.broadcast(_budgets(spark)), F.col("cost") <= F.col("budget")).groupBy("budget").agg(F.count("*").alias("feasible"))
 
 
-@query("SELECT CAST(x AS DOUBLE) AS mean, CAST(floor(x * 1000000 + 0.5) AS BIGINT)::VARCHAR AS key FROM (SELECT unnest([0.0000014, 0.25, 12.125, 0.9999996]) AS x)")
+_HALVES = (0.0000014, 0.25, 12.125, 0.9999996, 0.0000005, 0.0000015, 0.0000025, -0.0000005, -0.0000015, 7.0000014999999, 0.0)
+
+
+@query(f"""WITH v AS (SELECT x, CAST(x AS DECIMAL(20, 14)) AS e FROM (SELECT unnest([{', '.join(f'{x:.14f}' for x in _HALVES)}]) AS x)), p AS (SELECT x, floor(e * 1000000) AS low, e * 1000000 - floor(e * 1000000) AS rest FROM v)
+    SELECT CAST(x AS DOUBLE) AS mean, CAST(CAST(low + CASE WHEN rest > 0.5 OR (rest = 0.5 AND CAST(low AS BIGINT) % 2 <> 0) THEN 1 ELSE 0 END AS BIGINT) AS VARCHAR) AS key FROM p""")
 def quantised_keys(spark, d):
-    return spark.createDataFrame([(x,) for x in (0.0000014, 0.25, 12.125, 0.9999996)], "mean double").select("mean", K.quantised(F.col("mean"), 6).cast("string").alias("key"))
+    return spark.createDataFrame([(x,) for x in _HALVES], "mean double").select("mean", K.quantised(F.col("mean"), 6).cast("string").alias("key"))
 
 
 _FEATURES = """cells AS (SELECT n_nationkey AS cell_id FROM nation), features AS (SELECT c_nationkey AS cell_id, 'customers' AS feature, CAST(count(*) AS DOUBLE) AS value FROM customer GROUP BY 1
@@ -204,18 +223,19 @@ def category_indicator(spark, d):
     return G.category_indicator(m, ["customers", "suppliers"]).withColumn("indicator", F.round("indicator", 9))
 
 
-@query("""WITH p AS (SELECT s_nationkey AS cell_id, CAST(count(*) AS DOUBLE) AS residents FROM supplier WHERE s_suppkey % 3 = 0 GROUP BY 1)
-    SELECT n_nationkey AS cell_id, coalesce(residents, 1.0) AS residents, residents IS NOT NULL AS observed FROM nation LEFT JOIN p ON cell_id = n_nationkey""")
+_POPULATION = """WITH p AS (SELECT s_nationkey AS cell_id, CAST(count(*) AS DOUBLE) AS residents FROM supplier GROUP BY 1)
+    SELECT n_nationkey AS cell_id, coalesce(residents, 1.0) AS residents, residents IS NOT NULL AS observed FROM nation LEFT JOIN p ON cell_id = n_nationkey"""
+
+
+@query(_POPULATION)
 def population_alignment(spark, d):
-    p = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("cell_id"), F.lit(1.0).alias("residents"))
+    p = table(spark, d, "supplier").select(F.col("s_nationkey").alias("cell_id"), F.lit(1.0).alias("residents"))
     return G.aligned_population(_cells(spark, d).select("cell_id"), p, "uniform_proxy").select("cell_id", "residents", "observed")
 
 
-@query("""WITH p AS (SELECT s_nationkey AS cell_id, CAST(count(*) AS DOUBLE) AS residents FROM supplier GROUP BY 1)
-    SELECT n_nationkey AS cell_id, coalesce(residents, 1.0) AS residents, residents IS NOT NULL AS observed FROM nation LEFT JOIN p ON cell_id = n_nationkey""")
+@query(_POPULATION)
 def population_alignment_all(spark, d):
-    p = table(spark, d, "supplier").select(F.col("s_nationkey").alias("cell_id"), F.lit(1.0).alias("residents"))
-    return G.aligned_population(_cells(spark, d).select("cell_id"), p, "uniform_proxy").select("cell_id", "residents", "observed")
+    return population_alignment(spark, d)
 
 
 @query("""WITH q AS (SELECT c_custkey AS point_id, c_acctbal AS x, CAST(c_nationkey AS DOUBLE) * 40 AS y FROM customer), n AS (SELECT s_suppkey AS node_id, s_acctbal AS nx, CAST(s_nationkey AS DOUBLE) * 40 AS ny FROM supplier),
@@ -313,9 +333,9 @@ def expected_overlap_preview(spark, d):
     return s.groupBy(F.col("hour").cast("bigint").alias("hour")).agg(F.round(F.sum(x), 6).alias("expected"))
 
 
-@query("SELECT o_custkey AS vehicle_id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 20")
+@query("SELECT o_custkey AS vehicle_id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
 def duplicate_keys(spark, d):
-    return N.duplicates(table(spark, d, "orders").select(F.col("o_custkey").alias("vehicle_id")), ["vehicle_id"]).where("n > 20")
+    return N.duplicates(table(spark, d, "orders").select(F.col("o_custkey").alias("vehicle_id")), ["vehicle_id"])
 
 
 @query("SELECT c_custkey AS o_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")

@@ -95,6 +95,40 @@ def test_frontiers(spark):
     assert [r.portfolio_id for r in portfolio.frontier(rows, budget, "mean", "std").where("nondominated").collect()] == ["C"]
 
 
+def test_frontiers_with_unknown_risk_ties_and_one_round(spark):
+    kind = "portfolio_id string, cost long, mean double, std double, p05 double"
+    budget = spark.createDataFrame([(1,)], "budget long")
+    stand = lambda rows, **k: {r.portfolio_id for r in portfolio.frontier(spark.createDataFrame(rows, kind), budget, "mean", k.pop("risk", "std"), **k).collect() if r.nondominated}
+    rows = [("a", 1, 1.0, None, None), ("b", 1, 0.5, 0.1, 0.2), ("c", 1, 0.4, 0.2, 0.3)]
+    assert stand(rows) == {"a", "b"} and stand(rows, risk="p05", more_risk_is_better=True) == {"a", "b", "c"}
+    assert stand([("a", 1, 0.5, None, None), ("b", 1, 0.5, 0.1, None), ("n", 1, 0.9, None, None), ("m", 1, 0.9, None, None)]) == {"b", "n", "m"}
+    ties = [("a", 1, 1.0, 1.0, 0.0), ("b", 1, 1.0, 1.0, 0.0), ("c", 1, 0.5, 2.0, 0.0), ("d", 1, 2.0, 2.0, 0.0)]
+    assert stand(ties) == {"a", "b", "d"}
+    groups = {r.portfolio_id: r.tie_group for r in portfolio.frontier(spark.createDataFrame(ties, kind), budget, "mean", "std").collect()}
+    assert groups == {"a": 1, "b": 1, "c": None, "d": 2}
+    near = [("a", 1, 1.0, 0.1, 0.0), ("b", 1, 1.0 + 4e-13, 0.1, 0.0), ("c", 1, 1.0 + 4e-12, 0.1 + 4e-13, 0.0)]
+    assert stand(near) == {"c"} and stand(near[:2]) == {"a", "b"}
+    one = portfolio.frontier(spark.createDataFrame(ties, kind), budget, "mean", "std", rounds=1).collect()
+    assert len(one) == 4 and all(r.nondominated is None and r.tie_group is None for r in one)
+
+
+def test_level_sums_are_those_of_the_selected_vehicles(spark):
+    rng = random.Random(5)
+    exposure = [(r, f, f"v{f}{v}", c, rng.randrange(1, 99)) for r in "ab" for f in (0, 1) for v in range(6) for c in range(4) if rng.random() < 0.6]
+    ordered = [(k, f, i, f"v{f}{v}") for k in range(3) for f in (0, 1) for i, v in enumerate(rng.sample(range(6), 6))]
+    chosen = {0: "a", 1: "b", 2: "a"}
+    portfolios = portfolio.count_portfolios(spark, {0: [0, 1, 4], 1: [0, 2, 9]}, {0: 1, 1: 1}, 99)
+    got = portfolio.sample_matrices(portfolios, spark.createDataFrame(list(chosen.items()), "round_id long, replication_id string"), spark.createDataFrame(ordered, "round_id long, fleet_id int, rank long, vehicle_id string"), spark.createDataFrame(exposure, "replication_id string, fleet_id int, vehicle_id string, cell_id long, duration_us long"))
+    want = {}
+    for n0 in (0, 1, 4):
+        for n1 in (0, 2, 9):
+            for k, f, rank, v in ordered:
+                for r, f2, v2, c, x in exposure:
+                    if r == chosen[k] and (f2, v2) == (f, v) and rank < (n0, n1)[f]:
+                        want[f"{n0}-{n1}", k, c] = want.get((f"{n0}-{n1}", k, c), 0) + x
+    assert {(r.portfolio_id, r.round_id, r.cell_id): r.d for r in got.collect()} == want
+
+
 def test_frontiers_against_pairwise_dominance(spark):
     rng = random.Random(710)
     data = [(f"p{i}", rng.randrange(10), float(rng.randrange(6)), float(rng.randrange(6))) for i in range(80)]
