@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 #: The order of what happens at one time.
 COMPLETION, EXIT, ENTRY, RELEASE, DISPATCH, HORIZON = 1, 2, 3, 4, 5, 7
-MOST_EVENTS = 1_000_000
 
 
 @dataclass
@@ -33,6 +32,9 @@ class Run:
 
     At a time, completions come first, then exits, entries and releases; dispatch follows when all of them are done,
     nearest pairs first by (travel, release, task, vehicle), each task and vehicle once, until nothing more fits.
+    A task released before the start waits from the start on, without an event. An exit interrupts what its vehicle is
+    at; a completion that comes later is stale. At the horizon only completions take place, and then what is still
+    assigned is censored and what waits stays unserved.
     After a dispatch no free vehicle fits a waiting task, so the next one only looks from what has come since: each new
     task's best vehicle and each new vehicle's best task, found outwards from its place and sought again when taken."""
 
@@ -55,45 +57,59 @@ class Run:
 
     def go(self) -> None:
         self.least = min((t["quantity"] for t in self.tasks.values()), default=0.0)
-        for t in self.tasks.values():
-            self.outcome[t["task_id"]] = {"status": "unreleased", "vehicle_id": None, "assigned_at": None, "service_at": None, "completed_at": None}
-            self.push(max(t["release"], 0.0), RELEASE, t["task_id"])
+        for key, t in self.tasks.items():
+            self.outcome[key] = {"status": "unreleased", "vehicle_id": None, "assigned_at": None, "service_at": None, "completed_at": None, "terminal_at": None}
+            if t["release"] < 0:
+                self.wait(key)
+            else:
+                self.push(t["release"], RELEASE, key)
         for v in self.vehicles.values():
             self.push(v.start, ENTRY, v.vehicle_id)
             self.push(v.end, EXIT, v.vehicle_id)
-        handled = 0
         while self.heap and self.heap[0][0] < self.horizon:
             now = self.heap[0][0]
             while self.heap and self.heap[0][0] == now:
-                _, phase, key = heapq.heappop(self.heap)
-                handled += 1
-                if handled > MOST_EVENTS:
-                    raise ValueError(f"more than {MOST_EVENTS} events")
-                self.handle(now, phase, key)
+                self.handle(*heapq.heappop(self.heap))
             self.dispatch(now)
+        while self.heap and self.heap[0][:2] == (self.horizon, COMPLETION):
+            self.handle(*heapq.heappop(self.heap))
         for key, o in sorted(self.outcome.items()):
             if o["status"] in ("waiting", "assigned"):
-                o["status"] = "unserved_horizon" if o["status"] == "waiting" else "censored_horizon"
-                self.events.append((self.horizon, HORIZON, o["status"], o["vehicle_id"], key))
+                self.end(key, self.horizon, HORIZON, "unserved_horizon" if o["status"] == "waiting" else "censored_horizon")
+        self.events += [(self.horizon, HORIZON, "exit", k, None) for k, v in sorted(self.vehicles.items()) if v.inside and v.end <= self.horizon]
+
+    def wait(self, key: str) -> None:
+        t = self.tasks[key]
+        self.outcome[key]["status"] = "waiting"
+        insort(self.waiting, (t["place"], t["release"], key))
+        self.new_tasks.add(key)
+
+    def end(self, key: str, now: float, phase: int, status: str) -> None:
+        o = self.outcome[key]
+        o.update(status=status, terminal_at=now)
+        self.events.append((now, phase, "completion" if status == "completed" else status, o["vehicle_id"], key))
 
     def handle(self, now: float, phase: int, key: str) -> None:
         if phase == COMPLETION:
             o = self.outcome[key]
+            if o["status"] != "assigned":
+                self.events.append((now, phase, "stale_completion_ignored", o["vehicle_id"], key))
+                return
             v = self.vehicles[o["vehicle_id"]]
-            o["status"], o["completed_at"], v.busy, v.place = "completed", now, None, self.tasks[key]["place"]
+            o["completed_at"], v.busy, v.place = now, None, self.tasks[key]["place"]
+            self.end(key, now, phase, "completed")
             self.set_free(v)
-            self.events.append((now, phase, "completion", v.vehicle_id, key))
         elif phase == RELEASE:
-            t = self.tasks[key]
-            self.outcome[key]["status"] = "waiting"
-            insort(self.waiting, (t["place"], t["release"], key))
-            self.new_tasks.add(key)
+            self.wait(key)
             self.events.append((now, phase, "release", None, key))
         else:
             v = self.vehicles[key]
             self.drop(self.free, (v.place, key))
             self.new_vehicles.discard(key)
             v.inside = phase == ENTRY
+            if v.busy is not None and phase == EXIT:
+                self.end(v.busy, now, phase, "interrupted_shift")
+                v.busy = None
             self.set_free(v)
             self.events.append((now, phase, "entry" if phase == ENTRY else "exit", key, None))
 
@@ -156,7 +172,7 @@ class Run:
 
 
 EVENTS = "replication_id string, event_index bigint, time_s double, phase_order int, event_type string, vehicle_id string, task_id string"
-OUTCOMES = "replication_id string, task_id string, status string, vehicle_id string, assigned_at double, service_at double, completed_at double"
+OUTCOMES = "replication_id string, task_id string, status string, vehicle_id string, assigned_at double, service_at double, completed_at double, terminal_at double"
 
 
 def _simulated(tasks: pd.DataFrame, vehicles: pd.DataFrame, horizon: float) -> Run:
@@ -169,14 +185,14 @@ def simulate(tasks: DataFrame, vehicles: DataFrame, horizon: float, what: str =
     """Operational events, or outcomes, of every replication.
 
     tasks has replication_id, task_id, release, place, duration, quantity; vehicles has replication_id, vehicle_id,
-    start_s, end_s, place, capacity. A replication is sequential and is one task's work; its size is bounded by
-    MOST_EVENTS, beyond which it fails."""
+    start_s, end_s, place, capacity. A replication is sequential and is one task's work; its events are a few for each
+    task and vehicle, so it ends."""
 
     def run(key: tuple, t: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         r = _simulated(t, v, horizon)
         if what == "events":
             return pd.DataFrame([(key[0], i, *e) for i, e in enumerate(r.events)], columns=["replication_id", "event_index", "time_s", "phase_order", "event_type", "vehicle_id", "task_id"])
-        return pd.DataFrame([(key[0], k, o["status"], o["vehicle_id"], o["assigned_at"], o["service_at"], o["completed_at"]) for k, o in sorted(r.outcome.items())], columns=["replication_id", "task_id", "status", "vehicle_id", "assigned_at", "service_at", "completed_at"])
+        return pd.DataFrame([(key[0], k, o["status"], o["vehicle_id"], o["assigned_at"], o["service_at"], o["completed_at"], o["terminal_at"]) for k, o in sorted(r.outcome.items())], columns=["replication_id", "task_id", "status", "vehicle_id", "assigned_at", "service_at", "completed_at", "terminal_at"])
 
     own = vehicles.select(F.col("replication_id").alias("_replication"), *[F.col(c).alias(c) for c in ("vehicle_id", "start_s", "end_s", "place", "capacity")])
     return tasks.groupBy("replication_id").cogroup(own.groupBy("_replication")).applyInPandas(run, EVENTS if what == "events" else OUTCOMES)

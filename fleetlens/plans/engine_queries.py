@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from fleetlens.operators import exposure as X
 from fleetlens.operators import kernel, normalize, routing
 from fleetlens.operators import stats as S
 from fleetlens.sources import artifacts
+from fleetlens.sources.scratch import shared_folder
 from fleetlens.streaming import exposure_stream
 
 from .bindings import HOUR, MOVEMENTS, movements, table
@@ -30,11 +30,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _shared(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fleetlens-")
-    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
-
-
 def _roads(spark, d):
     n = F.col("n_nationkey")
     own = F.array(F.struct(((n + 1) % 25).alias("v"), (10 + n % 7).alias("s")), F.struct(((n * 3 + 1) % 25).alias("v"), (25 + n % 5).alias("s")))
@@ -101,13 +96,13 @@ def stream_windowed_activity(spark, d):
     schema = table(spark, d, "events").schema
     stream = exposure_stream.event_stream(spark, f"{d}/events.parquet", schema)
     name = f"activity_{uuid.uuid4().hex}"
-    out = exposure_stream.run_to_table(exposure_stream.windowed_activity(stream), name, _shared(spark))
+    out = exposure_stream.run_to_table(exposure_stream.windowed_activity(stream), name, shared_folder(spark))
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", "duration_us")
 
 
 @query(f"WITH {MOVEMENTS} SELECT event_id, replication_id, cell_id FROM movements WHERE replication_id = '2024-01-05'")
 def artifact_scan(spark, d):
-    root = _shared(spark)
+    root = shared_folder(spark)
     rows = movements(spark, d).select("event_id", "cell_id", "replication_id")
     name = artifacts.publish(rows, root, "movements", {"source": d}, keys=["event_id"], partition_by=["replication_id"])
     return artifacts.open_verified(spark, root, "movements", name).where("replication_id = '2024-01-05'").select("event_id", "replication_id", "cell_id")

@@ -11,14 +11,18 @@ from fleetlens.operators import kernel
 
 def all_pairs(tasks, vehicles, horizon):
     """Events and outcomes by forming every free and waiting pair after every time at which something happens."""
-    due = [(max(t["release"], 0.0), 4, k) for k, t in tasks.items()] + [(v["start"], 3, k) for k, v in vehicles.items()] + [(v["end"], 2, k) for k, v in vehicles.items()]
-    state, used, place, inside, busy, got, out = {}, dict.fromkeys(vehicles, 0.0), {k: v["place"] for k, v in vehicles.items()}, set(), {}, {}, []
-    while due and min(due)[0] < horizon:
+    due = [(t["release"], 4, k) for k, t in tasks.items() if t["release"] >= 0] + [(v["start"], 3, k) for k, v in vehicles.items()] + [(v["end"], 2, k) for k, v in vehicles.items()]
+    state, used, place, inside, busy, got, out = {k: "waiting" for k, t in tasks.items() if t["release"] < 0}, dict.fromkeys(vehicles, 0.0), {k: v["place"] for k, v in vehicles.items()}, set(), {}, {}, []
+    while due and min(due)[:2] <= (horizon, 1):
         now = min(due)[0]
         for e in sorted(x for x in due if x[0] == now):
+            if now == horizon and e[1] > 1:
+                break
             due.remove(e)
             _, phase, k = e
-            if phase == 1:
+            if phase == 1 and state[k] != "assigned":
+                out.append((now, phase, "stale_completion_ignored", got[k], k))
+            elif phase == 1:
                 v = got[k]
                 state[k], place[v] = "completed", tasks[k]["place"]
                 del busy[v]
@@ -28,7 +32,12 @@ def all_pairs(tasks, vehicles, horizon):
                 out.append((now, phase, "release", None, k))
             else:
                 (inside.add if phase == 3 else inside.discard)(k)
+                if phase == 2 and k in busy:
+                    state[busy[k]] = "interrupted_shift"
+                    out.append((now, phase, "interrupted_shift", k, busy.pop(k)))
                 out.append((now, phase, "entry" if phase == 3 else "exit", k, None))
+        if now == horizon:
+            break
         pairs = [(abs(place[v] - tasks[t]["place"]), tasks[t]["release"], t, v) for v in inside - set(busy) for t, s in state.items() if s == "waiting" and used[v] + tasks[t]["quantity"] <= vehicles[v]["capacity"]]
         for travel, _, t, v in sorted(pairs):
             if v not in busy and state[t] == "waiting":
@@ -57,6 +66,41 @@ def test_dispatch_takes_the_pairs_that_all_pairs_give():
         assert {k: (named.get(o["status"], o["status"]), o["vehicle_id"]) for k, o in run.outcome.items()} == outcome
 
 
+def _run(tasks, vehicles, horizon):
+    """tasks: release, place, duration; vehicles: start, end, place."""
+    run = kernel.Run(horizon, {k: {"task_id": k, "release": r, "place": p, "duration": d, "quantity": 1.0} for k, (r, p, d) in tasks.items()}, {k: kernel.Vehicle(k, *v, 99.0) for k, v in vehicles.items()})
+    run.go()
+    return run.events, {k: (o["status"], o["terminal_at"]) for k, o in run.outcome.items()}
+
+
+def test_events_of_one_time_come_in_the_stated_order():
+    """Golden: what happens at one time, in whatever order it was put in."""
+    events, _ = _run({"new_task": (5.0, 0.0, 0.0), "old_task": (0.0, 0.0, 5.0)}, {"old": (0.0, 5.0, 0.0), "new": (5.0, 20.0, 0.0)}, 20.0)
+    assert events == [
+        (0.0, 3, "entry", "old", None), (0.0, 4, "release", None, "old_task"), (0.0, 5, "assignment", "old", "old_task"),
+        (5.0, 1, "completion", "old", "old_task"), (5.0, 2, "exit", "old", None), (5.0, 3, "entry", "new", None), (5.0, 4, "release", None, "new_task"), (5.0, 5, "assignment", "new", "new_task"), (5.0, 1, "completion", "new", "new_task"),
+        (20.0, 7, "exit", "new", None),
+    ]
+
+
+def test_exact_completions_at_the_horizon_count_and_the_rest_is_censored():
+    events, state = _run({"a": (0.0, 0.0, 10.0), "b": (0.0, 50.0, 15.0), "c": (9.0, 0.0, 1.0), "d": (10.0, 0.0, 1.0)}, {"va": (0.0, 20.0, 0.0), "vb": (0.0, 20.0, 50.0)}, 10.0)
+    assert state == {"a": ("completed", 10.0), "b": ("censored_horizon", 10.0), "c": ("unserved_horizon", 10.0), "d": ("unreleased", None)}
+    assert max(e[0] for e in events) <= 10.0
+
+
+def test_an_exit_interrupts_and_the_late_completion_is_stale():
+    events, state = _run({"long": (0.0, 0.0, 10.0)}, {"v": (0.0, 5.0, 0.0)}, 20.0)
+    assert state == {"long": ("interrupted_shift", 5.0)}
+    assert [e for e in events if e[2] == "stale_completion_ignored"] == [(10.0, 1, "stale_completion_ignored", "v", "long")]
+
+
+def test_carried_tasks_wait_without_a_release_and_zero_durations_close_at_one_time():
+    events, state = _run({"early": (-4.0, 0.0, 0.0), "t1": (0.0, 0.0, 0.0), "t2": (0.0, 0.0, 0.0)}, {"v": (0.0, 10.0, 0.0)}, 10.0)
+    assert set(state.values()) == {("completed", 0.0)}
+    assert {e[4] for e in events if e[2] == "release"} == {"t1", "t2"} and [e[4] for e in events if e[2] == "assignment"] == ["early", "t1", "t2"]
+
+
 def test_kernel_queries_simulate_all_orders_and_suppliers(spark, tmp_path):
     days, suppliers = [datetime.date(1995, 1, d) for d in (1, 2, 3)], [1, 7, 11, 190, 400, 1000]
     orders = [(k, 37 * k, days[k % 3]) for k in range(1, 60)]
