@@ -8,7 +8,7 @@ from fleetlens.operators import exposure as X
 from fleetlens.operators import intervals as I
 from fleetlens.operators import operations as O
 from fleetlens.operators import stats as S
-from fleetlens.sources.paging import table_page
+from fleetlens.sources.paging import beyond, filtered, table_page
 
 from .bindings import BINS, CELLS, DAY, EXPOSURE, HOUR, MOVEMENTS, SPLIT, TASKS, movements, replications, tasks
 
@@ -120,6 +120,12 @@ def table_page_query(spark, d):
     return table_page(rows, key=["event_id"], filters={"kind": "click"}, window=("start", "end", 8 * HOUR, 20 * HOUR), offset=200, size=100)
 
 
+@query(f"""WITH {MOVEMENTS} SELECT vehicle_id, event_id, kind FROM movements WHERE kind = 'click' AND (vehicle_id > 7 OR (vehicle_id = 7 AND event_id > 300)) ORDER BY vehicle_id, event_id LIMIT 100""")
+def keyset_page(spark, d):
+    rows = filtered(movements(spark, d).select("vehicle_id", "event_id", "kind"), {"kind": "click"})
+    return beyond(rows, ["vehicle_id", "event_id"], ["7", "300"]).orderBy("vehicle_id", "event_id").limit(100)
+
+
 @query(f"""WITH {MOVEMENTS}, b AS (SELECT range AS bin, range * {3 * HOUR} AS lo, CASE range WHEN 7 THEN {DAY} ELSE (range + 1) * {3 * HOUR} END AS hi FROM range(8))
     SELECT bin, fleet_id, CAST(sum(least("end", hi) - greatest("start", lo)) AS BIGINT) AS duration FROM movements JOIN b ON "end" > lo AND "start" < hi GROUP BY ALL""")
 def range_join_bins(spark, d):

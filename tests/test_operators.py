@@ -212,10 +212,16 @@ def test_pages_and_limits(spark):
     df = spark.range(50).withColumn("even", F.col("id") % 2 == 0)
     page = paging.table_page(df, key=["id"], filters={"even": "True"}, offset=5, size=3).collect()
     assert [(r.id, r.total) for r in page] == [(10, 25), (12, 25), (14, 25)]
-    mark = paging.fingerprint("t", {"even": "True"}, None)
-    assert paging.cursor_offset(paging.cursor(5, mark), mark) == 5
+    ask = {"key": ["even", "id"], "filters": {"even": "True"}, "size": 7}
+    seen, mark, pages = [], None, 0
+    while pages == 0 or mark:
+        rows, mark = paging.next_page(df, after=mark, **ask)
+        seen, pages = seen + [r.id for r in rows], pages + 1
+    assert seen == list(range(0, 50, 2)) and pages == 4
+    _, mark = paging.next_page(df, **ask)
     with pytest.raises(ValueError):
-        paging.cursor_offset(paging.cursor(5, "other"), mark)
+        paging.next_page(df, after=mark, **(ask | {"filters": {}}))
+    assert paging.next_page(df.limit(0), **ask) == ([], None)
     with pytest.raises(paging.LimitExceeded):
         paging.bounded_rows(df, 10)
     with pytest.raises(KeyError):
