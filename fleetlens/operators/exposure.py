@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .intervals import clip, join_bins, overlaps
+from .sizes import small
 
 KEYS = ["replication_id", "fleet_id", "vehicle_id", "cell_id", "bin"]
 
@@ -19,12 +20,15 @@ def allocate_movements(movements: DataFrame, pieces: DataFrame, bins: DataFrame,
     """Pieces of movements by cell (null: outside the grid) and bin, with `duration`.
 
     Motion along an edge is linear. kinds keeps movement kinds, for all fleets or by fleet. Pieces meet movements on
-    the edge, with the overlap of their fractions as a residual condition of that equi-join."""
+    the edge, with the overlap of their fractions as a residual condition of that equi-join. A movement on an edge
+    without pieces fails the query."""
     m = movements
     if isinstance(kinds, dict):
         m = m.where(F.coalesce(*[F.when((F.col("fleet_id") == f) & F.col("movement_kind").isin(k), True) for f, k in sorted(kinds.items())], F.lit(False)))
     elif kinds is not None:
         m = m.where(F.col("movement_kind").isin(kinds))
+    known = pieces.select("edge_id").distinct().withColumn("_known", F.lit(True))
+    m = m.join(small(known), "edge_id", "left").where(F.assert_true("_known", F.concat(F.lit("no geometry of edge "), F.col("edge_id").cast("string"))).isNull()).drop("_known")
     p = pieces.select(F.col("edge_id").alias("_edge"), "cell_id", "start_fraction", "end_fraction")
     met = m.join(p, (F.col("edge_id") == F.col("_edge")) & overlaps(F.col("start_fraction"), F.col("end_fraction"), F.col("edge_start_fraction"), F.col("edge_end_fraction")))
     f0, f1 = F.greatest("start_fraction", "edge_start_fraction"), F.least("end_fraction", "edge_end_fraction")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fleetlens.operators.sizes import small
+
 
 def overlaps(start: Column, end: Column, low: Column, high: Column) -> Column:
     """Half-open overlap: touching intervals don't."""
@@ -27,14 +29,20 @@ def split_bins(df: DataFrame, start: str, end: str, width: int, origin: int = 0)
     return rows.withColumn("duration", F.least(F.col(end), low + width) - F.greatest(F.col(start), low))
 
 
-def join_bins(df: DataFrame, bins: DataFrame, start: str, end: str, *, most_bins: int = 10_000) -> DataFrame:
-    """Intervals against bins (bin, bin_start, bin_end) of any widths.
-
-    Bins are a dimension of few rows; a longer axis than most_bins is refused, since each task scans it for each row."""
-    if bins.limit(most_bins + 1).count() > most_bins:
-        raise ValueError(f"more than {most_bins} bins; use split_bins on a uniform axis")
-    joined = df.join(F.broadcast(bins), overlaps(F.col(start), F.col(end), F.col("bin_start"), F.col("bin_end")))
-    return joined.withColumn("duration", F.least(end, "bin_end") - F.greatest(start, "bin_start"))
+def join_bins(df: DataFrame, bins: DataFrame, start: str, end: str) -> DataFrame:
+    """Intervals against bins (bin, bin_start, bin_end) of any widths and number, with the `duration` of each overlap.
+
+    Both sides are dealt to slots as wide as the mean bin and meet in an equi-join; a pair that shares several slots is
+    kept in the first. A short axis is broadcast."""
+    low, width = bins.agg(F.min("bin_start").cast("double"), ((F.max("bin_end") - F.min("bin_start")) / F.count("*")).cast("double")).first()
+    slot = lambda c: F.floor((c.cast("double") - F.lit(low or 0.0)) / F.lit(width or 1.0))
+    axis = bins.where("bin_end > bin_start").withColumn("_first", slot(F.col("bin_start")))
+    axis = axis.withColumn("_slot", F.explode(F.sequence("_first", slot(F.col("bin_end")))))
+    top = axis.agg(F.max("_slot")).first()[0]
+    rows = df.where(F.col(end) > F.col(start)).withColumns({"_own": F.greatest(slot(F.col(start)), F.lit(0)), "_last": F.least(slot(F.col(end)), F.lit(top or 0))}).where("_own <= _last")
+    rows = rows.withColumn("_slot", F.explode(F.sequence("_own", "_last")))
+    met = rows.join(small(axis), "_slot").where(overlaps(F.col(start), F.col(end), F.col("bin_start"), F.col("bin_end")) & (F.col("_slot") == F.greatest("_own", "_first")))
+    return met.drop("_slot", "_own", "_last", "_first").withColumn("duration", F.least(end, "bin_end") - F.greatest(start, "bin_start"))
 
 
 def fractional_clip(df: DataFrame, start: str, end: str, f0: str, f1: str, low, high) -> DataFrame:

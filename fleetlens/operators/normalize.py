@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,18 +76,28 @@ def task_timing(steps: DataFrame) -> DataFrame:
 def chain_duties(trips: DataFrame, turnaround: int, keys: list[str]) -> DataFrame:
     """Duties by greedy chaining within a group: each trip in order joins the duty that ended where it starts (deadhead 0) or anywhere, with least (deadhead, slack, duty), else it opens one.
 
-    Sequential by nature, so it runs as one pandas function a group; a group is one depot's day."""
+    Sequential by nature, so it runs as one pandas function a group; a group is one depot's day. Open duties are held
+    by place in order of their end, so a trip looks at one of each place."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["start", "trip_id"], ignore_index=True)
-        ends: list[tuple[int, str]] = []
-        duty = []
+        ends: dict = {}  # place -> (end, -duty) in order
+        duties, n = [], 0
         for r in pdf.itertuples():
-            fits = [(int(place != r.origin), r.start - end, k) for k, (end, place) in enumerate(ends) if end + turnaround * (1 + (place != r.origin)) <= r.start]
-            k = min(fits)[2] if fits else len(ends)
-            ends[k : k + 1] = [(r.end, r.destination)]
-            duty.append(k)
-        return pdf.assign(duty=duty)[[*keys, "trip_id", "duty"]]
+            best = None
+            for place, held in ends.items():
+                away = int(place != r.origin)
+                i = bisect_left(held, (r.start - turnaround * (1 + away), 1)) - 1
+                if i >= 0 and (best is None or (away, r.start - held[i][0], -held[i][1]) < best[0]):
+                    best = (away, r.start - held[i][0], -held[i][1]), place, i
+            if best:
+                duty = best[0][2]
+                del ends[best[1]][best[2]]
+            else:
+                duty, n = n, n + 1
+            insort(ends.setdefault(r.destination, []), (r.end, -duty))
+            duties.append(duty)
+        return pdf.assign(duty=duties)[[*keys, "trip_id", "duty"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in trips.schema}
     return trips.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in [*keys, "trip_id"]) + ", duty bigint")

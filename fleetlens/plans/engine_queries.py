@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from fleetlens.functions import scalar as K
@@ -54,9 +52,13 @@ def od_travel_times_all(spark, d):
     return od_travel_times(spark, d)
 
 
-@query("SELECT 'n' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS node_id, 'n00' AS component FROM nation")
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation UNION SELECT n_nationkey, n_nationkey - n_nationkey % 5 FROM nation), c AS (SELECT n_nationkey AS a, n_nationkey AS b FROM nation UNION SELECT c.a, e.b FROM c JOIN e ON e.a = c.b)
+    SELECT 'n' || lpad(CAST(x.a AS VARCHAR), 2, '0') AS node_id, 'n' || lpad(CAST(min(x.b) AS VARCHAR), 2, '0') AS component FROM c x JOIN c y ON x.a = y.b AND x.b = y.a GROUP BY x.a""")
 def strong_components(spark, d):
-    return routing.strong_components(_roads(spark, d))
+    n = F.col("n_nationkey")
+    ways = F.explode(F.array((n * 3 + 1) % 25, n - n % 5))
+    rows = table(spark, d, "nation").select(n.alias("u"), ways.alias("v"))
+    return routing.strong_components(rows.select(F.format_string("e%02d_%02d", "u", "v").alias("edge_id"), F.format_string("n%02d", "u").alias("u"), F.format_string("n%02d", "v").alias("v"), F.lit(1.0).alias("seconds")))
 
 
 def _simulation(spark, d, what):
@@ -80,23 +82,25 @@ def kernel_outcomes(spark, d):
 @query()
 def duty_chains(spark, d):
     start = F.unix_date(F.col("o_orderdate").cast("date")) * 10 + F.col("o_orderkey") % 10
-    trips = table(spark, d, "orders").select("o_orderpriority", F.col("o_orderkey").alias("trip_id"), start.cast("bigint").alias("start"), (start + 5 + F.col("o_orderkey") % 30).cast("bigint").alias("end"), (F.col("o_custkey") % 8).alias("origin"), (F.col("o_custkey") % 5).alias("destination"))
-    return normalize.chain_duties(trips, 2, ["o_orderpriority"])
+    trips = table(spark, d, "orders").select("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderkey").alias("trip_id"), start.cast("bigint").alias("start"), (start + 5 + F.col("o_orderkey") % 30).cast("bigint").alias("end"), (F.col("o_custkey") % 8).alias("origin"), (F.col("o_custkey") % 5).alias("destination"))
+    return normalize.chain_duties(trips, 2, ["o_orderpriority", "month"])
 
 
-@query("""WITH s AS (SELECT l_orderkey AS task_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k, CAST(l_quantity AS BIGINT) AS q FROM lineitem), n AS (SELECT task_id, max(k) AS n FROM s GROUP BY 1),
-    r AS (SELECT task_id, CAST(task_id % 100 + sum(10 + q) AS BIGINT) AS "end" FROM s GROUP BY 1) SELECT * FROM r""")
+@query("""WITH x AS (SELECT l_orderkey AS task_id, l_orderkey % 100 AS release, row_number() OVER w AS k, l_linenumber * 40 - l_partkey % 50 AS target, sum(10 + CAST(l_quantity AS BIGINT)) OVER w AS after, 10 + CAST(l_quantity AS BIGINT) AS own FROM lineitem
+        WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_linenumber * 40 - l_partkey % 50, CAST(l_quantity AS BIGINT) ROWS UNBOUNDED PRECEDING)),
+    y AS (SELECT *, max(target - (after - own)) OVER (PARTITION BY task_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS held, max(target - (after - own)) OVER (PARTITION BY task_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ahead FROM x)
+    SELECT task_id, CAST(max(after + greatest(release, held)) AS BIGINT) AS "end", CAST(sum(greatest(after - own + greatest(release, coalesce(ahead, release)) - target, 0)) AS BIGINT) AS lateness FROM y GROUP BY 1""")
 def task_timing(spark, d):
-    s = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("task_id")).agg(F.collect_list(F.struct(F.col("l_linenumber").alias("step_index"), F.lit(0).cast("bigint").alias("target"), F.col("l_quantity").cast("bigint").alias("duration"), F.lit(10).cast("bigint").alias("travel"))).alias("steps"))
-    return normalize.task_timing(s.withColumn("release", (F.col("task_id") % 100).cast("bigint"))).select("task_id", "end")
+    target = F.col("l_linenumber") * 40 - F.col("l_partkey") % 50
+    s = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("task_id")).agg(F.collect_list(F.struct(F.col("l_linenumber").alias("step_index"), target.cast("bigint").alias("target"), F.col("l_quantity").cast("bigint").alias("duration"), F.lit(10).cast("bigint").alias("travel"))).alias("steps"))
+    return normalize.task_timing(s.withColumn("release", (F.col("task_id") % 100).cast("bigint"))).select("task_id", "end", "lateness")
 
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, CAST(sum(CAST(round(value * 1000000) AS BIGINT)) AS BIGINT) AS duration_us FROM events GROUP BY ALL")
 def stream_windowed_activity(spark, d):
     schema = table(spark, d, "events").schema
     stream = exposure_stream.event_stream(spark, f"{d}/events.parquet", schema)
-    name = f"activity_{uuid.uuid4().hex}"
-    out = exposure_stream.run_to_table(exposure_stream.windowed_activity(stream), name, shared_folder(spark))
+    out = exposure_stream.run_to_table(exposure_stream.windowed_activity(stream), ["window_start", "event_type"], shared_folder(spark))
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", "duration_us")
 
 

@@ -338,9 +338,9 @@ def duplicate_keys(spark, d):
     return N.duplicates(table(spark, d, "orders").select(F.col("o_custkey").alias("vehicle_id")), ["vehicle_id"])
 
 
-@query("SELECT c_custkey AS o_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT o_orderkey AS task_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def missing_references(spark, d):
-    return N.missing_keys(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")), table(spark, d, "orders"), "o_custkey")
+    return N.missing_keys(table(spark, d, "orders").select(F.col("o_orderkey").alias("task_id")), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("task_id")), "task_id")
 
 
 @query(f"WITH {_COUNTS} SELECT portfolio_id FROM portfolios WHERE cost > 50")

@@ -29,11 +29,21 @@ def sessions(events: DataFrame, *, gap: str = "30 minutes", late: str = "2 days"
     return out.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, *, mode: str = "complete") -> DataFrame:
-    """Drains a bounded stream into a table in memory; for tests and replays."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Drains a bounded stream into a table in a shared folder, and returns the last row of each key.
+
+    Each batch adds what it changed (update mode), so closed windows leave the state, and nothing passes the driver. A
+    batch that is run again overwrites itself."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    q = stream.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = stream.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch int").parquet(f"{folder}/rows")
+    others = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("_r"))
+    return last.select(*[F.col("_r")[c].alias(c) if c in others else F.col(c) for c in stream.columns])
 
 
 def late_rows(rows: DataFrame, source: list[str], arrival: str, order: list[str]) -> DataFrame:

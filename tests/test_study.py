@@ -189,3 +189,33 @@ def test_nodes_of_line_ends_and_latest_cache(spark):
     assert got[0.0, 0.0] == got[0.04, 0.0] != got[5.0, 5.0]
     made = spark.createDataFrame([("a", 0.0, 10.0, 1), ("b", 0.0, 9.0, 3), ("c", -1.0, 12.0, 2)], "id string, low double, high double, made int")
     assert audit.latest_covering(made, 0.0, 10.0).first().id == "c" and audit.latest_covering(made, 0.0, 99.0).count() == 0
+
+
+def test_duties_take_what_trying_all_open_ones_takes(spark):
+    from fleetlens.operators import normalize
+
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), i, (s := rng.randrange(120)), s + rng.randrange(1, 20), rng.randrange(4), rng.randrange(4)) for i in range(160)]
+    got = {r.trip_id: r.duty for r in normalize.chain_duties(spark.createDataFrame(rows, "k string, trip_id int, start int, end int, origin int, destination int"), 2, ["k"]).collect()}
+    for key in "ab":
+        ends = []
+        for _, trip, start, end, origin, destination in sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1])):
+            fits = [(int(p != origin), start - e, k) for k, (e, p) in enumerate(ends) if e + 2 * (1 + (p != origin)) <= start]
+            k = min(fits)[2] if fits else len(ends)
+            ends[k : k + 1] = [(end, destination)]
+            assert got[trip] == k
+
+
+def test_bins_of_any_number_and_width(spark):
+    from fleetlens.operators import exposure, intervals
+
+    rng = random.Random(2)
+    cuts = sorted(rng.sample(range(-500, 3000), 400))
+    bins = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if i % 7]
+    rows = [(i, (s := rng.randrange(-800, 3200)), s + rng.choice([0, 1, 5, 300])) for i in range(200)]
+    got = intervals.join_bins(spark.createDataFrame(rows, "k int, s int, e int"), spark.createDataFrame(bins, "bin int, bin_start int, bin_end int"), "s", "e").collect()
+    assert sorted((r.k, r.bin, r.duration) for r in got) == sorted((k, i, min(e, b) - max(s, a)) for k, s, e in rows for i, a, b in bins if e > a and s < b and e > s)
+    m = spark.createDataFrame([("r", 1, 1, "x", "e9", 0.0, 5.0, 0.0, 1.0)], "replication_id string, fleet_id int, vehicle_id int, movement_kind string, edge_id string, start_s double, end_s double, edge_start_fraction double, edge_end_fraction double")
+    pieces = spark.createDataFrame([("e1", 1, 0.0, 1.0)], "edge_id string, cell_id int, start_fraction double, end_fraction double")
+    with pytest.raises(Exception, match="no geometry of edge e9"):
+        exposure.allocate_movements(m, pieces, spark.createDataFrame([(0, 0.0, 9.0)], "bin int, bin_start double, bin_end double"), 0.0, 9.0).collect()
