@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of at most so many rows of a few fixed-width columns may be broadcast (16 bytes each: 32 MB).
-BROADCAST_ROWS = 2_000_000
+#: A side may be broadcast if its rows take at most so many bytes in a task's hash table.
+BROADCAST_BYTES = 32 << 20
 #: Texts are worked on in chunks of about so many bytes; one longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 20
-#: Rows of an Arrow batch, which a worker holds whole.
-BATCH_ROWS = 2000
+#: Bytes of an Arrow batch, which a worker holds whole; one longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+#: A worker gives memory back to the system after so many bytes of batches, and at a task's end.
+TRIM_BYTES = 32 << 20
 #: Java's class for what ends a word: space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,24 +33,25 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A folder of this application in spark.checkpoint.dir, which every executor sees; a temporary one only where that setting is missing."""
+    """A folder of this application in spark.checkpoint.dir, which every executor sees. Only a local session may lack that setting; it gets a temporary folder."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir isn't set: it has to name a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="fleetlens-")
         _folders[app] = f"{base.rstrip('/')}/fleetlens-{app}"
-        jvm, conf, path = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), _folders[app]
+        atexit.register(_remove, spark, _folders[app])
+    return _folders[app]
 
-        def remove() -> None:
-            try:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
-            except Exception:  # the session is gone already
-                pass
 
-        atexit.register(remove)
-    return _folders[app]
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session is gone already
+        pass
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -54,17 +59,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more: what was made from them has been written."""
+    for t in tables:
+        _remove(t.sparkSession, t.scratch_path)
+
+
+def row_bytes(df: DataFrame) -> int:
+    """What a row takes in a hash table, about: its head, 8 bytes a number, 48 a text."""
+    return 48 + sum(48 if f.dataType.typeName() in ("string", "array", "struct", "map", "binary") else 8 for f in df.schema)
+
+
+def within(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether df is small enough to be broadcast, by BROADCAST_BYTES and, if given, a limit of rows; counted no further than that."""
+    most = BROADCAST_BYTES // row_bytes(df)
+    most = most if limit is None else min(limit, most)
+    return df.limit(most + 1).count() <= most
 
 
-def within(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most limit rows, counted no further than that."""
-    return df.limit(limit + 1).count() <= limit
+def sent(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """df marked for broadcast if it is small enough, else as it is."""
+    return F.broadcast(df) if within(df, limit) else df
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
     """Semi or anti join with a table of ids: broadcast if its counted size allows it, else by shuffle."""
-    return df.join(F.broadcast(ids) if within(ids) else ids, on, how)
+    return df.join(sent(ids), on, how)
 
 
 def arrow_pass(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict | pa.RecordBatch]]], schema: str) -> DataFrame:
@@ -78,13 +103,16 @@ def arrow_pass(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iter
 
 
 def arrow_rows(df: DataFrame, make, kind: pa.Schema, schema) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """arrow_pass for an Arrow schema. Batches are bounded in bytes by a setting of the session, which is made here unless the caller has made it."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, BATCH_BYTES)
     return df.mapInArrow(arrow_runner(make, kind), schema)
 
 
 def arrow_runner(make, kind: pa.Schema):
     def run(batches):
-        step = make()
+        step, worked = make(), 0
 
         def out(x):
             if isinstance(x, pa.RecordBatch):
@@ -92,16 +120,30 @@ def arrow_runner(make, kind: pa.Schema):
             return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type) for f, v in zip(kind, x.values(), strict=True)], schema=kind)
 
         for batch in batches:
+            worked += batch.nbytes
             for piece in slices(batch):
                 for x in step(piece):
                     yield out(x)
+            if worked > TRIM_BYTES:
+                worked = 0
+                give_back()
         if hasattr(step, "finish"):
             for x in step.finish():
                 yield out(x)
+        del step
+        give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on for other tasks, and what it keeps its executor lacks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     n = batch.num_rows
     if not n:
@@ -143,17 +185,26 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _M = 0x9E3779B97F4A7C15 | 1
 _MI = pow(_M, -1, 1 << 64)
-_pow = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Powers for chunks of usual length are kept; those for a longer text are made for it alone.
+_KEPT = 1 << 20
+_pow: list[np.ndarray] = []
+
+
+def _made(n: int) -> list[np.ndarray]:
+    out = []
+    for m in (_M, _MI):
+        x = np.full(n, np.uint64(m))
+        x[:1] = 1
+        out.append(np.multiply.accumulate(x))
+    return out
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pow[0]) < n:
-        size = max(n, 1 << 20)
-        for k, m in enumerate((_M, _MI)):
-            x = np.full(size, np.uint64(m))
-            x[0] = 1
-            _pow[k] = np.multiply.accumulate(x)
-    return _pow[0], _pow[1]
+def _powers(n: int) -> list[np.ndarray]:
+    if n > _KEPT:
+        return _made(n)
+    if not _pow:
+        _pow.extend(_made(_KEPT))
+    return _pow
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -232,20 +283,32 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component) for every node of links (a, b): the smallest node reachable. Large-star and small-star rounds, each cut by a written table."""
+    """(node, component) for every node of links (a, b), written: the smallest node reachable. Large-star and small-star rounds, each cut by a written table.
+
+    A node with very many links meets its least neighbour through a broadcast, or, where there are too many nodes for
+    that, in a join whose sides are both plain exchanges, so that its rows can be split."""
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    before = None
-    while True:
+    before, now, done = None, _print(edges), []
+    while now[0] and now != before:
+        few = 2 * now[0] <= BROADCAST_BYTES // row_bytes(edges)
+
+        def met(rows: DataFrame, low: DataFrame) -> DataFrame:
+            if few:  # noqa: B023  used in this round only
+                return rows.join(F.broadcast(low), "a")
+            done.append(written(low, name))
+            return rows.join(done[-1], "a")
+
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = written(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), name)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(met(both, low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), name)
         pair = F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = written(large.join(low, "a").select(F.explode(pair).alias("e")).select("e.a", "e.b").where("a <> b").distinct(), name)
-        now = _print(edges)
-        if now == before:
-            return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        before = now
+        after = written(met(large, large.groupBy("a").agg(F.min("b").alias("m"))).select(F.explode(pair).alias("e")).select("e.a", "e.b").where("a <> b").distinct(), name)
+        release(edges, large, *done)
+        edges, before, now, done = after, now, _print(after), []
+    found = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = written(found, name)
+    release(edges)
+    return out
 
 
 def _print(edges: DataFrame) -> tuple:

@@ -13,11 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import _LOWER, _SPACE, arrow_pass, column_bytes, within, written
+from .common import _LOWER, _SPACE, arrow_pass, column_bytes, sent, written
 
-#: Words whose ids a worker keeps; the store is emptied when it is full.
-CACHE_WORDS = 700_000
-_caches: dict[str, dict[bytes, bytes]] = {}
+#: Bytes of words and their ids that a task keeps, about, and what one of them takes besides its characters and ids.
+CACHE_BYTES, ENTRY_BYTES = 40 << 20, 170
 _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in ".,;:!?"]] = True
 
@@ -25,15 +24,19 @@ _MARK[[ord(c) for c in ".,;:!?"]] = True
 class WordIds:
     """The ids of a text, put together from those of its words; a word's ids don't depend on its neighbours.
 
-    That holds for tokenizers whose pieces never cross white space and that drop it and the case. Ids are
-    little-endian unsigned 32-bit bytes."""
+    That holds for tokenizers whose pieces never cross white space and that drop it and the case; checked() holds a
+    tokenizer against that. Ids are little-endian unsigned 32-bit bytes. What is kept is bounded in bytes and goes with
+    the object, which is one task's."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = _caches.setdefault(path, {})
+        #: Ids by word, and those of the words before them: when the first half is full, it takes the place of the second.
+        self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.held = 0
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -62,15 +65,29 @@ class WordIds:
         data, offsets = parted(data, offsets)
         code = data.tobytes()
         split = [code[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        cache = self.cache
-        new = [w for w in set().union(*split) if w not in cache]
-        if len(cache) + len(new) > CACHE_WORDS and cache:
-            cache.clear()
-            new = list(set().union(*split))
-        self.learn(new)
+        if self.held > CACHE_BYTES // 2:
+            self.older, self.cache, self.held = self.cache, {}, 0
+        cache, older = self.cache, self.older
+        fresh = [w for w in set().union(*split) if w not in cache]
+        cache.update((w, older[w]) for w in fresh if w in older)
+        self.learn([w for w in fresh if w not in older])
+        self.held += sum(len(w) + len(cache[w]) + ENTRY_BYTES for w in fresh)
         return [b"".join(map(cache.__getitem__, words)) for words in split]
 
 
+#: Texts that tell whether a tokenizer drops case and white space and lets no piece cross it.
+PROBES = ("Hello  World", " lead and trail ", "a\nb\tc", "It's 12,3 x.y. End!", "MiXeD\r\ncase", "\u00c9t\u00e9 \u00df \u0130 \u03a3", "one two three four five six")
+
+
+def checked(path: str) -> None:
+    """Fails for a tokenizer whose ids of a text aren't those of its words."""
+    own = WordIds(path)
+    got = own(*column_bytes(pa.array(PROBES)))
+    for text, ids in zip(PROBES, got, strict=True):
+        if np.frombuffer(ids, "<u4").tolist() != own.tokenizer.encode(text, add_special_tokens=False).ids:
+            raise ValueError(f"{path}: the ids of {text!r} aren't those of its words; such a tokenizer can't be used here")
+
+
 def parted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts with A-Z lowered and a space before a mark that follows a letter and ends its word: pieces stay as they are, and there are fewer different words. Texts that may spell a special token stay as they are."""
     if b"<|" in data.tobytes() or not len(data):
@@ -161,17 +178,18 @@ def pack(docs: DataFrame, tokenizer: str, room: int = 4096, end_id: int = 1, *,
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of each piece of every row.
 
     Texts are tokenised once, into a written table of lengths. The plan is made on the driver from how many pieces
-    have each length, `room` numbers at most; pieces take its slots by their rank within their length, which is the
+    have each length, `room` numbers at most. A tokenizer whose ids can't be put together from words is refused. Pieces take its slots by their rank within their length, which is the
     place in their partition plus the pieces in partitions before, so no length is gathered or sorted in one task.
     Defined results: a null or empty text is one piece of the end id; repeated rows are packed each; a text longer
     than room is cut, and only such; other columns are ignored; without rows there are none."""
+    checked(tokenizer)
     pieces = written(tokenised(docs, tokenizer, room, end_id, id_col, text_col), "pack-pieces")
     by_part = pieces.groupBy("pid", "length").agg(F.count("*").alias("n"))
     by_part = written(by_part, "pack-counts")
     counts = {r["length"]: r.n for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # room rows at most
     before = by_part.select("pid", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("pid")) - F.col("n")).alias("before"))
     plan = np.array(sorted(plan_bins(counts, room)), np.int64).reshape(-1, 5)
-    placed = pieces.join(F.broadcast(before) if within(before) else before, ["pid", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
+    placed = pieces.join(sent(before), ["pid", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
 
     def make():
         keys = plan[:, 0] * (1 << 48) + plan[:, 1]
