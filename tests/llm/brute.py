@@ -115,3 +115,40 @@ def by_sequence(rows):
     for r in rows:
         out[r.sequence_id].append((r.offset, r.length))
     return out
+
+
+def copies_by_mix(rows, weights=(3, 1, 2), share=1.5, cap=2.0):
+    """How often the mix takes each row (doc_id, text, source): whole turns of its source, and one more by order of a hash until the budget is met."""
+    size = [len(words(t)) for _, t, _ in rows]
+    total = defaultdict(int)
+    for (_, _, s), n in zip(rows, size, strict=True):
+        total[s] += n
+    order = sorted(total, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    free, left, target = set(order), share * sum(total.values()), {}
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] > cap * total[s]}
+        if not full:
+            target |= {s: level * weight[s] for s in free}
+            break
+        target |= {s: cap * total[s] for s in full}
+        left -= sum(cap * total[s] for s in full)
+        free -= full
+    key = [int(hashlib.md5(str("" if i is None else i).encode()).hexdigest()[:15], 16) for i, _, _ in rows]
+    out = [0] * len(rows)
+    for s in order:
+        turns = int(target[s] // total[s]) if total[s] else 0
+        budget, run, more = target[s] - turns * total[s], 0, set()
+        held = defaultdict(int)
+        for k, n, (_, _, own) in zip(key, size, rows, strict=True):
+            if own == s and n:
+                held[k] += n
+        for k in sorted(held):
+            if run + held[k] <= budget or (run <= budget and held[k] < 2 * (budget - run)):
+                more.add(k)
+            run += held[k]
+        for i, (k, n, (_, _, own)) in enumerate(zip(key, size, rows, strict=True)):
+            if own == s:
+                out[i] = turns + (n > 0 and k in more)
+    return out

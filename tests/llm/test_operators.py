@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import math
 import random
 import re
 import time
@@ -10,9 +11,10 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
-from fleetlens.llm import common, mixing, packing, pii, quality, secret_scan, substring_dedup, toxicity, url_filter
+from fleetlens.llm import common, jaccard_join, mixing, packing, pii, quality, secret_scan, substring_dedup, toxicity, url_filter
 from fleetlens.llm.jaccard_join import chosen_matches, jaccard_components, one_of_each
 from fleetlens.llm.topk import exact_top_k
 
@@ -78,6 +80,50 @@ def test_jaccard_without_ids_and_with_repeated_ones(spark):
     assert sorted((r.doc_id for r in kept), key=str) == sorted([None, 4], key=str)
 
 
+def test_one_of_each_keeps_rows_that_share_an_id_and_differ(spark):
+    """Ids of unlike texts keep them all; rows of one id and text stay once, with the least of the other columns; empty and null texts are texts too."""
+    rows = [(4, "a b c d e f g h", "q"), (4, "p q r s t u v w", "q"), (4, "p q r s t u v w", "b"), (9, "A b c d e f g h", "q"), (5, None, "q"), (5, "", "q"), (5, None, "a"), (6, "", "q"), (None, "z", "q"), (None, "z", "q")]
+    kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    want = [(4, "a b c d e f g h", "q"), (4, "p q r s t u v w", "b"), (5, None, "a"), (5, "", "q"), (6, "", "q"), (None, "z", "q"), (None, "z", "q")]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+    assert one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string").limit(0)).count() == 0
+
+
+def test_jaccard_of_ids_with_several_texts(spark):
+    """An id of several texts ties what each of them links to, by a prefix of its own."""
+    rng = random.Random(8)
+    rows = noisy(12, groups=10, sizes=(4, 6, 30, 80))
+    rows += [(rng.choice(rows)[0], t) for i, t in rng.sample(rows, 25)] + rng.sample(rows, 10)
+    sets = [(i, brute.shingles(t)) for i, t in rows]
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            n = len(a & b)
+            if n and 100 * n >= 80 * (len(a) + len(b) - n):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    want = sorted((i, len(s), root(i)) for i, s in sets)
+    assert sorted(map(tuple, jaccard_components(table(spark, rows)).collect())) == want
+
+
+def test_jaccard_of_unlinked_documents_with_common_sentences(spark, monkeypatch):
+    """Short documents that share most of their shingles and yet too few: none link, and kinds that can't link aren't paired."""
+    tail = "one two three four five six seven eight"
+    rows = [(i, f"{tail} x{i} y{i}") for i in range(150)] + [(500 + i, f"u{i} {tail}") for i in range(150)] + [(900, tail), (901, f"{tail} nine")]
+    assert sorted(map(tuple, jaccard_components(table(spark, rows)).collect())) == sorted(brute.components(rows))
+    met = []
+    own = jaccard_join._candidates
+    monkeypatch.setattr(jaccard_join, "_candidates", lambda m, *a: (met.append(m.count()), own(m, *a))[1])
+    jaccard_components(table(spark, rows)).count()
+    assert met[-1] < 5000
+
+
 def test_multi_match_prefixes_take_the_cheapest():
     cost = np.array([1.0, 1, 1, 1000, 1, 1, 1, 1, 1, 1])
     n = np.array([10])
@@ -174,16 +220,59 @@ def test_a_term_is_told_by_one_document_and_found_in_others(spark):
     assert not any(said.values())
 
 
-def test_more_disclosing_terms_than_can_be_sent_give_the_same(spark, monkeypatch):
+def test_filters_of_any_size_give_the_same_terms(spark, monkeypatch):
     rng = random.Random(3)
     words = [rng.choice(["vo", "Ka", "zu"]) + rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(60)]
     rows = [(i, " ".join(words[min(59, int(rng.expovariate(0.1)))] for _ in range(12)) + (f" u{i % 9}@x.org" if i % 6 == 0 else "")) for i in range(150)]
     few = {r.doc_id: (r.spans, r.sanitised) for r in pii.find_pii(table(spark, rows)).collect()}
-    monkeypatch.setattr(pii, "SENT", 3)
+    monkeypatch.setattr(pii, "MOST_BITS", 64)
     assert few == {r.doc_id: (r.spans, r.sanitised) for r in pii.find_pii(table(spark, rows)).collect()}
     assert any("term" in s for s, _ in few.values())
 
 
+def test_terms_of_real_rows_against_brute_force(spark):
+    """Disclosure by plain counting over the documents of the smallest tables."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    term = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+    words, values = [], []
+    for _, text in rows:
+        blank, found = list(text), set()
+        for s in brute.spans(text, brute.PII):
+            kind, a, b = s.split(":")
+            value = text[int(a) : int(b)]
+            found.add((kind, value.lower() if kind == "email" else value if kind == "ip" else re.sub("[^0-9]", "", value)))
+            blank[int(a) : int(b)] = " " * (int(b) - int(a))
+        own = {w.lower() for w in term.findall("".join(blank))}
+        words.append(own | {w[:4] + "*" for w in own if len(w) > 4})
+        values.append(found)
+    n, held, who = len(rows), {}, {}
+    for i, own in enumerate(words):
+        for w in own:
+            held.setdefault(w, set()).add(i)
+        for v in values[i]:
+            who.setdefault(v, set()).add(i)
+    told = {}
+    for v, docs in who.items():
+        p = len(docs) / n
+        for w in set().union(*(words[i] for i in docs)):
+            share = (len(held[w] & docs) + p) / (len(held[w]) + 1)
+            told[w] = max(told.get(w, -1.0), 1 + math.log(share) / -math.log(p))
+    want = {w: x for w, x in told.items() if x >= pii.GENERALISE and not w.endswith("*")}
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {text[int(a) : int(b)].lower() for i, text in rows for k, a, b in (s.split(":") for s in got[i].spans.split(",") if s) if k == "term"}
+    assert found == set(want) and len(want) > 50
+    for (i, text), own in zip(rows, words, strict=True):
+        assert (got[i].n_terms > 0) == bool(own & set(want)), i
+    assert sum(r.n_removed for r in got.values()) > 0 and sum(r.n_generalised for r in got.values()) > 0
+
+
+def test_positions_of_many_matches(spark):
+    texts = ["", "7", "1,22,333", " 5" * 127, "5 " * 128, "12, " * 129, "\u00e9" + "31;" * 40_000 + "x"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", pii.matches(F.col("t"), "[0-9]++").alias("m")).collect()
+    for r in got:
+        assert [(m.start, m.end, m["value"]) for m in r.m] == [(m.start(), m.end(), m.group()) for m in re.finditer("[0-9]+", texts[r.i])]
+
+
 def test_terms_are_removed_or_generalised_in_the_sanitised_text(spark):
     """Of 1000 documents: a term alone with its value gives away 0.90 and goes; one in 3 gives away 0.80, is cut to a stem that 100 share, or else to its kind."""
     rows = [(0, "only Zorblax, Plainsong Quixotry 4711 a@b.org.")] + [(1 + i, "plainsong quixotry 4711 zz") for i in range(2)] + [(10 + i, "plain only zz") for i in range(997)]
@@ -363,6 +452,148 @@ def test_toxicity_learns_inflected_words():
     assert ((s >= 0.5) == (y[300:] == 1)).mean() > 0.97
 
 
+def test_scores_against_a_plain_loop(monkeypatch):
+    """Convolution and pooling word by word, also where a text is scored in several parts."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    d, n = toxicity.DIMS, toxicity.FILTERS
+    model = toxicity.Model(rng.normal(0, 1, (toxicity.BUCKETS, d)).astype(np.float32), [rng.normal(0, 0.2, (w, d, n)).astype(np.float32) for w in toxicity.WIDTHS], [rng.normal(0, 0.2, n).astype(np.float32) for _ in toxicity.WIDTHS], rng.normal(0, 0.2, n * len(toxicity.WIDTHS)).astype(np.float32), 0.1)
+    model.embedding[0] = 0
+    texts = ["", "one", "one two", " ".join(f"w{i % 37}x{i}" for i in range(150)), "", "a b c d e f g", " ".join(f"q{i}" for i in range(64))]
+    tok, at = toxicity.tokens(*common.column_bytes(pa.array(texts)))
+    want = []
+    for i in range(len(texts)):
+        own = tok[:, at[i] : at[i + 1]]
+        x = [sum(model.embedding[own[k, j]] for k in range(len(own))) for j in range(own.shape[1])] + [np.zeros(d)] * max(toxicity.WIDTHS)
+        hidden = []
+        for f, b in zip(model.filters, model.bias, strict=True):
+            values = [sum(x[j + k] @ f[k] for k in range(len(f)) if j + k < len(x)) for j in range(len(x))]
+            hidden += np.maximum(np.max(values, axis=0) + b, 0).tolist()
+        want.append(1 / (1 + np.exp(-(np.array(hidden) @ model.out + model.out_bias))))
+    for words in (1 << 15, 64, 50, 7, 3):
+        monkeypatch.setattr(toxicity, "SCORE_WORDS", words)
+        assert np.allclose(toxicity.scores(model, tok, at), want, atol=1e-5), words
+
+
+def test_a_score_depends_on_its_text_alone():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 8))) for _ in range(rng.randrange(9))) for _ in range(60)]
+    parts = lambda t: toxicity.tokens(*common.column_bytes(pa.array(t)))
+    tok, at = parts(texts)
+    for i, text in enumerate(texts):
+        assert (parts([text])[0] == tok[:, at[i] : at[i + 1]]).all()
+
+
+def test_thresholds_are_the_best_by_language():
+    """Each threshold's F1 against all others', by trying them."""
+    rng = np.random.default_rng(5)
+    y = (rng.random(600) < 0.4).astype(float)
+    s = np.clip(0.5 + 0.15 * (2 * y - 1) + rng.normal(0, 0.1, 600), 0, 1)
+    lang = ["en"] * 300 + ["de"] * 290 + ["fr"] * 10
+    got = toxicity.calibrated(s, y, lang)
+    assert set(got) == {None, "en", "de"} and toxicity.calibrated(s[:0], y[:0], []) == {None: 0.5}
+    f1 = lambda t, s, y: 2 * ((s >= t) & (y == 1)).sum() / ((s >= t).sum() + y.sum())
+    for name, own in (("en", slice(0, 300)), ("de", slice(300, 590)), (None, slice(0, 600))):
+        best = max(f1(t, s[own], y[own]) for t in s[own])
+        at = max(s[own], key=lambda t: f1(t, s[own], y[own]))
+        assert toxicity.LEAST <= got[name] <= toxicity.MOST and (f1(got[name], s[own], y[own]) >= best - 1e-9 or not toxicity.LEAST < at < toxicity.MOST)
+
+
+def test_toxicity_of_odd_inputs(spark, monkeypatch):
+    """Repeated ids and rows, ties, no usable label, a text above the bytes of the sample, an empty table, clashing columns."""
+    rows = [(i, f"plain words number {i % 5}" + (" grobble" if i % 3 == 0 else ""), "s") for i in range(120)] + [(3, "another text", "s"), (7, None, "s"), (200, "x " * 60_000, "s"), (200, "x " * 60_000, "s")]
+    docs = table(spark, [r[:2] for r in rows])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)] + [(5, 1), (None, 1), (6, None), (8, 4), (200, 1)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 50_000)
+    sample = toxicity.training_rows(docs, labels, "toxic")
+    assert 200 not in set(sample["doc_id"]) and sample["doc_id"].is_unique and len(sample) > 60
+    assert sample.set_index("doc_id")["_y"].get(5, 1) == 1
+    scored = lambda d: sorted((r.doc_id, r.score) for r in toxicity.score_documents(d, labels, ["doc_id", "lang"]).collect())
+    first, again = scored(docs), scored(docs.repartition(5))
+    assert [r[0] for r in first] == [r[0] for r in again] == sorted(r[0] for r in rows) and np.allclose([r[1] for r in first], [r[1] for r in again], atol=1e-5)
+    same = [r[1] for r in first if r[0] == 200]
+    assert len(same) == 2 and abs(same[0] - same[1]) < 1e-6
+    assert toxicity.score_documents(docs, labels.limit(0), ["doc_id", "lang"]).count() == len(rows)
+    assert toxicity.score_documents(docs.limit(0), labels, ["doc_id", "lang"]).count() == 0
+
+
+def test_mixing_with_clashing_columns_and_odd_rows(spark):
+    names = ["doc_id", "text", "source", "size", "h", "copies", "epochs", "limit", "copy", "row", "_copy", "target"]
+    rows = [(i, f"w{i} " * (i % 7), "ab"[i % 2], *range(9)) for i in range(60)] + [(5, "w5 " * 5, "b", *range(9)), (900, None, None, *range(9)), (901, "word " * 20_000, "c", *range(9))]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'string' if n in ('text', 'source') else 'long'}" for n in names))
+    want = {}
+    for r in mixing.mix_sources(docs).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    got = mixing.mixed_documents(docs)
+    assert got.columns == names
+    taken = {}
+    for r in got.collect():
+        assert tuple(r)[3:] == tuple(range(9))
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + len(brute.words(r.text))
+    assert {k: v for k, v in taken.items() if v} == {k: v for k, v in want.items() if v}
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_quality_posterior_against_plain_expectation_maximisation(spark):
+    """kept and p_good by a loop over documents instead of vote patterns, and clashing columns."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").withColumns({"votes": F.lit(1), "p_good": F.lit("x"), "n_words": F.lit(0)})
+    got = {r.doc_id: r for r in quality.quality_filter(docs).collect()}
+    measured = quality.measured(docs, "doc_id", "text").select("doc_id", F.array(*quality.rules().values()).alias("v")).collect()
+    votes = {r.doc_id: r.v for r in measured}
+    good = {i: 0.1 if min(v) < 0 else 0.95 for i, v in votes.items()}
+    for _ in range(quality.ROUNDS):
+        chance = [[[1.0, 1.0] for _ in range(6)] for _ in range(2)]
+        for i, v in votes.items():
+            for j, x in enumerate(v):
+                if x:
+                    chance[0][j][x > 0] += 1 - good[i]
+                    chance[1][j][x > 0] += good[i]
+        chance = [[[p / sum(own) for p in own] for own in side] for side in chance]
+        prior = min(max(sum(good.values()) / len(good), 1e-6), 1 - 1e-6)
+        new = {}
+        for i, v in votes.items():
+            like = [math.log((1 - prior, prior)[c]) + sum(math.log(chance[c][j][x > 0]) for j, x in enumerate(v) if x) for c in (0, 1)]
+            new[i] = 1 / (1 + math.exp(min(700, max(-700, like[0] - like[1]))))
+        done = max(abs(new[i] - good[i]) for i in good) < quality.TOLERANCE
+        good = new
+        if done:
+            break
+    assert all(abs(got[i].p_good - good[i]) < 1e-6 and got[i].kept == (not got[i].base_failed and got[i].p_good >= quality.KEEP_FROM) for i in good)
+
+
+def test_url_lists_from_tables_in_shards(spark, monkeypatch):
+    """A list from a table, dealt to several cascades, gives what one cascade gives; very long URLs, repeated rows, no rows."""
+    rules = {"net/": "block", "example.net/en/": "allow", "org/fr/": "allow"}
+    urls = [f"http://{a}.{b}.{c}/{p}" for a in ("w", "x", "spam") for b in ("example", "foo", "bar") for c in ("net", "org") for p in ("en/1", "fr/2", "")] * 2 + ["http://x.org/" + "fr/" * 20_000, "http://" + "a." * 20_000 + "bar.org/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit(1), "rule": F.lit(2), "keys": F.lit(3)})
+    hosts = spark.createDataFrame([("bar.org",), ("spam.foo.org",), (None,), ("nowhere.example",)], "h string")
+    one = sorted(map(tuple, url_filter.url_filter(pages, rules, ["bar.org", "spam.foo.org", "nowhere.example"]).collect()))
+    assert {r[4] for r in one if "bar.org" in r[1]} == {"block", "allow"} and one[-1][4] == "block"
+    monkeypatch.setattr(url_filter, "MAX_BITS", 16)
+    assert url_filter.shards(3, 40) == 2
+    assert sorted(map(tuple, url_filter.url_filter(pages, rules, hosts).collect())) == one
+    assert url_filter.url_filter(pages.limit(0), rules, hosts).count() == 0
+
+
+def test_other_tokenizers_are_refused_and_memory_is_bounded(monkeypatch):
+    import pyarrow as pa
+
+    path = _tokenizer()
+    monkeypatch.setattr(packing, "CACHE_BYTES", 40_000)
+    ids, plain = packing.WordIds(path), packing.WordIds(path).tokenizer
+    for k in range(20):
+        texts = [" ".join(f"word{i * k % 997} common" for i in range(60))] * 2
+        got = ids(*common.column_bytes(pa.array(texts)))
+        assert np.frombuffer(got[1], "<u4").tolist() == plain.encode(texts[1], add_special_tokens=False).ids
+        assert ids.held <= 20_000 + 61 * 220
+    packing.checked(path)
+    with pytest.raises(ValueError):
+        packing.checked(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
+
+
 def test_url_filter(spark):
     rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
     urls = ["http://a.example.net/en/x", "http://a.example.net/de/", "http://A.NET", "http://net/x", "https://b.example.com/de/?q", "x://example.com/de", "http://w.org/fr/#a", "http://spam.org/x", "http://a.spam.org", "http://notspam.org/", "nothing", "", None, "://", "http://x.net?/en/", "http://" + "a." * 300 + "net/" + "b/" * 500]
