@@ -109,7 +109,7 @@ def artifact_scan(spark, d):
     root = shared_folder(spark)
     rows = movements(spark, d).select("event_id", "cell_id", "replication_id")
     name = artifacts.publish(rows, root, "movements", {"source": d}, keys=["event_id"], partition_by=["replication_id"])
-    return artifacts.open_verified(spark, root, "movements", name).where("replication_id = '2024-01-05'").select("event_id", "replication_id", "cell_id")
+    return artifacts.open_verified(spark, root, artifacts.located(spark, root, name), name, only={"replication_id": "2024-01-05"}).select("event_id", "replication_id", "cell_id")
 
 
 @query("""SELECT s_suppkey AS edge_id, round(s_suppkey * 10.0 / CASE s_nationkey % 3 WHEN 0 THEN 20.0 WHEN 1 THEN 10.0 ELSE 5.0 END, 9) AS seconds, CASE s_nationkey % 3 WHEN 0 THEN 'speed' WHEN 1 THEN 'class' ELSE 'constant' END AS provenance FROM supplier""")

@@ -219,3 +219,36 @@ def test_bins_of_any_number_and_width(spark):
     pieces = spark.createDataFrame([("e1", 1, 0.0, 1.0)], "edge_id string, cell_id int, start_fraction double, end_fraction double")
     with pytest.raises(Exception, match="no geometry of edge e9"):
         exposure.allocate_movements(m, pieces, spark.createDataFrame([(0, 0.0, 9.0)], "bin int, bin_start double, bin_end double"), 0.0, 9.0).collect()
+
+
+def test_tables_are_found_and_verified_by_partition(spark, tmp_path):
+    from fleetlens.sources import artifacts
+    from fleetlens.sources.paging import LimitExceeded
+
+    root = str(tmp_path / "store")
+    df = spark.range(30).withColumn("p", (F.col("id") % 3).cast("string"))
+    name = artifacts.publish(df, root, "numbers", {"n": 30}, keys=["id"], partition_by=["p"])
+    assert artifacts.located(spark, root, name) == "numbers"
+    with pytest.raises(KeyError):
+        artifacts.located(spark, root, "numbers_0")
+    assert sorted(r.id for r in artifacts.open_verified(spark, root, "numbers", name, only={"p": "1"}).collect()) == list(range(1, 30, 3))
+    assert artifacts.open_verified(spark, root, "numbers", name, only={"p": "9"}).count() == 0
+    assert artifacts.open_verified(spark, root, "numbers", name, schema=artifacts.schema_hash(df)).count() == 30
+    with pytest.raises(ValueError, match="schema"):
+        artifacts.open_verified(spark, root, "numbers", name, schema=artifacts.schema_hash(df.select("id")))
+    spoilt = next((tmp_path / "store" / "numbers" / name / "data" / "p=2").glob("*.parquet"))
+    spoilt.unlink()
+    assert artifacts.open_verified(spark, root, "numbers", name, only={"p": "1"}).count() == 10
+    with pytest.raises(ValueError, match="files differ"):
+        artifacts.open_verified(spark, root, "numbers", name)
+    with pytest.raises(ValueError, match="null or repeated"):
+        artifacts.publish(df.withColumn("id", F.lit(None).cast("long")), root, "numbers", {"n": 0}, keys=["id"])
+    assert not list((tmp_path / "store" / "numbers").glob(".stage*"))
+    with pytest.raises(LimitExceeded):
+        artifacts.export(df, str(tmp_path / "out"), most_rows=29)
+    artifacts.export(df, str(tmp_path / "out"), "csv")
+    assert artifacts.read_text_table(spark, str(tmp_path / "out")).count() == 30
+    one = spark.range(1).select(F.lit(1.5).alias("x"), F.lit(2.0).alias("y"), F.lit("n").alias("name"))
+    assert [r.feature for r in artifacts.feature_rows(one, artifacts.point("x", "y"), ["name"]).collect()] == ['{"type":"Feature","geometry":{"type":"Point","coordinates":[1.5,2.0]},"properties":{"name":"n"}}']
+    with pytest.raises(LimitExceeded):
+        artifacts.feature_rows(one, artifacts.point("x", "y"), ["name"], most_bytes=10)
