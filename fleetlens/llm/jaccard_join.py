@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_pass, column_bytes, components, keep_ids, mix, shingle_sets, signed, text_of, within, written
+from .common import arrow_pass, column_bytes, components, keep_ids, mix, release, sent, shingle_sets, signed, text_of, written
 
 #: Words of a shingle; the least similarity as a fraction.
 WIDTH, SHARE = 5, (4, 5)
@@ -86,12 +86,12 @@ def _entries(reps: DataFrame, sketch: np.ndarray, rows: int) -> DataFrame:
     """Entries of tokens that more than one document has in its prefix: (token, salt, doc_id, n, pos, need). Salted tokens keep all their entries, as their groups meet later.
 
     A document's tokens are in order of the sketch's count, then hash: one order for all, rare ones first."""
-    sent = reps.sparkSession.sparkContext.broadcast(sketch)
+    known = reps.sparkSession.sparkContext.broadcast(sketch)
     noise = sketch.sum() / len(sketch)
     hot = noise + 6 * np.sqrt(noise) + max(8.0, rows / HOT)
 
     def make():
-        counts = sent.value
+        counts = known.value
 
         def step(batch: pa.RecordBatch):
             s, at = shingle_sets(*column_bytes(batch.column(1)), WIDTH)
@@ -134,8 +134,8 @@ def _entries(reps: DataFrame, sketch: np.ndarray, rows: int) -> DataFrame:
     return arrow_pass(entries, make_groups, schema)
 
 
-def _candidates(met: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share enough prefix tokens.
+def _candidates(met: DataFrame, several: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) that share enough prefix tokens. Ids of several texts are grouped by sizes too, and any that share a token within reach are asked whole.
 
     met has a row for each token that two documents share in their prefixes, with doc, n, pos and need of both as
     a_* and b_*. The larger document (then the larger id) asks: both prefixes are as long as its number of matches
@@ -154,7 +154,13 @@ def _candidates(met: DataFrame) -> DataFrame:
     can = 9 * (F.least("a_ahead", "b_ahead") + rest) >= 4 * both
     rows = met.where(fits & inside & can).select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"), need.alias("need"), rest.alias("rest"), both.alias("both"))
     pairs = rows.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need"), F.min("rest").alias("rest"), F.max("both").alias("both"))
-    return pairs.where((F.col("shared") >= F.col("need")) & (9 * (F.col("shared") + F.col("rest") - 1) >= 4 * F.col("both"))).select("a", "b")
+    enough = (F.col("shared") >= F.col("need")) & (9 * (F.col("shared") + F.col("rest") - 1) >= 4 * F.col("both"))
+    if several is None:
+        return pairs.where(enough).select("a", "b")
+    many = sent(several.withColumn("many", F.lit(True)))
+    for side in ("a", "b"):
+        pairs = pairs.join(many.select(F.col("doc_id").alias(side), F.col("many").alias(f"{side}_many")), side, "left")
+    return pairs.where(enough | F.col("a_many").isNotNull() | F.col("b_many").isNotNull()).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -181,7 +187,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return arrow_pass(whole, make, "a bigint, b bigint")
 
 
-def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
+def _side(rows: DataFrame, side: str, *more: str | Column) -> DataFrame:
     own = {"doc": "doc_id", "n": "n", "pos": "pos", "need": "need", "ahead": "ahead", "component": "component"}
     return rows.select("token", *more, *[F.col(c).alias(f"{side}_{k}") for k, c in own.items()])
 
@@ -204,21 +210,38 @@ def _apart(entries: DataFrame, joined: DataFrame | None = None) -> DataFrame:
     if joined is None:
         placed = entries.withColumn("component", F.col("doc_id"))
     else:
-        label = F.broadcast(joined) if within(joined) else joined
-        placed = entries.join(label.withColumnRenamed("component", "_c"), F.col("doc_id") == F.col("node"), "left").select("token", "salt", "doc_id", "n", "pos", "need", F.coalesce("_c", "doc_id").alias("component"))
+        placed = entries.join(sent(joined).withColumnRenamed("component", "_c"), F.col("doc_id") == F.col("node"), "left").select("token", "salt", "doc_id", "n", "pos", "need", F.coalesce("_c", "doc_id").alias("component"))
         split = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
         placed = placed.join(split, "token")
     return placed.withColumn("ahead", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "token")) - 1)
 
 
+def _across(rest: DataFrame) -> DataFrame:
+    """Pairs of entries of a token whose documents lie in different components.
+
+    A set of n shingles of which n - cap lie ahead unshared shares at most cap with any other. So entries of a token are
+    counted by (n, cap), kinds are matched with kinds whose sets can link, and only entries of matched kinds are joined
+    by the key (token, kind, kind): documents that merely share a common token are never paired."""
+    kinds = rest.withColumn("cap", F.col("n") - F.col("pos") + F.col("ahead")).where(F.col("cap") * SHARE[1] >= F.col("n") * SHARE[0])
+    held = kinds.groupBy("token", "n", "cap").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    two = [held.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("n", "cap", "low", "high")]) for side in "ab"]
+    both = F.col("a_n") + F.col("b_n")
+    fits = F.least("a_n", "b_n") * SHARE[1] >= F.greatest("a_n", "b_n") * SHARE[0]
+    apart = ~((F.col("a_low") == F.col("a_high")) & (F.col("b_low") == F.col("b_high")) & (F.col("a_low") == F.col("b_low")))
+    matched = two[0].join(two[1], "token").where(fits & apart & (9 * F.least("a_cap", "b_cap") >= 4 * both)).select("token", "a_n", "a_cap", "b_n", "b_cap")
+    left = _side(kinds, "a", F.col("cap").alias("a_cap")).join(matched, ["token", "a_n", "a_cap"])
+    return left.join(_side(kinds, "b", F.col("cap").alias("b_cap")), ["token", "b_n", "b_cap"]).where("a_doc < b_doc and a_component <> b_component")
+
+
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
-    Sets that are equal are one class at once, so copies never meet. For the rest, a document's prefix in a global
-    order of tokens is as long as its estimated candidate cost makes it; a longer one asks for more shared tokens.
-    First each list's documents are held against a few of them, which is linear in the lists and joins what is alike,
-    and again against others where components still differ; then only pairs that lie in different components are
-    made, so a group of near copies is never paired out, and no link between components is lost. Candidates are verified on the whole sets. Tokens that very many documents hold
+    Sets that are equal are one class at once, so copies never meet, and only ids of several texts tie classes. For the
+    rest, a document's prefix in a global order of tokens is as long as its estimated candidate cost makes it; a longer
+    one asks for more shared tokens. First each list's documents are held against a few of them, which is linear in
+    the lists and joins what is alike, and again against others where components still differ; then only pairs that lie
+    in different components and can link by their sizes are made, so a group of near copies is never paired out, and
+    no link between components is lost. Candidates are verified on the whole sets. Tokens that very many documents hold
     are dealt to salted groups whose first documents meet in turn.
 
     Defined results: a null, empty or blank text has an empty set, links with nothing and is its own component; rows
@@ -228,32 +251,56 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sets, sketch, rows = _sketched(own)
     key = ["n", "s1", "s2"]
     full = sets.where("n > 0")
-    classes = written(full.where("doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("last")), "jaccard-classes")
-    copies = written(full.join(classes.where("class_id <> last"), key).where("doc_id <> class_id").select("doc_id", "class_id").distinct(), "jaccard-copies")
-    several = full.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).where("x <> y").select("doc_id")
+    classes = written(full.groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")).where("copies > 1 and class_id is not null"), "jaccard-classes")
+    copied = full.join(sent(classes), key).where("doc_id <> class_id").select("doc_id", "class_id")
+    again = written(sets.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y"), F.count("*").alias("rows")).where("doc_id is not null and rows > 1").select("doc_id", (F.col("x") != F.col("y")).alias("differ")), "jaccard-again")
+    several = again.where("differ").select("doc_id")
+    more_texts = None if several.isEmpty() else several
     texts = own.where("doc_id is not null and text is not null")
-    alone = written(copies.select("doc_id").distinct().join(several, "doc_id", "left_anti"), "jaccard-alone")
+    if not again.isEmpty():
+        repeated = again.select("doc_id")
+        texts = keep_ids(texts, repeated, "doc_id", "left_anti").unionByName(keep_ids(texts, repeated, "doc_id").distinct())
+    alone = copied.select("doc_id").distinct()
+    alone = written(alone if more_texts is None else alone.join(sent(several), "doc_id", "left_anti"), "jaccard-alone")
     rest = written(_apart(_entries(keep_ids(texts, alone, "doc_id", "left_anti"), sketch, rows)), "jaccard-entries")
 
     pairs = links = None
+    asked: list[DataFrame] = []
     for turn in range(ROUNDS):
-        new = _candidates(_star(rest, turn))
+        new = _candidates(_star(rest, turn), more_texts)
         new = written(new.join(pairs, ["a", "b"], "left_anti") if pairs else new, "jaccard-pairs")
         pairs = pairs.unionByName(new) if pairs else new
-        own = written(_verified(new, texts), "jaccard-links")
-        links = links.unionByName(own) if links else own
-        rest = written(_apart(rest.drop("component", "ahead"), written(components(links, "jaccard-joined"), "jaccard-joined")), "jaccard-apart")
-    across = _side(rest, "a").join(_side(rest, "b"), "token").where("a_doc < b_doc and a_component <> b_component")
-    more = written(_candidates(across).join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
-
-    edges = links.unionByName(_verified(more, texts)).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")))
-    found = written(components(edges, "jaccard-components"), "jaccard-components")
-    named = sets.join(classes.select(*key, "class_id"), key, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"))
-    return named.join(F.broadcast(found) if within(found) else found, F.col("class_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
+        found = written(_verified(new, texts), "jaccard-links")
+        links = links.unionByName(found) if links else found
+        asked += [new, found]
+        joined = components(links, "jaccard-joined")
+        after = written(_apart(rest.drop("component", "ahead"), joined), "jaccard-apart")
+        release(rest, joined)
+        rest = after
+        if rest.isEmpty():  # all documents that share a token are in one component
+            break
+    edges = links
+    if not rest.isEmpty():
+        asked.append(written(_candidates(_across(rest), more_texts).join(pairs, ["a", "b"], "left_anti"), "jaccard-more"))
+        edges = links.unionByName(_verified(asked[-1], texts))
+    if more_texts is not None:  # their classes are tied by them, the one each stands for as well
+        ties = sets.where("n > 0").join(sent(several), "doc_id").join(sent(classes), key, "left")
+        edges = edges.unionByName(ties.select(F.col("doc_id").alias("a"), F.coalesce("class_id", "doc_id").alias("b")))
+    found = components(edges, "jaccard-components")
+    release(rest, alone, *asked)
+    named = sets.join(sent(classes.select(*key, "class_id")), key, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    return named.join(sent(found), F.col("class_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of documents whose id is their component's; rows with the same id and text stay once, and rows without an id stay."""
+    """The rows of documents whose id is their component's, and all rows without an id.
+
+    Rows that share such an id and their text stay once, with the least of the other columns in their order; rows that
+    share an id and differ in their text all stay."""
     comp = written(jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "jaccard-dropped")
-    named = docs.where("doc_id is not null")
-    return keep_ids(named, comp, "doc_id", "left_anti").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    named = keep_ids(docs.where("doc_id is not null"), comp, "doc_id", "left_anti")
+    again = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "jaccard-again")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = named.join(sent(again), "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_o")) if others else named.join(sent(again), "doc_id", "left_semi").select("doc_id", "text").distinct()
+    kept = first.select(*[F.col("_o")[c].alias(c) if c in others else F.col(c) for c in docs.columns])
+    return keep_ids(named, again, "doc_id", "left_anti").unionByName(kept).unionByName(docs.where("doc_id is null"))
