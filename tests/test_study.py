@@ -252,3 +252,16 @@ def test_tables_are_found_and_verified_by_partition(spark, tmp_path):
     assert [r.feature for r in artifacts.feature_rows(one, artifacts.point("x", "y"), ["name"]).collect()] == ['{"type":"Feature","geometry":{"type":"Point","coordinates":[1.5,2.0]},"properties":{"name":"n"}}']
     with pytest.raises(LimitExceeded):
         artifacts.feature_rows(one, artifacts.point("x", "y"), ["name"], most_bytes=10)
+
+
+def test_queries_from_the_command_line(spark, tmp_path, capsys):
+    from fleetlens import __main__ as cli
+
+    cli.main(["list"])
+    assert "exposure_sparse  (SQL)" in capsys.readouterr().out.splitlines()
+    cli.main(["sql", "replication_names"])
+    assert "sha256" in capsys.readouterr().out
+    cli.main(["run", "replication_names", "/root/testdata/sf0.001/", str(tmp_path / "out")])
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 200
+    with pytest.raises(SystemExit):
+        cli.main(["run", "nothing", "a", "b"])
