@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import within, written
+from .common import release, sent, written
 
-#: The hash has 60 bits; each level of histograms resolves 15 of them.
-HASH_BITS, LEVEL_BITS = 60, 15
+#: The hash has 60 bits; each level of histograms resolves 10 of them, so a source has 1024 buckets at most in a window.
+HASH_BITS, LEVEL_BITS = 60, 10
 #: Sources up to this number travel by broadcast (a name, two doubles and three longs each).
 BROADCAST_SOURCES = 100_000
 
@@ -28,7 +28,7 @@ def ranked(sources: DataFrame) -> DataFrame:
     placed = written(sources.orderBy(F.col("source").asc_nulls_last()).withColumn("m", F.monotonically_increasing_id()), "mix-sources")
     placed = placed.select("*", F.shiftright("m", 33).alias("p"), F.col("m").bitwiseAND(F.lit((1 << 33) - 1)).alias("i"))
     before = placed.groupBy("p").agg(F.count("*").alias("n")).select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))
-    return placed.join(F.broadcast(before), "p").select("source", "source_size", (F.col("before") + F.col("i")).alias("position"))
+    return placed.join(sent(before), "p").select("source", "source_size", (F.col("before") + F.col("i")).alias("position"))
 
 
 def with_targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -51,7 +51,7 @@ def with_targets(sources: DataFrame, weights: tuple[float, ...], share: float, c
 def joined(rows: DataFrame, small: DataFrame, right: list[str]) -> DataFrame:
     """rows with the columns `right` of their source: by broadcast up to a bound, else a shuffle join whose hot sources AQE splits."""
     s = small.select(F.col("source").alias("_source"), *right)
-    return rows.join(F.broadcast(s) if within(s, BROADCAST_SOURCES) else s, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    return rows.join(sent(s, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
 def thresholds(sized: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -92,9 +92,13 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """The rows of documents that the mix takes, as often as it takes them."""
-    own = docs.columns
-    row = docs.select(*[docs[c] for c in own], n_words(docs["text"]).alias("size"), doc_hash(docs["doc_id"]).alias("h"))
+    """The rows of documents that the mix takes, with all their columns, as often as it takes them.
+
+    Defined results: as those of mix_sources; a document without words goes as often as its source is taken whole;
+    columns of any name stay as they are; rows that share an id are taken together; an empty table gives none."""
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["source"].cast("string").alias("source"), n_words(docs["text"]).alias("size"), doc_hash(docs["doc_id"]).alias("h"))
     sized = written(row.select("source", "size", "h"), "mix-sizes")
     table = written(thresholds(sized, tuple(weights), share, cap), "mix-thresholds")
-    return joined(row, table, ["epochs", "limit"]).withColumn("copies", copies().cast("int")).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*own)
+    release(sized)
+    times = F.sequence(F.lit(1), copies().cast("int"))
+    return joined(row, table, ["epochs", "limit"]).where(copies() > 0).select("row", F.explode(times).alias("copy")).select("row.*")

@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import _SPACE, arrow_pass, column_bytes, rolling, text_of, word_hashes, word_starts, written
 
@@ -123,8 +122,7 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     voted = rows.select("*", base_failed.alias("base_failed"), F.array(*rules().values()).alias("votes"))
     counted = sorted((tuple(r.votes), r.n) for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect())
     spark = docs.sparkSession
-    schema = T.StructType([T.StructField("votes", T.ArrayType(T.IntegerType(), False)), T.StructField("p_good", T.DoubleType())])
     posterior = label_model(np.array([p for p, _ in counted]), np.array([n for _, n in counted])) if counted else []
-    table = spark.createDataFrame([(list(p), float(x)) for (p, _), x in zip(counted, posterior, strict=True)], schema)
+    table = spark.createDataFrame(pa.table({"votes": pa.array([list(p) for p, _ in counted], pa.list_(pa.int32())), "p_good": pa.array(list(map(float, posterior)), pa.float64())}))
     kept = ~F.col("base_failed") & (F.col("p_good") >= KEEP_FROM)
     return voted.join(F.broadcast(table), "votes", "left").select("doc_id", *METRICS, "base_failed", "p_good", kept.alias("kept"))

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sent, written
 
-#: A cascade's filters travel inside the plan; more bits than this are not allowed there.
-MAX_BITS = 1 << 26
-#: Levels shrink by the false-positive rate each; so many are never reached unless hashes fail.
-MAX_LEVELS = 40
+#: A cascade's filters travel inside the plan; keys whose filters would take more bits are dealt to shards by hash, each with a cascade and a pass of its own.
+MAX_BITS = 1 << 18
 HASHES = 7
 BITS_A_KEY = 10
+#: Bits of a filter, at least: a short list is told from any number of keys by its first filter alone.
+MIN_BITS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -45,12 +47,13 @@ def positions(key: Column, number: int, bits: int) -> list[Column]:
     return [F.pmod(one + F.lit(i) * two, F.lit(bits)) for i in range(HASHES)]
 
 
+def bits_for(n: int) -> int:
+    return max(MIN_BITS, 64 * math.ceil(n * BITS_A_KEY / 64))
+
+
 def build_level(keys: DataFrame, key: str, number: int) -> Level:
     """Sets the bits of all keys: distinct positions are gathered in longs by a grouped bit_or, bounded by the filter's size."""
-    n = keys.count()
-    bits = max(64, 64 * math.ceil(n * BITS_A_KEY / 64))
-    if bits > MAX_BITS:
-        raise ValueError(f"a filter of {bits} bits is over the bound of {MAX_BITS}; split the list")
+    bits = bits_for(keys.count())
     p = F.explode(F.array(*positions(F.col(key), number, bits))).alias("p")
     packed = keys.select(p).groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("x"))
     words = [0] * (bits // 64)
@@ -63,22 +66,35 @@ def build_cascade(listed: DataFrame, universe: DataFrame, key: str) -> list[Leve
     """Levels 0, 2, ... hold listed keys, levels 1, 3, ... the keys of the universe that the level before takes for listed.
 
     The rows of a level are those of the level two before that the level between them takes by mistake, so the last
-    level has no mistakes over the universe and membership there is exact."""
-    keys = (listed.select(key).where(F.col(key).isNotNull()).distinct(), universe.select(key).where(F.col(key).isNotNull()).distinct().join(F.broadcast(listed.select(key).distinct()), key, "left_anti"))
+    level has no mistakes over the universe and membership there is exact. Each level has hashes of its own and holds
+    a small share of the keys of the one two before, so the cascade ends. An empty list is an empty cascade."""
+    named = listed.select(key).where(F.col(key).isNotNull()).distinct()
+    if named.isEmpty():
+        return []
+    pool = [named, universe.select(key).where(F.col(key).isNotNull()).distinct().join(sent(named), key, "left_anti")]
     levels: list[Level] = []
-    pool = list(keys)
-    for number in range(MAX_LEVELS):
+    for number in itertools.count():
         side = pool[number % 2]
         if number and side.isEmpty():
             return levels
         levels.append(build_level(side, key, number))
         pool[(number + 1) % 2] = pool[(number + 1) % 2].where(levels[-1].may_hold(F.col(key)))
-    raise ValueError("the cascade doesn't end; the hash function is at fault")
+    raise AssertionError
+
+
+def shards(n_listed: int, n_universe: int) -> int:
+    """Cascades that a list needs so that no filter of theirs is above MAX_BITS: the first holds the list, the second what that takes by mistake."""
+    mistakes = n_universe * (1 - math.exp(-HASHES * n_listed / bits_for(n_listed))) ** HASHES
+    return max(1, math.ceil(max(n_listed, mistakes) * BITS_A_KEY / MAX_BITS))
+
+
+def shard_of(key: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(n)) if n > 1 else F.lit(0)
 
 
 def member(levels: list[Level], key: Column) -> Column:
     """Exact for keys of the universe that the cascade was built over: the parity of the first level that lacks the key."""
-    out = F.lit(len(levels) % 2 == 1)
+    out = F.lit(len(levels) % 2 == 1)  # of no level: nothing is listed
     for level in reversed(levels):
         out = F.when(level.may_hold(key), out).otherwise(F.lit(level.number % 2 == 1))
     return out
@@ -104,28 +120,44 @@ def candidate_keys(host: Column, path: Column, depth: int, names: int) -> Column
     return F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
 
 
-def url_filter(pages: DataFrame, rules: dict[str, str], blocked_hosts: list[str], *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def keys_of(spark: SparkSession, keys: Iterable[str] | DataFrame) -> DataFrame:
+    """A list of keys as a table `key`; a table is taken as it is, so that a long list needs no driver."""
+    if isinstance(keys, DataFrame):
+        return keys.select(keys[keys.columns[0]].alias("key"))
+    return spark.range(1).select(F.explode(F.lit(sorted(keys)).cast("array<string>")).alias("key"))
+
+
+def url_filter(pages: DataFrame, rules: dict[str, str], blocked_hosts: list[str] | DataFrame, *, id_col: str = "page_id", url_col: str = "url", most_names: int = 8) -> DataFrame:
     """(id, host, path, rule, verdict) of every row.
 
     rules maps keys like `example.net/en/` (a host and a path prefix ending in a slash) to allow or block. A rule fits
     its host and the hosts below it if the path starts with the rule's; the longest wins. A URL that no rule fits is
-    blocked if its host, or one above it, is in blocked_hosts, else allowed. All lists are held in one cascade each
-    over the complete universe of keys of the table, so a lookup needs no join and errs on no key of the table.
+    blocked if its host, or one above it, is in blocked_hosts, else allowed; those may be a table of one column, of
+    hosts of at most most_names labels. All lists are held in one cascade each over the complete universe of keys of
+    the table, so a lookup needs no join and errs on no key of the table. A list too long for one cascade is dealt to
+    shards of the keys' hash, and the rows are passed over once for each.
 
     Defined results: a null URL, or one without ://, has empty host and path, no rule and the verdict allow; repeated
-    rows are judged each; other columns are ignored; an empty table gives no rows."""
+    rows are judged each; very long URLs are judged whole, by keys of as many labels and slashes as any rule has;
+    other columns are ignored; an empty table gives no rows; null hosts in the list are left out."""
     spark = pages.sparkSession
     host, path = url_parts(F.col(url_col))
     parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     depth = max((k.count("/") for k in rules), default=1)
-    names = 1 + max((k.split("/")[0].count(".") for k in [*rules, *blocked_hosts]), default=0)
+    labels = [1 + k.split("/")[0].count(".") for k in (rules if isinstance(blocked_hosts, DataFrame) else [*rules, *blocked_hosts])]
+    names = max([*labels, *([most_names] if isinstance(blocked_hosts, DataFrame) else [])], default=1)
     own = candidate_keys(F.col("host"), F.col("path"), depth, names)
     above = F.transform(candidate_keys(F.col("host"), F.lit("/"), 1, names), lambda k: F.concat(F.lit("host:"), k))
     universe = written(parts.select(F.explode(F.concat(own, above)).alias("key")).distinct(), "url-keys")
-    keyed = parts.select("*", own.alias("keys"), above.alias("hosts"))
-    lists = [sorted(k for k, v in rules.items() if v == "block"), sorted(k for k, v in rules.items() if v == "allow"), sorted(f"host:{h}/" for h in blocked_hosts)]
-    block, allow, hosts = (build_cascade(spark.createDataFrame([(k,) for k in keys], "key string"), universe, "key") for keys in lists)
-    hit = F.transform("keys", lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), F.when(member(block, k), F.lit("block")).when(member(allow, k), F.lit("allow")).alias("verdict")))
-    best = F.array_max(F.filter(hit, lambda s: s["verdict"].isNotNull()))
-    listed = F.exists("hosts", lambda h: member(hosts, h))
-    return keyed.withColumn("best", best).select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce(F.col("best.verdict"), F.when(listed, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
+    listed = [keys_of(spark, [k for k, v in rules.items() if v == "block"]), keys_of(spark, [k for k, v in rules.items() if v == "allow"]), keys_of(spark, blocked_hosts).select(F.concat(F.lit("host:"), "key", F.lit("/")).alias("key"))]
+    n = shards(max(x.count() for x in listed), universe.count())
+    rows = parts.select("*", F.lit(None).cast("struct<n:int,key:string,verdict:string>").alias("best"), F.lit(False).alias("listed"))
+    for shard in range(n):
+        mine = lambda k: shard_of(k, n) == shard  # noqa: B023, E731  used in this round only
+        block, allow, hosts = (build_cascade(x.where(mine(F.col("key"))), universe.where(mine(F.col("key"))), "key") for x in listed)
+        hit = F.transform(F.filter(own, mine) if n > 1 else own, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), F.when(member(block, k), F.lit("block")).when(member(allow, k), F.lit("allow")).alias("verdict")))  # noqa: B023
+        best = F.array_max(F.filter(F.array_append(hit, F.col("best")), lambda s: s["verdict"].isNotNull()))
+        held = F.col("listed") | F.exists(F.filter(above, mine) if n > 1 else above, lambda h: member(hosts, h))  # noqa: B023
+        rows = rows.withColumns({"best": best, "listed": held})
+        rows = written(rows, "url-shard") if shard < n - 1 else rows
+    return rows.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce(F.col("best.verdict"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
