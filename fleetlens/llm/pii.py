@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spans_text, within, written
+from .common import release, spans_text, written
 
 #: Kinds in the order in which they are listed; the last is the method's.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -24,24 +24,47 @@ TERM = r"[\p{L}\p{M}\p{N}]++"
 PRIOR = 1.0
 #: Shares of a value's information that a term may give away: above the first it is generalised, above the second removed.
 GENERALISE, REMOVE = 0.75, 0.9
-#: Terms that may be sent to all tasks at once.
+#: Matches that are walked at once.
+PART = 128
+#: Frequent terms that tell nothing, at most so many, are sent to all tasks and spared the shuffle.
 SENT = 200_000
 #: A longer term's ancestor is its stem, its first code points; the next one is its kind, a word or a number.
 STEM = 4
 
 
+def _walked(steps: Column, at: Column) -> Column:
+    """(start, end, value) of matches that start at `at` with steps (gap, n, v) between them."""
+    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return F.aggregate(
+        steps,
+        F.struct(at.alias("at"), empty.alias("out")),
+        lambda a, x: F.struct((a["at"] + x["gap"] + x["n"]).alias("at"), F.array_append(a["out"], F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["n"]).alias("end"), x["v"].alias("value"))).alias("out")),
+    )["out"]
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), where value is worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def matches(text: Column, pattern: str | Column) -> Column:
-    """(start, end, value) of each match, in code points: the lengths of the pieces between matches and of the matches are summed up."""
+    """(start, end, value) of each match, in code points: the lengths of the pieces between matches and of the matches are summed up.
+
+    An array that grows is copied at each step, so many matches are walked in parts of PART, each from where the sums of the parts before it end."""
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
     steps = F.zip_with(values, F.slice(pieces, 1, F.size(values)), lambda v, p: F.struct(F.length(p).alias("gap"), F.length(v).alias("n"), v.alias("v")))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, x: F.struct((a["at"] + x["gap"] + x["n"]).alias("at"), F.array_append(a["out"], F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["n"]).alias("end"), x["v"].alias("value"))).alias("out")),
-    )
-    return walked["out"]
+
+    def in_parts(parts: Column) -> Column:
+        lengths = F.transform(parts, lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y["gap"] + y["n"]))
+        starts = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"]).alias("out")))
+        return F.flatten(F.zip_with(parts, starts["out"], _walked))
+
+    def all_of(s: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / PART).cast("int")), lambda i: F.slice(s, i * PART + 1, PART))
+        return F.when(F.size(s) <= PART, _walked(s, F.lit(0))).otherwise(_bound(parts, in_parts))
+
+    return _bound(steps, all_of)
 
 
 def luhn(digits: Column) -> Column:
@@ -142,15 +165,19 @@ def disclosing(rows: DataFrame, vocabulary: DataFrame, n_docs: int) -> DataFrame
     Disclosure is the pointwise mutual information of term and entity over the entity's own information,
     1 + log p(entity | term) / -log p(entity), from numbers of whole documents: those that hold the entity, the term,
     and both. There is no least number of documents: p(entity | term) is (n_both + PRIOR p(entity)) / (n_term + PRIOR).
-    A term's disclosure is its greatest over all entities that it meets."""
-    own = written(_entities(rows).groupBy("row").agg(F.collect_list(F.struct("entity", "n_entity")).alias("entities")), "pii-entities")
-    held = rows.where("size(base) > 0").select("row", _terms(rows).alias("terms")).join(F.broadcast(own) if within(own, 200_000) else own, "row")
-    told = held.select("entities", F.explode("terms").alias("term")).select("term", F.explode("entities").alias("e")).groupBy("term", "e").agg(F.count("*").alias("n_both"))
-    told = written(told.select("term", F.col("e.n_entity").alias("n_entity"), "n_both").distinct(), "pii-pairs")
+    A term's disclosure is its greatest over all entities that it meets. All entities of a single document tell the
+    same of its terms, so they count as one."""
+    own = _entities(rows).groupBy("row").agg(F.max(F.col("n_entity") == 1).alias("single"), F.collect_list(F.when(F.col("n_entity") > 1, F.struct("entity", "n_entity"))).alias("many"))
+    held = written(rows.where("size(base) > 0").select("row", _terms(rows).alias("terms")).join(own, "row"), "pii-held")
+    one = held.where("single").select(F.explode("terms").alias("term")).distinct().select("term", F.lit(1).cast("long").alias("n_entity"), F.lit(1).cast("long").alias("n_both"))
+    many = held.where("size(many) > 0").select("many", F.explode("terms").alias("term")).select("term", F.explode("many").alias("e")).groupBy("term", "e").agg(F.count("*").alias("n_both"))
+    told = written(one.unionByName(many.select("term", F.col("e.n_entity").alias("n_entity"), "n_both")).distinct(), "pii-pairs")
     p_entity = F.col("n_entity") / F.lit(float(max(n_docs, 1)))
     share = (F.col("n_both") + PRIOR * p_entity) / (F.col("n_term") + PRIOR)
     disclosure = F.when(p_entity < 1, 1 + F.log(share) / -F.log(p_entity)).otherwise(F.lit(0.0))
-    return told.join(vocabulary, "term").groupBy("term").agg(F.max(disclosure).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    out = written(told.join(vocabulary, "term").groupBy("term").agg(F.max(disclosure).alias("disclosure")).where(F.col("disclosure") >= GENERALISE), "pii-disclosing")
+    release(told, held)
+    return out
 
 
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,7 +186,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     Base spans are found by patterns and tests. The values they cover are the protected entities; a term that the
     corpus tells to give one of them away is a span wherever it stands, in documents without the entity too. Counts
     run over whole documents, all of them, and are combined before they move; texts are written once beside their
-    spans, and move once where more rows than can be sent to all have terms.
+    spans, and move once to meet their terms. There is one plan for all sizes.
     A term above REMOVE is removed, one above GENERALISE only is generalised: to its stem where that gives away less
     than GENERALISE of every entity, else to its kind, which is as broad as the language. sanitised is the text after
     that, with base values replaced by their kinds.
@@ -169,21 +196,17 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     base = F.when(F.length(text) > 0, base_spans(text)).otherwise(F.array().cast(_SPANS))
     rows = written(docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("doc_id"), text.alias("text"), base.alias("base")), "pii-spans")
     vocabulary = written(rows.select(F.explode(_terms(rows)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "pii-vocabulary")
-    bad = written(disclosing(rows, vocabulary, rows.count()), "pii-disclosing")
+    bad = disclosing(rows, vocabulary, rows.count())
     stems = bad.where(F.endswith("term", F.lit("*"))).select(F.col("term").alias("stem"), F.lit(True).alias("told"))
     acts = bad.where(~F.endswith("term", F.lit("*"))).withColumn("stem", _stem(F.col("term"))).join(stems, "stem", "left")
     kind = F.when(F.col("term").rlike(r"\p{L}"), "[WORD]").otherwise("[NUMBER]")
     to = F.when(F.col("disclosure") >= REMOVE, "").when(F.col("stem").isNotNull() & F.col("told").isNull(), F.col("stem")).otherwise(kind)
     acts = written(acts.select("term", to.alias("to")), "pii-actions")
-    forms = rows.select("row", F.explode(_forms(rows)).alias("form"))
-    if within(acts, SENT):
-        acts = F.broadcast(acts)
-    else:  # frequent terms that tell nothing are most of what would move
-        plain = written(_frequent(vocabulary, SENT).join(acts, "term", "left_anti"), "pii-plain")
-        forms = forms.join(F.broadcast(plain), F.lower("form") == plain["term"], "left_anti")
+    plain = written(_frequent(vocabulary, SENT).join(acts, "term", "left_anti"), "pii-plain")  # most of what would move
+    release(vocabulary)
+    forms = rows.select("row", F.explode(_forms(rows)).alias("form")).join(F.broadcast(plain), F.lower("form") == F.col("term"), "left_anti")
     mine = forms.join(acts, F.lower("form") == F.col("term")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("form", "to"))).alias("forms"))
-    mine = written(mine, "pii-terms")
-    both = rows.join(F.broadcast(mine) if within(mine, 50_000) else mine, "row", "left")
+    both = rows.join(mine, "row", "left")
     edge = r"[\p{L}\p{M}\p{N}]"
     any_of = F.concat(F.lit(f"(?<!{edge})(?:"), F.array_join("forms.form", "|"), F.lit(f")(?!{edge})"))
     found = matches(_masked(F.col("text"), F.col("base")), any_of)
