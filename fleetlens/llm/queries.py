@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .common import load
+from .decontamination import decontaminate, items_digest
+from .hard_negatives import hard_negatives
 from .jaccard_join import jaccard_components
 from .mixing import mix_sources
 from .packing import pack
@@ -13,6 +15,7 @@ from .quality import quality_filter
 from .secret_scan import scan_secrets
 from .topk import exact_top_k
 from .substring_dedup import substring_dedup
+from .token_alignment import align_tokenizers
 from .toxicity import score_documents
 from .url_filter import url_filter
 
@@ -65,7 +68,24 @@ def op10_secret_scan(spark, sf_dir):
     return scan_secrets(load(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_mix_sources, op3_pii, op4_jaccard_join, op5_substring_dedup, op6_url_filter, op7_best_fit_packing, op8_toxicity, op9_quality_rules, op10_secret_scan)}
+def op11_hard_negatives(spark, sf_dir):
+    vectors = load(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", label), "vec_id", "embedding", "label", F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+
+
+def op12_decontamination(spark, sf_dir):
+    found = decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), width=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items_digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_token_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    return align_tokenizers(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), groups="sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_mix_sources, op3_pii, op4_jaccard_join, op5_substring_dedup, op6_url_filter, op7_best_fit_packing, op8_toxicity, op9_quality_rules, op10_secret_scan, op11_hard_negatives, op12_decontamination, op13_token_alignment)}
 
 ORACLE = {
     "op1_exact_top_k": """
@@ -120,4 +140,26 @@ ORACLE = {
                CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
                     WHEN len(list_filter(['adult-x.example.com', 'ads-track.example.com', 'casino-win.example.net', 'cheap-pills.example.net', 'free-bets.example.net', 'spam-farm.example.org'],
                                          lambda h: ends_with('.' || host, '.' || h))) > 0 THEN 'block' ELSE 'allow' END AS verdict FROM c""",
+    "op11_hard_negatives": """
+        WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+              FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+        n AS (SELECT anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score,
+                     CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank
+              FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+        SELECT * FROM n WHERE rank <= 10""",
+    "op12_decontamination": """
+        WITH i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        g AS (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM i WHERE len(w) > 0),
+        p AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + 9], ' ') AS h FROM g),
+        d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+        x AS (SELECT doc_id, i, list(x) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS l FROM t),
+        h AS (SELECT doc_id, i, k, item_id FROM (SELECT doc_id, i, k, array_to_string(l[1:k], ' ') AS h FROM x JOIN (SELECT DISTINCT k FROM p) ON len(l) >= k) JOIN p USING (h, k)),
+        c AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(generate_series(i, i + k - 1)) AS i FROM h) GROUP BY doc_id),
+        m AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)""",
 }
