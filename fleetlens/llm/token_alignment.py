@@ -58,10 +58,10 @@ class Tokenizers:
         self.cuts = not any(re.search("[^\u2581]\u2581|\n", p) for p in pieces)
 
     def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of units, each of which starts with white space; what isn't a space lacks the one that B adds."""
+        """Ids of units, each of which starts with white space; B adds a space to what it is given, unless that is empty."""
         a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
         b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        return a, [ids if u[0] == " " else ids[1:] if ids[:1] == [self.space] else [] for u, ids in zip(units, b, strict=True)]
+        return a, [[self.space] if u == " " else ids if u[0] == " " else ids[1:] if ids[:1] == [self.space] else [] for u, ids in zip(units, b, strict=True)]
 
 
 def bitset(ends: np.ndarray, size: int) -> np.ndarray:

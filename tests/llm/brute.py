@@ -152,3 +152,98 @@ def copies_by_mix(rows, weights=(3, 1, 2), share=1.5, cap=2.0):
             if own == s:
                 out[i] = turns + (n > 0 and k in more)
     return out
+
+
+def hard_negatives(rows, positives, negatives, low, high, ask):
+    import math
+
+    good = {(i, label, tuple(math.floor(256 * x) for x in v)) for i, v, label in rows if i is not None and label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    out = []
+    for i, own, a in good:
+        if i % ask == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), j, label) for j, label, b in good if j != i)
+            for p, j, _ in [s for s in scored if s[2] == own][:positives]:
+                fit = [(s, k) for s, k, label in scored if label != own and low * -p <= 100 * -s <= high * -p]
+                out += [(i, j, r + 1, k, min(-p, 2**63 - 1), min(-s, 2**63 - 1)) for r, (s, k) in enumerate(fit[:negatives])]
+    return out
+
+
+def contaminated(rows, items, width):
+    """(doc_id, n_words, n_hit, ids, stretches of hit words)"""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = defaultdict(set)
+    for i, t in items:
+        w = word.findall((t or "").translate(_LOW))
+        for s in range(max(1, len(w) - width + 1)) if w else ():
+            windows[tuple(w[s : s + width])].add(i)
+    sizes, out = {len(w) for w in windows}, []
+    for i, t in rows:
+        places = [m.span() for m in word.finditer((t or "").translate(_LOW))]
+        w = word.findall((t or "").translate(_LOW))
+        hit, ids = [False] * len(w), set()
+        for n in sizes:
+            for s in range(len(w) - n + 1):
+                own = tuple(w[s : s + n])
+                if own in windows:
+                    hit[s : s + n] = [True] * n
+                    ids |= windows[own]
+        spans = []
+        for k, h in enumerate(hit):
+            if h and k and hit[k - 1]:
+                spans[-1] = (spans[-1][0], places[k][1], spans[-1][2] + 1)
+            elif h:
+                spans.append((*places[k], 1))
+        out.append((i, len(w), sum(hit), tuple(sorted(x for x in ids if x is not None)), tuple(spans)))
+    return out
+
+
+def aligned(rows, path_a, path_b):
+    """Columns of the contract, by whole texts and sets of pairs."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    tok, sp = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+    tok.encode_special_tokens = True
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    docs, counts = [], Counter()
+    for i, t in rows:
+        a = tok.encode(" " + t, add_special_tokens=False).ids if t else []
+        b = sp.encode(t, num_threads=1) if t else []
+        bytes_a = [bytes(byte[c] for c in tok.id_to_token(x)) for x in a]
+        bytes_b = [bytes([int(sp.id_to_piece(x)[3:5], 16)]) if sp.is_byte(x) else sp.id_to_piece(x).replace("▁", " ").encode() for x in b]
+        if not t or not b"".join(bytes_a) == b"".join(bytes_b) == (" " + t).encode():
+            docs.append((i, [], [], []))
+            continue
+        ends_a, ends_b = ([sum(len(y) for y in own[: k + 1]) for k in range(len(own))] if len(own) < 200 else list(_running(own)) for own in (bytes_a, bytes_b))
+        cuts, groups, x, y = sorted(set(ends_a) & set(ends_b)), [], 0, 0
+        for c in cuts:
+            ga, gb = [], []
+            while x < len(a) and ends_a[x] <= c:
+                ga.append(a[x])
+                x += 1
+            while y < len(b) and ends_b[y] <= c:
+                gb.append(b[y])
+                y += 1
+            groups.append((ga, gb))
+        docs.append((i, a, b, groups))
+        counts.update({(p, q) for ga, gb in groups for p in set(ga) for q in set(gb)})
+    best = defaultdict(int)
+    for (p, _), n in counts.items():
+        best[p] = max(best[p], n)
+    out = []
+    for i, a, b, groups in docs:
+        links = Counter()
+        for ga, gb in groups:
+            ca, cb = Counter(ga), Counter(gb)
+            links.update({(p, q): n * m for p, n in ca.items() for q, m in cb.items()})
+        said = ";".join(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)) for ga, gb in groups)
+        out.append((i, len(a), len(b), len(groups), sum(links.values()), sum(n for pq, n in links.items() if counts[pq] == best[pq[0]]), sum(n * counts[pq] for pq, n in links.items()), hashlib.sha256(said.encode()).hexdigest() if groups else ""))
+    return out
+
+
+def _running(own):
+    at = 0
+    for y in own:
+        at += len(y)
+        yield at
