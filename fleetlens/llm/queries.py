@@ -17,10 +17,10 @@ from .topk import exact_top_k
 from .substring_dedup import substring_dedup
 from .token_alignment import align_tokenizers
 from .toxicity import score_documents
-from .url_filter import url_filter
+from .url_filter import keys_of, url_filter, url_parts
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-#: Hosts that are blocked with all below them where no rule fits.
+#: Hosts that are blocked with all below them where no rule fits, beside those that tracked_hosts() finds.
 URL_BLOCKED_HOSTS = ["adult-x.example.com", "ads-track.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org"]
 
 
@@ -45,8 +45,17 @@ def op5_substring_dedup(spark, sf_dir):
     return substring_dedup(load(spark, sf_dir, "documents"), window=50)
 
 
+def tracked_hosts(pages):
+    """Hosts of which more than a fifth of the URLs carry a query."""
+    host, _ = url_parts(F.col("url"))
+    by = pages.select(host.alias("host"), F.contains("url", F.lit("?")).alias("asks")).where("host <> ''").groupBy("host")
+    return by.agg(F.count_if("asks").alias("n"), F.count("*").alias("all")).where("5 * n > all").select("host")
+
+
 def op6_url_filter(spark, sf_dir):
-    return url_filter(load(spark, sf_dir, "pages"), URL_RULES, URL_BLOCKED_HOSTS)
+    pages = load(spark, sf_dir, "pages")
+    listed = keys_of(spark, URL_BLOCKED_HOSTS).union(tracked_hosts(pages)).distinct()
+    return url_filter(pages, URL_RULES, listed)
 
 
 def op7_best_fit_packing(spark, sf_dir):
@@ -129,17 +138,18 @@ ORACLE = {
         k AS (SELECT t.doc_id, count(*) AS n_words, count(r.i) AS n_removed, string_agg(x, ' ' ORDER BY t.i) FILTER (WHERE r.i IS NULL) AS kept FROM t LEFT JOIN r ON r.doc_id = t.doc_id AND r.i = t.i GROUP BY 1)
         SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id""",
     "op6_url_filter": """
-        WITH a AS (SELECT page_id, CASE WHEN url IS NOT NULL AND instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-        b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        WITH a AS (SELECT page_id, url, CASE WHEN url IS NOT NULL AND instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        b AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                      regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path FROM a),
         c AS (SELECT *, CASE WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
                              WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
                              WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
-                             WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM b)
+                             WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM b),
+        q AS (SELECT host FROM b WHERE host <> '' GROUP BY host HAVING 5 * count_if(contains(url, '?')) > count(*)),
+        k AS (SELECT list(DISTINCT host) AS listed FROM (SELECT host FROM q UNION ALL SELECT unnest(['adult-x.example.com', 'ads-track.example.com', 'casino-win.example.net', 'cheap-pills.example.net', 'free-bets.example.net', 'spam-farm.example.org'])))
         SELECT page_id, host, path, rule,
                CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-                    WHEN len(list_filter(['adult-x.example.com', 'ads-track.example.com', 'casino-win.example.net', 'cheap-pills.example.net', 'free-bets.example.net', 'spam-farm.example.org'],
-                                         lambda h: ends_with('.' || host, '.' || h))) > 0 THEN 'block' ELSE 'allow' END AS verdict FROM c""",
+                    WHEN len(list_filter(listed, lambda h: ends_with('.' || host, '.' || h))) > 0 THEN 'block' ELSE 'allow' END AS verdict FROM c, k""",
     "op11_hard_negatives": """
         WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
                    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

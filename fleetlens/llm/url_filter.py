@@ -14,24 +14,23 @@ from .common import sent, written
 
 #: A cascade's filters travel inside the plan; keys whose filters would take more bits are dealt to shards by hash, each with a cascade and a pass of its own.
 MAX_BITS = 1 << 18
-HASHES = 7
-BITS_A_KEY = 10
-#: Bits of a filter, at least: a short list is told from any number of keys by its first filter alone.
-MIN_BITS = 1 << 14
+#: Of the keys that aren't a level's own, the share that a level after the first takes for its own: the least bits in all.
+MISTAKEN = 0.5
 
 
 @dataclass(frozen=True)
 class Level:
-    """One Bloom filter: its number in the cascade, its number of bits, and the bits in longs."""
+    """One Bloom filter: its number in the cascade, its numbers of bits and of hashes, and the bits in longs."""
 
     number: int
     bits: int
+    hashes: int
     words: tuple[int, ...]
 
     def may_hold(self, key: Column) -> Column:
         words = F.lit(list(self.words))
         out = F.lit(True)
-        for p in positions(key, self.number, self.bits):
+        for p in positions(key, self.number, self.bits, self.hashes):
             out = out & (_bit(words, p) == 1)
         return out
 
@@ -40,26 +39,33 @@ def _bit(words: Column, p: Column) -> Column:
     return F.call_function("getbit", F.get(words, F.shiftright(p, 6).cast("int")), F.pmod(p, F.lit(64)).cast("int"))
 
 
-def positions(key: Column, number: int, bits: int) -> list[Column]:
-    """Double hashing: h1 + i * h2 for i below HASHES."""
+def positions(key: Column, number: int, bits: int, hashes: int) -> list[Column]:
+    """Double hashing: h1 + i * h2 for i below hashes."""
     h = F.xxhash64(F.lit(number), key)
     one, two = F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 29), F.lit(bits - 1)) + 1
-    return [F.pmod(one + F.lit(i) * two, F.lit(bits)) for i in range(HASHES)]
+    return [F.pmod(one + F.lit(i) * two, F.lit(bits)) for i in range(hashes)]
 
 
-def bits_for(n: int) -> int:
-    return max(MIN_BITS, 64 * math.ceil(n * BITS_A_KEY / 64))
+def mistaken(number: int, own: int, others: int) -> float:
+    """The share of other keys that a level may take for its own: of the first level so many as the list has keys, over the root of 2; of others MISTAKEN."""
+    return MISTAKEN if number else min(MISTAKEN, own / (math.sqrt(2) * max(1, others)))
 
 
-def build_level(keys: DataFrame, key: str, number: int) -> Level:
+def shape(n: int, share: float) -> tuple[int, int]:
+    """Bits and hashes of a filter of n keys that takes about that share of other keys for its own."""
+    return max(8, math.ceil(n * math.log2(1 / share) / math.log(2))), max(1, round(math.log2(1 / share)))
+
+
+def build_level(keys: DataFrame, key: str, number: int, others: int) -> Level:
     """Sets the bits of all keys: distinct positions are gathered in longs by a grouped bit_or, bounded by the filter's size."""
-    bits = bits_for(keys.count())
-    p = F.explode(F.array(*positions(F.col(key), number, bits))).alias("p")
+    n = keys.count()
+    bits, hashes = shape(n, mistaken(number, n, others))
+    p = F.explode(F.array(*positions(F.col(key), number, bits, hashes))).alias("p")
     packed = keys.select(p).groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("x"))
-    words = [0] * (bits // 64)
+    words = [0] * math.ceil(bits / 64)
     for r in packed.collect():  # bits / 64 rows at most
         words[r.w] = r.x
-    return Level(number, bits, tuple(words))
+    return Level(number, bits, hashes, tuple(words))
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, key: str) -> list[Level]:
@@ -67,25 +73,26 @@ def build_cascade(listed: DataFrame, universe: DataFrame, key: str) -> list[Leve
 
     The rows of a level are those of the level two before that the level between them takes by mistake, so the last
     level has no mistakes over the universe and membership there is exact. Each level has hashes of its own and holds
-    a small share of the keys of the one two before, so the cascade ends. An empty list is an empty cascade."""
+    about half of the keys of the one two before, so the cascade ends. An empty list is an empty cascade."""
     named = listed.select(key).where(F.col(key).isNotNull()).distinct()
     if named.isEmpty():
         return []
     pool = [named, universe.select(key).where(F.col(key).isNotNull()).distinct().join(sent(named), key, "left_anti")]
     levels: list[Level] = []
+    others = pool[1].count()
     for number in itertools.count():
         side = pool[number % 2]
         if number and side.isEmpty():
             return levels
-        levels.append(build_level(side, key, number))
+        levels.append(build_level(side, key, number, others))
         pool[(number + 1) % 2] = pool[(number + 1) % 2].where(levels[-1].may_hold(F.col(key)))
     raise AssertionError
 
 
 def shards(n_listed: int, n_universe: int) -> int:
-    """Cascades that a list needs so that no filter of theirs is above MAX_BITS: the first holds the list, the second what that takes by mistake."""
-    mistakes = n_universe * (1 - math.exp(-HASHES * n_listed / bits_for(n_listed))) ** HASHES
-    return max(1, math.ceil(max(n_listed, mistakes) * BITS_A_KEY / MAX_BITS))
+    """Cascades that a list needs so that no filter of theirs is above MAX_BITS: the first holds the list, the second what that takes by mistake, which is less."""
+    others = max(1, n_universe - n_listed)
+    return max(1, math.ceil(shape(n_listed, mistaken(0, n_listed, others))[0] / MAX_BITS)) if n_listed else 1
 
 
 def shard_of(key: Column, n: int) -> Column:
@@ -127,29 +134,29 @@ def keys_of(spark: SparkSession, keys: Iterable[str] | DataFrame) -> DataFrame:
     return spark.range(1).select(F.explode(F.lit(sorted(keys)).cast("array<string>")).alias("key"))
 
 
-def url_filter(pages: DataFrame, rules: dict[str, str], blocked_hosts: list[str] | DataFrame, *, id_col: str = "page_id", url_col: str = "url", most_names: int = 8) -> DataFrame:
+def url_filter(pages: DataFrame, rules: dict[str, str], blocked_hosts: list[str] | DataFrame, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict) of every row.
 
     rules maps keys like `example.net/en/` (a host and a path prefix ending in a slash) to allow or block. A rule fits
     its host and the hosts below it if the path starts with the rule's; the longest wins. A URL that no rule fits is
-    blocked if its host, or one above it, is in blocked_hosts, else allowed; those may be a table of one column, of
-    hosts of at most most_names labels. All lists are held in one cascade each over the complete universe of keys of
+    blocked if its host, or one above it, is in blocked_hosts, else allowed; those may be a table of one column. All lists are held in one cascade each over the complete universe of keys of
     the table, so a lookup needs no join and errs on no key of the table. A list too long for one cascade is dealt to
     shards of the keys' hash, and the rows are passed over once for each.
 
     Defined results: a null URL, or one without ://, has empty host and path, no rule and the verdict allow; repeated
-    rows are judged each; very long URLs are judged whole, by keys of as many labels and slashes as any rule has;
+    rows are judged each; very long URLs are judged whole, by keys of as many labels and slashes as any rule or listed host has;
     other columns are ignored; an empty table gives no rows; null hosts in the list are left out."""
     spark = pages.sparkSession
     host, path = url_parts(F.col(url_col))
     parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     depth = max((k.count("/") for k in rules), default=1)
-    labels = [1 + k.split("/")[0].count(".") for k in (rules if isinstance(blocked_hosts, DataFrame) else [*rules, *blocked_hosts])]
-    names = max([*labels, *([most_names] if isinstance(blocked_hosts, DataFrame) else [])], default=1)
+    blocked = keys_of(spark, blocked_hosts)
+    most = blocked.agg(F.max(F.size(F.split("key", r"\.", -1)))).first()[0] or 1
+    names = max([most, *(1 + k.split("/")[0].count(".") for k in rules)])
     own = candidate_keys(F.col("host"), F.col("path"), depth, names)
     above = F.transform(candidate_keys(F.col("host"), F.lit("/"), 1, names), lambda k: F.concat(F.lit("host:"), k))
     universe = written(parts.select(F.explode(F.concat(own, above)).alias("key")).distinct(), "url-keys")
-    listed = [keys_of(spark, [k for k, v in rules.items() if v == "block"]), keys_of(spark, [k for k, v in rules.items() if v == "allow"]), keys_of(spark, blocked_hosts).select(F.concat(F.lit("host:"), "key", F.lit("/")).alias("key"))]
+    listed = [keys_of(spark, [k for k, v in rules.items() if v == "block"]), keys_of(spark, [k for k, v in rules.items() if v == "allow"]), blocked.select(F.concat(F.lit("host:"), "key", F.lit("/")).alias("key"))]
     n = shards(max(x.count() for x in listed), universe.count())
     rows = parts.select("*", F.lit(None).cast("struct<n:int,key:string,verdict:string>").alias("best"), F.lit(False).alias("listed"))
     for shard in range(n):

@@ -14,7 +14,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from fleetlens.llm import common, jaccard_join, mixing, packing, pii, quality, secret_scan, substring_dedup, toxicity, url_filter
+from fleetlens.llm import common, jaccard_join, mixing, packing, pii, quality, queries, secret_scan, substring_dedup, toxicity, url_filter
 from fleetlens.llm.jaccard_join import chosen_matches, jaccard_components, one_of_each
 from fleetlens.llm.topk import exact_top_k
 
@@ -602,12 +602,30 @@ def test_url_filter(spark):
     assert got[2][:2] == ("a.net", "") and got[12][:2] == ("", "")
 
 
+def test_the_registered_lists_need_levels(spark, monkeypatch):
+    """Cascades over the tables' own keys have mistakes to encode: three levels and more, and an exact verdict (test_sql.py)."""
+    depth, own = [], url_filter.build_cascade
+    monkeypatch.setattr(url_filter, "build_cascade", lambda *a: (depth.append(own(*a)), depth[-1])[1])
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        depth.clear()
+        queries.QUERIES["op6_url_filter"](spark, sf).count()
+        assert len(depth) == 3 and max(map(len, depth)) >= 3
+        assert [level.number for level in depth[2]] == list(range(len(depth[2])))
+
+
+def test_hosts_of_any_number_of_labels(spark):
+    long = ".".join("abcdefghijklmnop")
+    pages = spark.createDataFrame([(1, f"http://x.{long}/"), (2, f"http://{long[2:]}/"), (3, f"http://{long}")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.url_filter(pages, {}, spark.createDataFrame([(long,)], "h string")).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block"}
+
+
 def test_cascades_are_exact(spark):
     universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.where(F.xxhash64("key") % 7 == 0)
     levels = url_filter.build_cascade(spark.createDataFrame(listed.collect(), "key string"), universe, "key")
     wrong = universe.where(url_filter.member(levels, F.col("key")) != (F.xxhash64("key") % 7 == 0)).count()
-    assert wrong == 0 and len(levels) > 1
+    assert wrong == 0 and len(levels) >= 3
 
 
 def test_components_of_chains_and_stars(spark):
