@@ -247,3 +247,43 @@ def _running(own):
     for y in own:
         at += len(y)
         yield at
+
+
+def disclosures(rows, term, rules):
+    """The disclosure of each term and stem that has evidence, by plain counting over different texts; rules has the thresholds."""
+    import math
+
+    texts = sorted({t for _, t in rows})
+    held, who = defaultdict(set), defaultdict(set)
+    for i, text in enumerate(texts):
+        blank = list(text)
+        for s in spans(text, PII):
+            kind, a, b = s.split(":")
+            value = text[int(a) : int(b)]
+            value = value.lower() if kind == "email" else value if kind == "ip" else re.sub("[^0-9]", "", value)
+            who[kind, value].add(i)
+            wide = value.rpartition("@")[2] if kind == "email" else ".".join(value.split(".")[:2]) if kind == "ip" else value[:6]
+            who[kind + "*", wide].add(i)
+            blank[int(a) : int(b)] = " " * (int(b) - int(a))
+        for w in {w.lower() for w in term.findall("".join(blank))}:
+            held[w].add(i)
+            if len(w) > 4:
+                held[w[:4] + "*"].add(i)
+    n, sets = len(texts), {frozenset(d) for d in who.values() if len(d) >= rules.MEETINGS}
+    pairs = len(sets) * sum(len(t) for _, t in rows) / 2
+
+    def chance(k, draws, share):
+        q = k / draws
+        if q <= share or share >= 1:
+            return 0.0
+        return -draws * (q * math.log(q / share) + ((1 - q) * math.log((1 - q) / (1 - share)) if q < 1 else 0.0))
+
+    out, z = {}, rules.DEVIATE
+    for w, docs in held.items():
+        for e in sets:
+            k, m = len(docs & e), len(docs)
+            if k >= rules.MEETINGS and len(e) < n and math.log(pairs) + min(chance(k, m, len(e) / n), chance(k, len(e), m / n)) <= math.log(rules.BY_CHANCE):
+                q = k / m
+                low = (q + z * z / (2 * m) - z * math.sqrt(q * (1 - q) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+                out[w] = max(out.get(w, -9.0), 1 + math.log(low) / -math.log(len(e) / n))
+    return out
