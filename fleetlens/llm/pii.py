@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, release, sent, spans_text, written
+from .common import BROADCAST_BYTES, release, sent, spans_text, within, written
 
 #: Kinds in the order in which they are listed; the last is the method's.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -29,8 +29,8 @@ GENERALISE, REMOVE = 0.75, 0.9
 #: pairs of a word and an entity, of all there are, that chance may be expected to bring together as often; and the
 #: normal deviate by which the share of a term's texts that hold the entity is bounded from below.
 MEETINGS, BY_CHANCE, DEVIATE = 2, 0.05, 1.645
-#: Matches that are walked at once.
-PART = 128
+#: Matches that are walked at once, and spans that are replaced at once.
+FEW, PART = 16, 128
 #: What a term or a row of spans takes in a task besides its characters and spans.
 ROW_BYTES = 96
 #: A longer term's ancestor is its stem, its first code points; the next one is its kind, a word or a number.
@@ -55,7 +55,7 @@ def _bound(value: Column, use) -> Column:
 def matches(text: Column, pattern: str | Column) -> Column:
     """(start, end, value) of each match, in code points: the lengths of the pieces between matches and of the matches are summed up.
 
-    An array that grows is copied at each step, so many matches are walked in parts of PART, each from where the sums of the parts before it end."""
+    An array that grows is copied at each step, so n matches are walked in about the root of n parts, each from where the sums of the parts before it end."""
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
     steps = F.zip_with(values, F.slice(pieces, 1, F.size(values)), lambda v, p: F.struct(F.length(p).alias("gap"), F.length(v).alias("n"), v.alias("v")))
@@ -66,8 +66,9 @@ def matches(text: Column, pattern: str | Column) -> Column:
         return F.flatten(F.zip_with(parts, starts["out"], _walked))
 
     def all_of(s: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / PART).cast("int")), lambda i: F.slice(s, i * PART + 1, PART))
-        return F.when(F.size(s) <= PART, _walked(s, F.lit(0))).otherwise(_bound(parts, in_parts))
+        width = F.ceil(F.sqrt(F.size(s))).cast("int")
+        parts = _bound(width, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / w).cast("int")), lambda i: F.slice(s, i * w + 1, w)))
+        return F.when(F.size(s) <= FEW, _walked(s, F.lit(0))).otherwise(_bound(parts, in_parts))
 
     return _bound(steps, all_of)
 
@@ -157,8 +158,7 @@ def _stem(term: Column) -> Column:
 
 def _terms(rows: DataFrame) -> Column:
     """The distinct terms of a row, in lower case, and their stems."""
-    terms = F.transform(_forms(rows), F.lower)
-    return F.array_distinct(F.concat(terms, F.filter(F.transform(terms, _stem), lambda t: t.isNotNull())))
+    return _bound(F.transform(_forms(rows), F.lower), lambda terms: F.array_distinct(F.concat(terms, F.filter(F.transform(terms, _stem), lambda t: t.isNotNull()))))
 
 
 def _broader(entity: Column) -> Column:
@@ -209,6 +209,10 @@ def disclosing(rows: DataFrame, n_texts: int, n_chars: int) -> DataFrame:
     both = held.select("h", "term", F.explode("entities").alias("e")).select("term", "e.entity", "e.n_entity", "h").distinct().groupBy("term", "entity", "n_entity").agg(F.count("*").alias("n_both"))
     seldom = pairs + F.least(log_chance(F.col("n_both"), F.col("n_both"), F.col("n_entity") / n), log_chance(F.col("n_both"), F.col("n_entity"), F.col("n_both") / n)) <= math.log(BY_CHANCE)
     told = written(both.where((F.col("n_both") >= MEETINGS) & seldom), "pii-pairs")  # with as few texts of the term as there can be
+    if told.isEmpty():
+        out = written(told.withColumn("disclosure", F.lit(0.0)), "pii-disclosing")
+        release(own, told)
+        return out
     asked = sent(told.select("term").distinct())
     counts = rows.select("h", F.explode(_terms(rows)).alias("term")).join(asked, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     chance = F.least(log_chance(F.col("n_both"), F.col("n_term"), F.col("n_entity") / n), log_chance(F.col("n_both"), F.col("n_entity"), F.col("n_term") / n))
@@ -220,12 +224,25 @@ def disclosing(rows: DataFrame, n_texts: int, n_chars: int) -> DataFrame:
 
 
 def _flagged(rows: DataFrame, acts: DataFrame) -> DataFrame:
-    """(row, terms): the spans of the terms of acts, by start. Words are cut once and meet the terms where they are; terms beyond BROADCAST_BYTES come in shards, with a pass of the words for each."""
-    words = rows.select("row", F.explode(matches(_masked(F.col("text"), F.col("base")), TERM)).alias("w")).select("row", "w.start", "w.end", F.lower("w.value").alias("term"))
-    shards = max(1, math.ceil(acts.agg(F.coalesce(F.sum(F.octet_length("term") + F.octet_length("to") + ROW_BYTES), F.lit(0))).first()[0] / BROADCAST_BYTES))
-    parts = [words.join(F.broadcast(acts.where(F.pmod(F.xxhash64("term"), F.lit(shards)) == i)), "term") for i in range(shards)]
+    """(row, terms), written: the spans of the terms of acts, by start.
+
+    Rows meet the terms where they are, first by their distinct words, so that only words of rows with a term are
+    given places; terms beyond BROADCAST_BYTES come in shards, with a pass for each."""
     span = F.struct("start", F.lit(4).alias("rank"), "end", F.lit("term").alias("kind"), F.col("to").alias("value"))
-    return reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.sort_array(F.collect_list(span)).cast(_SPANS).alias("terms"))
+    if acts.isEmpty():
+        return written(rows.where(F.lit(False)).select("row", F.array().cast(_SPANS).alias("terms")), "pii-flagged")
+    shards = max(1, math.ceil(acts.agg(F.sum(F.octet_length("term") + F.octet_length("to") + ROW_BYTES)).first()[0] / BROADCAST_BYTES))
+    mine = [F.broadcast(acts.where(F.pmod(F.xxhash64("term"), F.lit(shards)) == i)) for i in range(shards)]
+
+    def met(words: DataFrame) -> DataFrame:
+        return reduce(DataFrame.unionByName, [words.join(m, "term") for m in mine])
+
+    hit = written(met(rows.select("row", F.explode(_forms(rows)).alias("form")).select("row", F.lower("form").alias("term"))).select("row").distinct(), "pii-hit")
+    few = rows.join(F.broadcast(hit), "row", "left_semi") if within(hit) else rows
+    words = few.select("row", F.explode(matches(_masked(F.col("text"), F.col("base")), TERM)).alias("w")).select("row", "w.start", "w.end", F.lower("w.value").alias("term"))
+    out = written(met(words).groupBy("row").agg(F.sort_array(F.collect_list(span)).cast(_SPANS).alias("terms")), "pii-flagged")
+    release(hit)
+    return out
 
 
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,7 +268,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     kind = F.when(F.col("term").rlike(r"\p{L}"), "[WORD]").otherwise("[NUMBER]")
     to = F.when(F.col("disclosure") >= REMOVE, "").when(F.col("stem").isNotNull() & F.col("told").isNull(), F.col("stem")).otherwise(kind)
     acts = written(acts.select("term", to.alias("to")), "pii-actions")
-    mine = written(_flagged(rows, acts), "pii-flagged")
+    mine = _flagged(rows, acts)
     release(bad, acts)
     both = rows.join(F.broadcast(mine) if mine.agg(F.coalesce(F.sum(ROW_BYTES + 48 * F.size("terms")), F.lit(0))).first()[0] <= BROADCAST_BYTES else mine, "row", "left")
     both = both.withColumn("terms", F.coalesce("terms", F.array().cast(_SPANS)))
