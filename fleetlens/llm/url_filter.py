@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -10,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sent, written
+from .common import release, sent, written
 
 #: A cascade's filters travel inside the plan; keys whose filters would take more bits are dealt to shards by hash, each with a cascade and a pass of its own.
 MAX_BITS = 1 << 18
@@ -56,9 +55,8 @@ def shape(n: int, share: float) -> tuple[int, int]:
     return max(8, math.ceil(n * math.log2(1 / share) / math.log(2))), max(1, round(math.log2(1 / share)))
 
 
-def build_level(keys: DataFrame, key: str, number: int, others: int) -> Level:
-    """Sets the bits of all keys: distinct positions are gathered in longs by a grouped bit_or, bounded by the filter's size."""
-    n = keys.count()
+def build_level(keys: DataFrame, key: str, number: int, n: int, others: int) -> Level:
+    """Sets the bits of all n keys: distinct positions are gathered in longs by a grouped bit_or, bounded by the filter's size."""
     bits, hashes = shape(n, mistaken(number, n, others))
     p = F.explode(F.array(*positions(F.col(key), number, bits, hashes))).alias("p")
     packed = keys.select(p).groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("x"))
@@ -74,19 +72,21 @@ def build_cascade(listed: DataFrame, universe: DataFrame, key: str) -> list[Leve
     The rows of a level are those of the level two before that the level between them takes by mistake, so the last
     level has no mistakes over the universe and membership there is exact. Each level has hashes of its own and holds
     about half of the keys of the one two before, so the cascade ends. An empty list is an empty cascade."""
-    named = listed.select(key).where(F.col(key).isNotNull()).distinct()
-    if named.isEmpty():
+    named = written(listed.select(key).where(F.col(key).isNotNull()).distinct(), "url-listed")
+    n = named.count()
+    if not n:
+        release(named)
         return []
-    pool = [named, universe.select(key).where(F.col(key).isNotNull()).distinct().join(sent(named), key, "left_anti")]
-    levels: list[Level] = []
-    others = pool[1].count()
-    for number in itertools.count():
-        side = pool[number % 2]
-        if number and side.isEmpty():
-            return levels
-        levels.append(build_level(side, key, number, others))
+    levels = [build_level(named, key, 0, n, universe.count())]
+    taken = universe.select(key).where(F.col(key).isNotNull() & levels[0].may_hold(F.col(key)))
+    wrong = written(taken.distinct().join(sent(named), key, "left_anti"), "url-mistaken")
+    pool = [named, wrong]
+    while n := pool[len(levels) % 2].count():
+        number = len(levels)
+        levels.append(build_level(pool[number % 2], key, number, n, 0))
         pool[(number + 1) % 2] = pool[(number + 1) % 2].where(levels[-1].may_hold(F.col(key)))
-    raise AssertionError
+    release(named, wrong)
+    return levels
 
 
 def shards(n_listed: int, n_universe: int) -> int:
