@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import scalar as K
 from fleetlens.operators import exposure as X
-from fleetlens.operators import kernel, normalize, routing
+from fleetlens.operators import graph, kernel, normalize, routing
 from fleetlens.operators import stats as S
 from fleetlens.sources import artifacts
 from fleetlens.sources.scratch import shared_folder
@@ -44,7 +44,8 @@ _TRAVEL = """WITH RECURSIVE e AS (SELECT n_nationkey AS u, (n_nationkey + 1) % 2
 def od_travel_times(spark, d):
     nodes = table(spark, d, "nation").select(F.format_string("n%02d", "n_nationkey").alias("node"))
     pairs = nodes.select(F.col("node").alias("source")).crossJoin(F.broadcast(nodes.select(F.col("node").alias("target"))))
-    return routing.od_costs(pairs, _roads(spark, d)).select("source", "target", "seconds")
+    places = table(spark, d, "nation").select(F.format_string("n%02d", "n_nationkey").alias("node_id"), F.floor(F.col("n_nationkey") / 7).cast("string").alias("region"))
+    return routing.od_costs(pairs, _roads(spark, d), places).select("source", "target", "seconds")
 
 
 @query(_TRAVEL)
@@ -58,7 +59,7 @@ def strong_components(spark, d):
     n = F.col("n_nationkey")
     ways = F.explode(F.array((n * 3 + 1) % 25, n - n % 5))
     rows = table(spark, d, "nation").select(n.alias("u"), ways.alias("v"))
-    return routing.strong_components(rows.select(F.format_string("e%02d_%02d", "u", "v").alias("edge_id"), F.format_string("n%02d", "u").alias("u"), F.format_string("n%02d", "v").alias("v"), F.lit(1.0).alias("seconds")))
+    return graph.strong_components(rows.select(F.format_string("n%02d", "u").alias("a"), F.format_string("n%02d", "v").alias("b"))).withColumnRenamed("node", "node_id")
 
 
 def _simulation(spark, d, what):

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder's path in spark.checkpoint.dir; a temporary one only for a local session that lacks that setting."""
+    """A new folder's path in spark.checkpoint.dir; a temporary one, which goes with the process, only for a local session that lacks that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir isn't set: it has to name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="fleetlens-")
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = tempfile.mkdtemp(prefix="fleetlens-")
+            atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
+        base = _local[app]
     return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
@@ -23,4 +31,14 @@ def written(df: DataFrame) -> DataFrame:
     """The rows of df as a Parquet table: lineage ends here."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more: what was made from them has been written."""
+    for t in tables:
+        spark = t.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
