@@ -168,15 +168,19 @@ def _broader(entity: Column) -> Column:
     return F.concat(kind, F.lit("*"), wide)
 
 
-def _entities(rows: DataFrame) -> DataFrame:
-    """(row, h, entity, n_entity), written: entities that MEETINGS different texts hold, one for each set of texts, as others give the same counts with any term."""
+def _witnesses(rows: DataFrame) -> DataFrame:
+    """(row, copies, entities), written: one row of each text that holds entities, how many rows have that text, and its entities."""
     own = F.array_distinct(F.transform("base", _entity))
-    found = written(rows.where("size(base) > 0").select("row", "h", F.explode(F.array_distinct(F.concat(own, F.transform(own, _broader)))).alias("entity")), "pii-entities")
-    sums = found.select("entity", "h").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("h")).alias("s1"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("s2"))
-    first = sums.where(F.col("n_entity") >= MEETINGS).groupBy("n_entity", "s1", "s2").agg(F.min("entity").alias("entity")).select("entity", "n_entity")
-    out = written(found.join(sent(first), "entity"), "pii-entities")
-    release(found)
-    return out
+    held = rows.where("size(base) > 0").select("row", "h", F.array_distinct(F.concat(own, F.transform(own, _broader))).alias("entities"))
+    return written(held.groupBy("h").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min("entities").alias("entities")).drop("h"), "pii-witnesses")
+
+
+def _entities(witnesses: DataFrame) -> DataFrame:
+    """(row, copies, entity, n_entity, entity_rows), written: entities that MEETINGS different texts hold, one for each set of texts, as others give the same counts with any term."""
+    found = witnesses.select("row", "copies", F.explode("entities").alias("entity"))
+    sums = found.groupBy("entity").agg(F.count("*").alias("n_entity"), F.sum("copies").alias("entity_rows"), F.bit_xor(F.xxhash64("row")).alias("s1"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("s2"))
+    first = sums.where(F.col("n_entity") >= MEETINGS).groupBy("n_entity", "s1", "s2").agg(F.min_by(F.struct("entity", "entity_rows"), "entity").alias("e")).select("e.entity", "n_entity", "e.entity_rows")
+    return written(found.join(first, "entity").select("row", "copies", "entity", "n_entity", "entity_rows"), "pii-entities")
 
 
 def log_chance(both: Column, draws: Column, share: Column) -> Column:
@@ -196,30 +200,42 @@ def disclosing(rows: DataFrame, n_texts: int, n_chars: int) -> DataFrame:
     """(term, disclosure), written, of terms and stems that give away at least GENERALISE of some entity's information.
 
     Disclosure is the pointwise mutual information of term and entity over the entity's own information,
-    1 + log p(entity | term) / -log p(entity), from numbers of whole and different texts: those that hold the entity,
-    the term, and both. It is judged by its lower bound, Wilson's for p(entity | term), and only where the meetings are
-    evidence: at least MEETINGS, and so many that chance would bring together fewer than BY_CHANCE of all pairs of a
-    word of the corpus and an entity as often. A term's disclosure is its greatest over all entities."""
-    own = _entities(rows)
-    n_entities = own.agg(F.count_distinct("entity")).first()[0]
-    pairs = F.log(F.lit(float(max(1, n_entities) * max(1, n_chars) / 2)))  # a word and what parts it take two characters
-    n = F.lit(float(max(n_texts, 1)))
-    met = own.groupBy("row").agg(F.collect_list(F.struct("entity", "n_entity")).alias("entities"))
-    held = rows.where("size(base) > 0").join(sent(met), "row").select("h", "entities", F.explode(_terms(rows)).alias("term"))
-    both = held.select("h", "term", F.explode("entities").alias("e")).select("term", "e.entity", "e.n_entity", "h").distinct().groupBy("term", "entity", "n_entity").agg(F.count("*").alias("n_both"))
-    seldom = pairs + F.least(log_chance(F.col("n_both"), F.col("n_both"), F.col("n_entity") / n), log_chance(F.col("n_both"), F.col("n_entity"), F.col("n_both") / n)) <= math.log(BY_CHANCE)
-    told = written(both.where((F.col("n_both") >= MEETINGS) & seldom), "pii-pairs")  # with as few texts of the term as there can be
+    1 + log p(entity | term) / -log p(entity), from numbers of whole documents: those that hold the entity, the term,
+    and both. It is judged by its lower bound, Wilson's for p(entity | term), and only where the meetings are evidence:
+    at least MEETINGS, and so many that chance would bring together fewer than BY_CHANCE of all pairs of a word of the
+    corpus and an entity as often. Shares are of rows; evidence counts different texts, so copies add none. A term's
+    disclosure is its greatest over all entities.
+    A term is at least as frequent in all rows as in those with entities, and both bounds fall with its frequency, so
+    pairs that fail by the latter are dropped before the terms that are left are counted in all rows."""
+    witnesses = _witnesses(rows)
+    own = _entities(witnesses)
+    n = float(max(n_texts, 1))
+    n_entities, most = own.agg(F.count_distinct("entity"), F.max(F.col("entity_rows") / F.pow(F.col("n_entity") / n, 1 - GENERALISE))).first()
+    pairs = math.log(max(1, n_entities) * max(1, n_chars) / 2)  # a word and what parts it take two characters
+    met = own.groupBy("row").agg(F.max("copies").alias("copies"), F.collect_list(F.struct("entity", "n_entity")).alias("entities"))
+    held = written(rows.where("size(base) > 0").join(sent(met.select("row", "copies")), "row").select("row", "copies", F.explode(_terms(rows)).alias("term")), "pii-held")
+    near = held.groupBy("term").agg(F.count("*").alias("_n"), F.sum("copies").alias("near_rows")).where((F.col("_n") >= MEETINGS) & (F.col("near_rows") <= (most or 0.0))).drop("_n")
+    both = held.join(near, "term").join(sent(met.select("row", F.explode("entities").alias("e"))), "row").groupBy("term", "e", "near_rows").agg(F.count("*").alias("n_both"), F.sum("copies").alias("both_rows"))
+    both = both.select("term", "e.n_entity", "near_rows", "n_both", "both_rows").where((F.col("n_both") >= MEETINGS) & (F.col("n_entity") < n))
+
+    def judged(term_rows: Column) -> tuple[Column, Column]:
+        """Whether chance is ruled out, and disclosure, for a term of so many rows."""
+        n_term = F.col("n_both") * term_rows / F.col("both_rows")  # its texts, by the share of its rows
+        chance = F.least(log_chance(F.col("n_both"), n_term, F.col("n_entity") / n), log_chance(F.col("n_both"), F.col("n_entity"), n_term / n))
+        return pairs + chance <= math.log(BY_CHANCE), 1 + F.log(lower_share(F.col("n_both"), n_term)) / -F.log(F.col("n_entity") / n)
+
+    seldom, disclosure = judged(F.col("near_rows"))
+    told = written(both.where(seldom & (disclosure >= GENERALISE)), "pii-pairs")
+    release(witnesses, own, held)
     if told.isEmpty():
-        out = written(told.withColumn("disclosure", F.lit(0.0)), "pii-disclosing")
-        release(own, told)
+        out = written(told.select("term", F.lit(0.0).alias("disclosure")), "pii-disclosing")
+        release(told)
         return out
     asked = sent(told.select("term").distinct())
-    counts = rows.select("h", F.explode(_terms(rows)).alias("term")).join(asked, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    chance = F.least(log_chance(F.col("n_both"), F.col("n_term"), F.col("n_entity") / n), log_chance(F.col("n_both"), F.col("n_entity"), F.col("n_term") / n))
-    disclosure = 1 + F.log(lower_share(F.col("n_both"), F.col("n_term"))) / -F.log(F.col("n_entity") / n)
-    judged = told.join(counts, "term").where((F.col("n_entity") < n) & (pairs + chance <= math.log(BY_CHANCE))).groupBy("term").agg(F.max(disclosure).alias("disclosure"))
-    out = written(judged.where(F.col("disclosure") >= GENERALISE), "pii-disclosing")
-    release(own, told)
+    counts = rows.select(F.explode(_terms(rows)).alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("term_rows"))
+    seldom, disclosure = judged(F.col("term_rows"))
+    out = written(told.join(counts, "term").where(seldom & (disclosure >= GENERALISE)).groupBy("term").agg(F.max(disclosure).alias("disclosure")), "pii-disclosing")
+    release(told)
     return out
 
 

@@ -253,7 +253,8 @@ def disclosures(rows, term, rules):
     """The disclosure of each term and stem that has evidence, by plain counting over different texts; rules has the thresholds."""
     import math
 
-    texts = sorted({t for _, t in rows})
+    copies = Counter(t for _, t in rows)
+    texts = sorted(copies)
     held, who = defaultdict(set), defaultdict(set)
     for i, text in enumerate(texts):
         blank = list(text)
@@ -279,10 +280,14 @@ def disclosures(rows, term, rules):
         return -draws * (q * math.log(q / share) + ((1 - q) * math.log((1 - q) / (1 - share)) if q < 1 else 0.0))
 
     out, z = {}, rules.DEVIATE
+    of = lambda docs: sum(copies[texts[i]] for i in docs)
     for w, docs in held.items():
         for e in sets:
-            k, m = len(docs & e), len(docs)
-            if k >= rules.MEETINGS and len(e) < n and math.log(pairs) + min(chance(k, m, len(e) / n), chance(k, len(e), m / n)) <= math.log(rules.BY_CHANCE):
+            k = len(docs & e)
+            if k < rules.MEETINGS or len(e) == n:
+                continue
+            m = k * of(docs) / of(docs & e)
+            if math.log(pairs) + min(chance(k, m, len(e) / n), chance(k, len(e), m / n)) <= math.log(rules.BY_CHANCE):
                 q = k / m
                 low = (q + z * z / (2 * m) - z * math.sqrt(q * (1 - q) / m + z * z / (4 * m * m))) / (1 + z * z / m)
                 out[w] = max(out.get(w, -9.0), 1 + math.log(low) / -math.log(len(e) / n))
