@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fleetlens.operators.running import run_up
 from fleetlens.operators.sizes import small
+from fleetlens.sources.scratch import written
 
 #: Poisson numbers are drawn as sums of draws with a mean of at most this, by inversion over MOST_K terms.
 PART, MOST_K = 8.0, 64
@@ -44,10 +48,10 @@ def chosen(rows: DataFrame, u: str, weights: DataFrame, item: str, group: list[s
 
     Both sides meet on the slot of u, an equi-join, and the share inside the slot decides; no draw looks through all weights."""
     group = group or []
-    w = Window.partitionBy(*(group or [F.lit(1)])).orderBy(item)
-    own = weights.where("weight > 0").withColumns({"_c1": F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("weight").over(Window.partitionBy(*(group or [F.lit(1)])))})
-    own = own.withColumns({"_c0": (F.col("_c1") - F.col("weight")) / F.col("_all"), "_c1": F.col("_c1") / F.col("_all")})
-    own = own.withColumn("_end", F.row_number().over(w) == F.count("*").over(Window.partitionBy(*(group or [F.lit(1)]))))
+    own = run_up(weights.where("weight > 0"), group, [item], "weight", "_c0")
+    whole = own.groupBy(*group).agg(F.sum("weight").alias("_all"), F.max(item).alias("_last"))
+    own = own.join(small(whole), group) if group else own.crossJoin(F.broadcast(whole))  # one row without groups
+    own = own.withColumns({"_c1": (F.col("_c0") + F.col("weight")) / F.col("_all"), "_c0": F.col("_c0") / F.col("_all"), "_end": F.col(item) == F.col("_last")})
     own = own.withColumn("_slot", F.explode(F.sequence(F.floor(F.col("_c0") * SLOTS).cast("int"), F.when(F.col("_end"), F.lit(SLOTS - 1)).otherwise(F.floor(F.col("_c1") * SLOTS).cast("int")))))
     met = rows.withColumn("_slot", F.floor(F.col(u) * SLOTS).cast("int")).join(small(own.select(*group, "_slot", "_c0", "_c1", "_end", item)), [*group, "_slot"])
     return met.where((F.col(u) >= F.col("_c0")) & ((F.col(u) < F.col("_c1")) | F.col("_end"))).drop("_slot", "_c0", "_c1", "_end")
@@ -79,20 +83,53 @@ def fixed_total(totals: DataFrame, keys: list[str], weights: DataFrame, item: st
 
 
 def od_pairs(tasks: DataFrame, keys: list[str], origins: DataFrame, destinations: DataFrame, reachable: DataFrame | None = None, *, attempts: int = 32, stream: str = "od") -> tuple[DataFrame, DataFrame]:
-    """Tasks with an origin and a destination drawn apart, and those that found none.
+    """Tasks with an origin and a destination drawn apart, and those for which no two places will do.
 
     An attempt is refused if both are the same place or, given pairs (origin, destination) that can be reached, not one
-    of them. All attempts are drawn at once and the first that stands is taken."""
-    tries = tasks.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"))
-    label = [*[F.col(k).cast("string") for k in keys], F.col("attempt").cast("string")]
-    tries = tries.withColumns({"_uo": uniform(f"{stream}.origin", *label), "_ud": uniform(f"{stream}.destination", *label)})
-    rows = chosen(chosen(tries, "_uo", origins.withColumnRenamed("location_id", "origin"), "origin"), "_ud", destinations.withColumnRenamed("location_id", "destination"), "destination").where("origin <> destination")
-    if reachable is not None:
-        rows = rows.join(small(reachable.select("origin", "destination").distinct()), ["origin", "destination"], "left_semi")
-    first = rows.groupBy(*keys).agg(F.min(F.struct("attempt", "origin", "destination")).alias("f")).select(*keys, "f.attempt", "f.origin", "f.destination")
+    of them; a task's first attempt that stands is taken. Attempts are drawn in waves, each for the tasks that are left.
+    A task without a pair after all of them is drawn from what is left of the weights once refused pairs are taken out,
+    which is the same law, as attempt `attempts` + 1: none is lost while any pair has weight."""
+    left, found, at = tasks, [], 0
+    while at < attempts:
+        n = min(attempts - at, max(4, 2 * at))
+        tries = left.select(*keys, F.explode(F.sequence(F.lit(at + 1), F.lit(at + n))).alias("attempt"))
+        label = [*[F.col(k).cast("string") for k in keys], F.col("attempt").cast("string")]
+        tries = tries.withColumns({"_uo": uniform(f"{stream}.origin", *label), "_ud": uniform(f"{stream}.destination", *label)})
+        rows = chosen(chosen(tries, "_uo", origins.withColumnRenamed("location_id", "origin"), "origin"), "_ud", destinations.withColumnRenamed("location_id", "destination"), "destination").where("origin <> destination")
+        if reachable is not None:
+            rows = rows.join(small(reachable.select("origin", "destination").distinct()), ["origin", "destination"], "left_semi")
+        found.append(written(rows.groupBy(*keys).agg(F.min(F.struct("attempt", "origin", "destination")).alias("f")).select(*keys, "f.attempt", "f.origin", "f.destination")))
+        left, at = written(left.join(found[-1].select(*keys), keys, "left_anti")), at + n
+        if left.isEmpty():
+            break
+    else:
+        label = [*[F.col(k).cast("string") for k in keys], F.lit(str(attempts + 1))]
+        rest = left.withColumns({"_uo": uniform(f"{stream}.origin", *label), "_ud": uniform(f"{stream}.destination", *label)})
+        drawn = _apart(rest, origins, destinations) if reachable is None else chosen(rest, "_uo", _joint(origins, destinations, reachable), "pair").select("*", "pair.origin", "pair.destination")
+        found.append(drawn.select(*keys, F.lit(attempts + 1).alias("attempt"), "origin", "destination"))
+    first = written(reduce(DataFrame.unionByName, found))
     return tasks.join(first, keys), tasks.join(first.select(*keys), keys, "left_anti")
 
 
+def _joint(origins: DataFrame, destinations: DataFrame, reachable: DataFrame) -> DataFrame:
+    """(pair, weight) of the pairs that can be reached, of different places with weight."""
+    a, b = origins.where("weight > 0").withColumnsRenamed({"location_id": "origin", "weight": "_wo"}), destinations.where("weight > 0").withColumnsRenamed({"location_id": "destination", "weight": "_wd"})
+    met = reachable.where("origin <> destination").select("origin", "destination").distinct().join(a, "origin").join(b, "destination")
+    return met.select(F.struct("origin", "destination").alias("pair"), (F.col("_wo") * F.col("_wd")).alias("weight"))
+
+
+def _apart(rows: DataFrame, origins: DataFrame, destinations: DataFrame) -> DataFrame:
+    """rows with an origin and a destination by weight, given that they differ: an origin counts by what the others weigh as destinations, and its own stretch is left out of the destinations' scale."""
+    scale = run_up(destinations.where("weight > 0"), [], ["location_id"], "weight", "_c").select(F.col("location_id").alias("origin"), F.col("weight").alias("_wd"), "_c")
+    whole = destinations.where("weight > 0").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("_all"))
+    own = origins.where("weight > 0").select(F.col("location_id").alias("origin"), F.col("weight").alias("_wo")).join(scale, "origin", "left").crossJoin(F.broadcast(whole))  # one row
+    own = written(own.select("origin", (F.col("_wo") * (F.col("_all") - F.coalesce("_wd", F.lit(0.0)))).alias("weight"), (F.coalesce("_wd", F.lit(0.0)) / F.col("_all")).alias("_share"), (F.col("_c") / F.col("_all")).alias("_from")))
+    placed = chosen(rows, "_uo", own.select("origin", "weight"), "origin").join(small(own.drop("weight")), "origin")
+    x = F.col("_ud") * (1 - F.col("_share"))
+    placed = placed.withColumn("_x", F.when(x >= F.col("_from"), x + F.col("_share")).otherwise(x))
+    return chosen(placed, "_x", destinations.withColumnRenamed("location_id", "destination"), "destination").where("origin <> destination")
+
+
 def expanded(rows: DataFrame, count: str, name: str = "instance") -> DataFrame:
     """Each row as often as its count says, with a number from 1; counts of zero or null give none."""
     return rows.where(F.col(count) > 0).withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(count).cast("long"))))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fleetlens.operators.running import run_up
 from fleetlens.operators.sizes import small
+from fleetlens.sources.scratch import written
 
 
 def supply_issues(vehicles: DataFrame) -> DataFrame:
@@ -21,13 +23,10 @@ def supply_issues(vehicles: DataFrame) -> DataFrame:
 
 
 def catalogue_hash(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(rows, hash): a hash of a catalogue that doesn't depend on the order of its rows."""
-    own = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).cast("binary"), 256)
-    return rows.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(",", F.sort_array(F.collect_list(own))).cast("binary"), 256).alias("hash")) if small_table(rows) else rows.agg(F.count("*").alias("rows"), F.hex(F.bit_xor(F.xxhash64(own))).alias("hash"))
-
-
-def small_table(rows: DataFrame, limit: int = 100_000) -> bool:
-    return rows.limit(limit + 1).count() <= limit
+    """(rows, hash): a hash of a catalogue that doesn't depend on the order of its rows, and does on how often each is there: of the number of rows and two sums of their hashes, whatever the size."""
+    own = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    sums = [F.coalesce(F.sum(F.xxhash64(own, F.lit(i)).cast("decimal(38,0)")), F.lit(0)).cast("string") for i in (1, 2)]
+    return rows.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(",", F.count("*").cast("string"), *sums).cast("binary"), 256).alias("hash"))
 
 
 def area_assignments(assignments: DataFrame, vehicles: DataFrame, areas: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,15 +67,14 @@ def plan_faults(plans: DataFrame, tasks: DataFrame) -> DataFrame:
 def bisected_areas(places: DataFrame, levels: int) -> DataFrame:
     """(location_id, area): places (location_id, x, y, mass) cut in two `levels` times, each part along its wider axis where half its mass is reached.
 
-    A cut is a running sum in each part, a window whose partitions halve from level to level; a part of one place stays
-    whole. Ties go by id."""
+    A cut is a running sum in each part, over a range sort, so that no task holds a part; what a level needs of the
+    parts themselves is one row each. A part of one place stays whole. Ties go by id."""
     rows = places.withColumn("area", F.lit(0).cast("long"))
     for _ in range(levels):
-        part = Window.partitionBy("area")
-        wide = (F.max("x").over(part) - F.min("x").over(part)) >= (F.max("y").over(part) - F.min("y").over(part))
-        rows = rows.withColumn("_wide", wide).withColumn("_at", F.when(F.col("_wide"), F.col("x")).otherwise(F.col("y")))
-        order = Window.partitionBy("area").orderBy("_at", "location_id")
-        before = F.sum("mass").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("mass")
-        rows = rows.withColumns({"_before": before, "_all": F.sum("mass").over(part), "_first": F.row_number().over(order) == 1})
-        rows = rows.withColumn("area", 2 * F.col("area") + F.when(F.col("_first") | (2 * F.col("_before") < F.col("_all")), 0).otherwise(1)).drop("_wide", "_at", "_before", "_all", "_first")
+        part = rows.groupBy("area").agg(((F.max("x") - F.min("x")) >= (F.max("y") - F.min("y"))).alias("_wide"), F.sum("mass").alias("_all"))
+        placed = rows.join(small(part), "area").withColumn("_at", F.when(F.col("_wide"), F.col("x")).otherwise(F.col("y")))
+        placed = run_up(placed, ["area"], ["_at", "location_id"], "mass", "_before")
+        first = placed.groupBy("area").agg(F.min(F.struct("_at", "location_id")).alias("_f")).select("area", F.col("_f.location_id").alias("_first"))
+        low = (F.col("location_id") == F.col("_first")) | (2 * F.col("_before") < F.col("_all"))
+        rows = written(placed.join(small(first), "area").select(*places.columns, (2 * F.col("area") + F.when(low, 0).otherwise(1)).alias("area")))
     return rows.select("location_id", "area", "mass")

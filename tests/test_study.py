@@ -114,7 +114,14 @@ def test_fixed_totals_and_od_draws(spark):
     tasks = spark.createDataFrame([(i,) for i in range(200)], "task int")
     one = spark.createDataFrame([("p", 1.0), ("q", 1.0)], "location_id string, weight double")
     good, none = realise.od_pairs(tasks, ["task"], one, one, spark.createDataFrame([("p", "q")], "origin string, destination string"))
-    assert {(r.origin, r.destination) for r in good.collect()} == {("p", "q")} and good.count() + none.count() == 200
+    assert {(r.origin, r.destination) for r in good.collect()} == {("p", "q")} and good.count() == 200 and none.count() == 0
+    heavy = spark.createDataFrame([("p", 1e9), ("q", 1.0), ("r", 3.0)], "location_id string, weight double")
+    for pairs in (None, spark.createDataFrame([("q", "r"), ("r", "q"), ("q", "q")], "origin string, destination string")):
+        good, none = realise.od_pairs(tasks, ["task"], heavy, heavy, pairs)
+        drawn = [(r.origin, r.destination) for r in good.collect()]
+        assert len(drawn) == 200 and none.count() == 0 and all(a != b for a, b in drawn)
+        assert pairs is None or (60 < drawn.count(("q", "r")) < 140 and set(drawn) == {("q", "r"), ("r", "q")})
+        assert pairs is not None or 0.6 < sum("r" in d for d in drawn) / 200 < 0.9
     assert realise.od_pairs(tasks, ["task"], one.where("location_id = 'p'"), one.where("location_id = 'p'"))[1].count() == 200
 
 
@@ -161,6 +168,13 @@ def test_catalogue_hashes_ignore_order(spark):
     rows = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
     assert supply.catalogue_hash(rows, ["k", "v"]).first() == supply.catalogue_hash(rows.orderBy(F.desc("k")), ["k", "v"]).first()
     assert supply.catalogue_hash(rows, ["k", "v"]).first() != supply.catalogue_hash(rows.where("k = 1"), ["k", "v"]).first()
+    twice = rows.unionByName(rows)
+    assert supply.catalogue_hash(twice.unionByName(rows), ["k", "v"]).first().hash != supply.catalogue_hash(rows, ["k", "v"]).first().hash
+    large = spark.range(100_002).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    for n in (100_000, 100_001):
+        own = large.where(F.col("k") < n)
+        again, other = (supply.catalogue_hash(t, ["k", "v"]).first() for t in (own.repartition(5), own.unionByName(own.where("k = 3"))))
+        assert supply.catalogue_hash(own, ["k", "v"]).first() == again and again != other and len(again.hash) == 64
 
 
 def test_checks_fail_and_ranges_are_exact(spark):
