@@ -29,6 +29,8 @@ GENERALISE, REMOVE = 0.75, 0.9
 #: pairs of a word and an entity, of all there are, that chance may be expected to bring together as often; and the
 #: normal deviate by which the share of a term's texts that hold the entity is bounded from below.
 MEETINGS, BY_CHANCE, DEVIATE = 2, 0.05, 1.645
+#: The share of a term's texts that hold the entity, by that lower bound, has to be at least this: words of texts of which few copies hold a value tell of the text and not of the value.
+LIKELY = 0.4
 #: Matches that are walked at once, and spans that are replaced at once.
 FEW, PART = 16, 128
 #: What a term or a row of spans takes in a task besides its characters and spans.
@@ -202,15 +204,15 @@ def disclosing(rows: DataFrame, n_texts: int, n_chars: int) -> DataFrame:
     Disclosure is the pointwise mutual information of term and entity over the entity's own information,
     1 + log p(entity | term) / -log p(entity), from numbers of whole documents: those that hold the entity, the term,
     and both. It is judged by its lower bound, Wilson's for p(entity | term), and only where the meetings are evidence:
-    at least MEETINGS, and so many that chance would bring together fewer than BY_CHANCE of all pairs of a word of the
-    corpus and an entity as often. Shares are of rows; evidence counts different texts, so copies add none. A term's
+    at least MEETINGS, an entity that is LIKELY given the term, and so many that chance would bring together fewer than
+    BY_CHANCE of all pairs of a word of the corpus and an entity as often. Shares are of rows; evidence counts different texts, so copies add none. A term's
     disclosure is its greatest over all entities.
     A term is at least as frequent in all rows as in those with entities, and both bounds fall with its frequency, so
     pairs that fail by the latter are dropped before the terms that are left are counted in all rows."""
     witnesses = _witnesses(rows)
     own = _entities(witnesses)
     n = float(max(n_texts, 1))
-    n_entities, most = own.agg(F.count_distinct("entity"), F.max(F.col("entity_rows") / F.pow(F.col("n_entity") / n, 1 - GENERALISE))).first()
+    n_entities, most = own.agg(F.count_distinct("entity"), F.max(F.col("entity_rows") / F.greatest(F.lit(LIKELY), F.pow(F.col("n_entity") / n, 1 - GENERALISE)))).first()
     pairs = math.log(max(1, n_entities) * max(1, n_chars) / 2)  # a word and what parts it take two characters
     met = own.groupBy("row").agg(F.max("copies").alias("copies"), F.collect_list(F.struct("entity", "n_entity")).alias("entities"))
     held = written(rows.where("size(base) > 0").join(sent(met.select("row", "copies")), "row").select("row", "copies", F.explode(_terms(rows)).alias("term")), "pii-held")
@@ -219,10 +221,11 @@ def disclosing(rows: DataFrame, n_texts: int, n_chars: int) -> DataFrame:
     both = both.select("term", "e.n_entity", "near_rows", "n_both", "both_rows").where((F.col("n_both") >= MEETINGS) & (F.col("n_entity") < n))
 
     def judged(term_rows: Column) -> tuple[Column, Column]:
-        """Whether chance is ruled out, and disclosure, for a term of so many rows."""
+        """Whether the entity is likely and chance ruled out, and disclosure, for a term of so many rows."""
         n_term = F.col("n_both") * term_rows / F.col("both_rows")  # its texts, by the share of its rows
         chance = F.least(log_chance(F.col("n_both"), n_term, F.col("n_entity") / n), log_chance(F.col("n_both"), F.col("n_entity"), n_term / n))
-        return pairs + chance <= math.log(BY_CHANCE), 1 + F.log(lower_share(F.col("n_both"), n_term)) / -F.log(F.col("n_entity") / n)
+        share = lower_share(F.col("n_both"), n_term)
+        return (share >= LIKELY) & (pairs + chance <= math.log(BY_CHANCE)), 1 + F.log(share) / -F.log(F.col("n_entity") / n)
 
     seldom, disclosure = judged(F.col("near_rows"))
     told = written(both.where(seldom & (disclosure >= GENERALISE)), "pii-pairs")

@@ -290,5 +290,6 @@ def disclosures(rows, term, rules):
             if math.log(pairs) + min(chance(k, m, len(e) / n), chance(k, len(e), m / n)) <= math.log(rules.BY_CHANCE):
                 q = k / m
                 low = (q + z * z / (2 * m) - z * math.sqrt(q * (1 - q) / m + z * z / (4 * m * m))) / (1 + z * z / m)
-                out[w] = max(out.get(w, -9.0), 1 + math.log(low) / -math.log(len(e) / n))
+                if low >= rules.LIKELY:
+                    out[w] = max(out.get(w, -9.0), 1 + math.log(low) / -math.log(len(e) / n))
     return out
