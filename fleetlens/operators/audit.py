@@ -102,14 +102,15 @@ def unused_name(base: Column, taken: DataFrame, name: str = "name") -> Column:
 
 
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, node) of all nodes that a root reaches along edges (a, b), itself included: one join of the newest pairs a round, until none is new."""
-    seen = roots.select(F.col("node").alias("root"), "node").distinct()
-    new, e = seen, edges.select("a", "b").distinct()
+    """(root, node) of all nodes that a root reaches along edges (a, b), itself included: one join of the newest pairs a round, until none is new. A round writes its new pairs only."""
+    new, e = written(roots.select(F.col("node").alias("root"), "node").distinct()), edges.select("a", "b").distinct()
+    paths = [new.scratch_path]
+    seen = lambda: new.sparkSession.read.schema(new.schema).parquet(*paths)
     while not new.isEmpty():
-        new = new.join(e, F.col("node") == F.col("a")).select("root", F.col("b").alias("node")).distinct().join(seen, ["root", "node"], "left_anti")
-        new = written(new)
-        seen = written(seen.unionByName(new))
-    return seen
+        onward = new.join(e, F.col("node") == F.col("a")).select("root", F.col("b").alias("node")).distinct()
+        new = written(onward.join(seen(), ["root", "node"], "left_anti"))
+        paths.append(new.scratch_path)
+    return seen()
 
 
 def first_service(services: DataFrame, keys: list[str], start: str, scheduled: str) -> DataFrame:
@@ -135,15 +136,6 @@ def latest_covering(candidates: DataFrame, low: float, high: float) -> DataFrame
     return candidates.where((F.col("low") <= low) & (F.col("high") >= high)).orderBy(F.desc("made"), "id").limit(1)
 
 
-def canonical_nodes(ends: DataFrame, tolerance: float) -> DataFrame:
-    """(x, y, node_id) of line ends (x, y): ends in one square as wide as the tolerance are one node, named by its least end; a square whose ends lie further apart than the tolerance fails the query."""
-    keyed = ends.select("x", "y").distinct().withColumns({"_i": F.round(F.col("x") / tolerance).cast("long"), "_j": F.round(F.col("y") / tolerance).cast("long")})
-    nodes = keyed.groupBy("_i", "_j").agg(F.min(F.struct("x", "y")).alias("_first"))
-    rows = keyed.join(nodes, ["_i", "_j"]).withColumn("_d", F.sqrt((F.col("x") - F.col("_first.x")) ** 2 + (F.col("y") - F.col("_first.y")) ** 2))
-    rows = rows.where(F.assert_true(F.col("_d") <= tolerance * 1.5, F.lit("ends of one node lie too far apart")).isNull())
-    return rows.select("x", "y", F.concat(F.lit("node_"), F.substring(F.sha2(F.concat_ws("|", "_i", "_j").cast("binary"), 256), 1, 12)).alias("node_id"))
-
-
 def weights_of(spark: SparkSession, cells: DataFrame, features: DataFrame | None, bins: DataFrame) -> DataFrame:
     """(cell_id, bin, weight): cells weigh by a feature, or alike, and bins by their length; all weights sum to 1."""
     own = cells.select("cell_id").withColumn("_w", F.lit(1.0)) if features is None else cells.select("cell_id").join(features.groupBy("cell_id").agg(F.sum("value").alias("_w")), "cell_id").where("_w > 0")

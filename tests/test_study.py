@@ -197,10 +197,7 @@ def test_checks_fail_and_ranges_are_exact(spark):
         audit.read_sparse(bad, bad, bad, 24).collect()
 
 
-def test_nodes_of_line_ends_and_latest_cache(spark):
-    ends = spark.createDataFrame([(0.0, 0.0), (0.04, 0.0), (5.0, 5.0)], "x double, y double")
-    got = {(r.x, r.y): r.node_id for r in audit.canonical_nodes(ends, 0.1).collect()}
-    assert got[0.0, 0.0] == got[0.04, 0.0] != got[5.0, 5.0]
+def test_latest_covering(spark):
     made = spark.createDataFrame([("a", 0.0, 10.0, 1), ("b", 0.0, 9.0, 3), ("c", -1.0, 12.0, 2)], "id string, low double, high double, made int")
     assert audit.latest_covering(made, 0.0, 10.0).first().id == "c" and audit.latest_covering(made, 0.0, 99.0).count() == 0
 
