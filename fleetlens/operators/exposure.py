@@ -48,6 +48,19 @@ def allocate_stationary(activities: DataFrame, locations: DataFrame, depots: Dat
     return join_bins(rows.withColumn("excluded", excluded), bins, "start_s", "end_s").where("duration > 0")
 
 
+def combined(moving: DataFrame, stationary: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, duration): time on the move and stationary time that nothing excludes, added up by key; a null cell is outside the grid."""
+    parts = moving.select(*keys, "duration").unionByName(stationary.where(F.col("excluded").isNull()).select(*keys, "duration"))
+    return parts.groupBy(*keys).agg(F.sum("duration").alias("duration"))
+
+
+def balance(moving: DataFrame, stationary: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, moving, counted, depot, offduty, total): where all time went, stationary time by what excludes it."""
+    rows = moving.select(*keys, "duration", F.lit("moving").alias("_w")).unionByName(stationary.select(*keys, "duration", F.coalesce("excluded", F.lit("counted")).alias("_w")))
+    part = lambda w: F.sum(F.when(F.col("_w") == w, F.col("duration")).otherwise(0)).alias(w)
+    return rows.groupBy(*keys).agg(*[part(w) for w in ("moving", "counted", "depot", "offduty")], F.sum("duration").alias("total"))
+
+
 def coarsen(rows: DataFrame, cells: DataFrame, bins: DataFrame, value: str = "duration") -> DataFrame:
     """Sums under a mapping of cells (cell_id, coarse_cell) and of bins (bin, coarse_bin); a row without a mapping fails the query."""
     mapped = rows.join(cells, "cell_id", "left").join(bins, "bin", "left")
