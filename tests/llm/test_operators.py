@@ -517,6 +517,20 @@ def test_toxicity_of_odd_inputs(spark, monkeypatch):
     assert toxicity.score_documents(docs.limit(0), labels, ["doc_id", "lang"]).count() == 0
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """Words that only rows outside the start of the weights hold: their counts, weights and thresholds have to come from those."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 300)
+    labels = spark.range(2000).selectExpr("id as doc_id", "cast(id % 4 = 0 as int) as toxic")
+    first = {r.doc_id for r in labels.where(~toxicity.held_out(labels["doc_id"])).selectExpr("doc_id", "xxhash64(doc_id) as o").orderBy("o", "doc_id").limit(60).collect()}
+    docs = table(spark, [(i, f"plain words number {i % 7} " + ("blarg " if i in first else "grobble " if i % 4 == 0 else "meadow ") * 3) for i in range(2000)])
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 60)
+    assert set(toxicity.training_rows(docs, labels, "toxic")["doc_id"]) == first
+    got = [r for r in toxicity.score_documents(docs, labels, ["doc_id", "lang"]).collect() if r.held_out]
+    assert len(got) > 300 and sum(r.predicted == (r.doc_id % 4 == 0) == r.flagged for r in got) > 0.97 * len(got)
+    every = toxicity.labelled_rows(docs, labels, "toxic")
+    assert every.count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(2000)) and every.select("_shard").distinct().count() > 1
+
+
 def test_mixing_with_clashing_columns_and_odd_rows(spark):
     names = ["doc_id", "text", "source", "size", "h", "copies", "epochs", "limit", "copy", "row", "_copy", "target"]
     rows = [(i, f"w{i} " * (i % 7), "ab"[i % 2], *range(9)) for i in range(60)] + [(5, "w5 " * 5, "b", *range(9)), (900, None, None, *range(9)), (901, "word " * 20_000, "c", *range(9))]
