@@ -18,7 +18,7 @@ from .common import _LOWER, _SPACE, arrow_pass, column_bytes, sent, written
 #: Bytes of words and their ids that a task keeps, about, and what one of them takes besides its characters and ids.
 CACHE_BYTES, ENTRY_BYTES = 40 << 20, 170
 _MARK = np.zeros(256, bool)
-_MARK[[ord(c) for c in ".,;:!?"]] = True
+_MARK[[ord(c) for c in ".,;:!?#*$%&|<>"]] = True
 
 
 class WordIds:
@@ -89,15 +89,18 @@ def checked(path: str) -> None:
 
 
 def parted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts with A-Z lowered and a space before a mark that follows a letter and ends its word: pieces stay as they are, and there are fewer different words. Texts that may spell a special token stay as they are."""
+    """The texts with A-Z lowered and a space before marks that follow a letter (a-z, U+00C0 to U+00FF) and end its word: pieces stay as they are, and there are fewer different words. Texts that may spell a special token stay as they are."""
     if b"<|" in data.tobytes() or not len(data):
         return data, offsets
     data = _LOWER[data]
     mark, letter = _MARK[data], (data >= 97) & (data <= 122)
-    last = np.zeros(len(data), bool)
-    last[:-1] = _SPACE[data[1:]]
-    last[offsets[1:][np.diff(offsets) > 0] - 1] = True
-    split = np.flatnonzero(mark[1:] & letter[:-1] & last[1:]) + 1
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    split = np.flatnonzero(mark[1:] & letter[:-1]) + 1
+    split = split[~np.isin(split, offsets)]
+    # marks go on to the end of the word: what follows them is white space, or their text ends there
+    other = np.append(np.flatnonzero(~mark), len(data))
+    stop = np.minimum(other[np.searchsorted(other, split)], offsets[np.searchsorted(offsets, split, side="right")])
+    split = split[np.isin(stop, offsets) | _SPACE[data[np.minimum(stop, len(data) - 1)]]]
     return np.insert(data, split, 32), offsets + np.searchsorted(split, offsets)
 
 

@@ -424,6 +424,21 @@ def test_plans_give_each_rank_one_slot():
         assert end <= 100
 
 
+def test_marks_at_the_end_of_a_word_are_told_from_it():
+    """Runs of marks and letters outside ASCII make no words of their own, and ids stay those of whole texts."""
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["wait... gest\u00e4### h\u00e9!? a.b. ##x 3.5% <<< q>> e\u0301## \u00d7## it's. o'. x**y**", "end###", "", "###", "\u00df$$$ \u00c8au&&&|", None, "a" * 30 + "%%%\n"]
+    own = packing.WordIds(path)
+    got = own(*common.column_bytes(pa.array(texts)))
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, text
+    assert {b"wait", b"gest\xc3\xa4", b"###", b"h\xc3\xa9", b"end", b"x**y"} <= set(own.cache) and not {b"wait...", b"end###", b"h\xc3\xa9!?"} & set(own.cache)
+
+
 def test_toxicity(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
