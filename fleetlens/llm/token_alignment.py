@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _CUT = np.zeros(256, bool)
 _CUT[[10, 32]] = True
+#: Units that are encoded as one text where that is sure to give the ids of each.
+LINE_UNITS = 256
 #: Never a byte of UTF-8.
 _MARK = 255
 
@@ -136,13 +139,44 @@ class Units:
         self.numbers = np.zeros((0, 6), np.int64)
         self.pairs, self.links, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
+    def encoded(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of units: whether both tokenizers give their bytes back; the numbers of those that do, in the order in which they were encoded, and in that order the ids of A and of B.
+
+        Units between which both are sure to cut are encoded many at a time. Where the tokens of such a line end with each unit and give its bytes back, they are those of its units; any other line is encoded unit by unit."""
+        t, lengths = self.tokenizers, (self.len_a, self.len_b)
+        sure = [i for i, u in enumerate(units) if t.cuts and u[0] == 32 and u[-1] not in b" \t\n\v\f\r"]
+        lines = [sure[i : i + LINE_UNITS] for i in range(0, len(sure), LINE_UNITS)]
+        lines = [line for line in lines if not _UNSURE.search("".join([units[i].decode() for i in line]))]
+        codes = [b"".join([units[i] for i in line]) for line in lines]
+        both = t.encode([c.decode() for c in codes]) if lines else ([], [])
+        good, single = np.ones(len(units), bool), set(range(len(units))).difference(*lines)
+        order: list[int] = []
+        ids: tuple[list, list] = ([], [])
+        for line, code, *own in zip(lines, codes, *both, strict=True):
+            ends, fit = np.cumsum([len(units[i]) for i in line]), True
+            for x, table, length in zip(own, (t.bytes_a, t.bytes_b), lengths, strict=True):
+                to = np.cumsum(length[x])
+                fit = fit and b"".join(map(table.__getitem__, x)) == code and bool((to[np.searchsorted(to, ends)] == ends).all())
+            if not fit:
+                single.update(line)
+                continue
+            order += line
+            for k in (0, 1):
+                ids[k].append(np.array(own[k], np.int64))
+        rest = sorted(single)
+        kept = []
+        for i, *own in zip(rest, *(t.encode([units[i].decode() for i in rest]) if rest else ([], [])), strict=True):
+            good[i] = b"".join(map(t.bytes_a.__getitem__, own[0])) == units[i] == b"".join(map(t.bytes_b.__getitem__, own[1]))
+            if good[i]:
+                kept.append(own)
+                order.append(i)
+        for k in (0, 1):
+            ids[k].append(np.array(list(chain.from_iterable(own[k] for own in kept)), np.int64))
+        return good, np.array(order, np.int64), *[np.concatenate(x) for x in ids]
+
     def learn(self, units: list[bytes]) -> None:
-        t, texts = self.tokenizers, [u.decode() for u in units]
-        a, b = t.encode(texts)
-        good = np.array([b"".join(map(t.bytes_a.__getitem__, x)) == u == b"".join(map(t.bytes_b.__getitem__, y)) for u, x, y in zip(units, a, b, strict=True)], bool)
-        use = np.flatnonzero(good)
-        size = np.cumsum([len(units[i]) for i in use], dtype=np.int64)
-        flat_a, flat_b = (np.array([i for k in use.tolist() for i in own[k]], np.int64) for own in (a, b))
+        good, use, flat_a, flat_b = self.encoded(units)
+        size = np.cumsum([len(units[i]) for i in use.tolist()], dtype=np.int64)
         n, numbers, groups = len(units), np.zeros((len(units), 6), np.int64), [""] * len(units)
         if len(use):
             ends_a, ends_b = (bitset(np.cumsum(length[ids]), int(size[-1]) + 1) for length, ids in ((self.len_a, flat_a), (self.len_b, flat_b)))
@@ -158,7 +192,8 @@ class Units:
             numbers[:, 5] = np.bincount(own, minlength=n)
             self.pairs, self.links = np.concatenate((self.pairs, pair)), np.concatenate((self.links, links))
             dec_a, dec_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-            said = [f"{','.join(dec_a[i:j])}|{','.join(dec_b[k:m])}" for i, j, k, m in zip([0, *to_a[:-1].tolist()], to_a.tolist(), [0, *to_b[:-1].tolist()], to_b.tolist(), strict=True)]
+            ends = zip([0, *to_a[:-1].tolist()], to_a.tolist(), [0, *to_b[:-1].tolist()], to_b.tolist(), strict=True)
+            said = [f"{dec_a[i]}|{dec_b[k]}" if j - i == m - k == 1 else f"{','.join(dec_a[i:j])}|{','.join(dec_b[k:m])}" for i, j, k, m in ends]
             stop = np.searchsorted(cuts, size, side="right").tolist()
             for i, low, high in zip(use.tolist(), [0, *stop[:-1]], stop, strict=True):
                 groups[i] = ";".join(said[low:high])
@@ -218,9 +253,9 @@ class Units:
         doc = np.repeat(np.arange(len(texts)), np.diff(at))
         bad = np.zeros(len(texts), bool)
         bad[doc[self.numbers[ids, 4] == 0]] = True
-        sums = np.zeros((len(texts), 4), np.int64)
-        for c in range(4):
-            np.add.at(sums[:, c], doc, self.numbers[ids, c])
+        run = np.zeros((len(ids) + 1, 4), np.int64)
+        np.cumsum(self.numbers[ids, :4], axis=0, out=run[1:])
+        sums = run[at[1:]] - run[at[:-1]]
         sums[bad] = 0
         before = np.cumsum(self.numbers[:, 5]) - self.numbers[:, 5]
         kept = ~bad[doc]

@@ -156,3 +156,24 @@ def test_registered_queries(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").count()
     for name in ("op12_decontamination", "op13_token_alignment"):
         assert queries.QUERIES[name](spark, SMALL).count() == docs
+
+
+def test_units_are_encoded_by_lines():
+    """Many units at a time give each the ids that it has alone, and few calls of the tokenizers are made."""
+    import public_tokenizers
+
+    rng = random.Random(12)
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    odd = [" ", "  x", " a ", "\nline", " \n", " \u00a0z", " 's", " <|endoftext|>", " \u00e9\u0301", " \ufb01n", " \U0001f600", " x\u2581y"]
+    units = list(dict.fromkeys([u.encode() for u in odd] + [(" " + "".join(rng.choices("abcdest\u00e9\u00fc.,'0", k=rng.randrange(1, 9)))).encode() for _ in range(900)]))
+    rng.shuffle(units)
+    many, calls = token_alignment.Units(*paths), []
+    encode = many.tokenizers.encode
+    many.tokenizers.encode = lambda texts: (calls.append(len(texts)), encode(texts))[1]
+    many.learn(units)
+    assert sum(calls) < len(units)
+    alone = token_alignment.Units(*paths)
+    for i, u in enumerate(units):
+        alone.clear()
+        alone.learn([u])
+        assert alone.groups[0] == many.groups[i] and (alone.numbers[0] == many.numbers[i]).all(), u
