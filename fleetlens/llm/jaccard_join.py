@@ -16,6 +16,8 @@ WIDTH, SHARE = 5, (4, 5)
 MOST_MATCHES = 4
 #: Counters of the frequency sketch: 512 KB, whatever the input.
 SKETCH_BITS = 16
+#: Words of 64 bits that hold, for each set, whether an odd number of its shingles falls on a bit.
+PARITY = 16
 #: A token that more than one in HOT of all documents may hold is dealt to SALTS groups.
 HOT, SALTS = 2048, 64
 #: Documents of a list that the others are held against in a round, and rounds, each with others.
@@ -24,8 +26,15 @@ PIVOTS, ROUNDS = 8, 2
 VERIFY_COST = 0.05
 
 
+def parities(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """PARITY words a set: each shingle flips one bit, so two sets differ in as many shingles at least as in bits."""
+    bit = (mix(s ^ np.uint64(0x7F4A7C15)) % np.uint64(64 * PARITY)).astype(np.int64)
+    odd = np.bincount(text_of(at) * (64 * PARITY) + bit, minlength=(len(at) - 1) * 64 * PARITY) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8").reshape(-1, PARITY)
+
+
 def _sketched(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
-    """A written table (doc_id, n, s1, s2) with each row's number of shingles and a 128-bit sum over its set, and for the whole table the counts of shingles by the top bits of their hash, and the number of rows."""
+    """A written table (doc_id, n, s1, s2, p0, ...) with each row's number of shingles, a 128-bit sum over its set and its parities, and for the whole table the counts of shingles by the top bits of their hash, and the number of rows."""
 
     def make():
         counts, rows = np.zeros(1 << SKETCH_BITS, np.int64), [0]
@@ -39,16 +48,17 @@ def _sketched(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
                 np.add.accumulate(mix(s ^ np.uint64(k)), out=c[1:])
                 sums.append(signed(c[at[1:]] - c[at[:-1]]))
             rows[0] += batch.num_rows
-            yield {"kind": pa.array(np.zeros(batch.num_rows, np.int32)), "doc_id": batch.column(0), "n": pa.array(np.diff(at)), "s1": pa.array(sums[0]), "s2": pa.array(sums[1])}
+            odd = parities(s, at)
+            yield {"kind": pa.array(np.zeros(batch.num_rows, np.int32)), "doc_id": batch.column(0), "n": pa.array(np.diff(at)), "s1": pa.array(sums[0]), "s2": pa.array(sums[1])} | {f"p{i}": pa.array(np.ascontiguousarray(odd[:, i])) for i in range(PARITY)}
 
         def finish():
             full = np.flatnonzero(counts)
-            yield {"kind": pa.array(np.full(len(full), 1, np.int32)), "doc_id": pa.array(full), "n": pa.array(counts[full]), "s1": pa.nulls(len(full), pa.int64()), "s2": pa.nulls(len(full), pa.int64())}
+            yield {"kind": pa.array(np.full(len(full), 1, np.int32)), "doc_id": pa.array(full), "n": pa.array(counts[full])} | {c: pa.nulls(len(full), pa.int64()) for c in ("s1", "s2", *_parity())}
 
         step.finish = finish
         return step
 
-    both = written(arrow_pass(docs, make, "kind int, doc_id bigint, n bigint, s1 bigint, s2 bigint"), "jaccard-sets")
+    both = written(arrow_pass(docs, make, "kind int, doc_id bigint, n bigint, s1 bigint, s2 bigint" + "".join(f", {c} bigint" for c in _parity())), "jaccard-sets")
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in both.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).collect():  # one row a counter at most
         sketch[r.doc_id] = r.n
@@ -56,6 +66,10 @@ def _sketched(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
     return sets, sketch, sets.count()
 
 
+def _parity(side: str = "") -> list[str]:
+    return [f"{side}p{i}" for i in range(PARITY)]
+
+
 def least_overlap(n: np.ndarray) -> np.ndarray:
     """Shingles that a set of n shares at least with any set it links to."""
     return (n * SHARE[0] + SHARE[1] - 1) // SHARE[1]
@@ -216,9 +230,11 @@ def _apart(entries: DataFrame, joined: DataFrame | None = None) -> DataFrame:
     return placed.withColumn("ahead", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "token")) - 1)
 
 
-def _across(rest: DataFrame) -> DataFrame:
+def _across(rest: DataFrame, odd: DataFrame) -> DataFrame:
     """Pairs of entries of a token whose documents lie in different components.
 
+    Linked sets differ in a ninth of the shingles of both at most, and in as many at least as their parities (odd, by id)
+    differ in bits: other pairs aren't made. Ids that odd lacks are met without that.
     A set of n shingles of which n - cap lie ahead unshared shares at most cap with any other. So entries of a token are
     counted by (n, cap), kinds are matched with kinds whose sets can link, and only entries of matched kinds are joined
     by the key (token, kind, kind): documents that merely share a common token are never paired."""
@@ -229,8 +245,13 @@ def _across(rest: DataFrame) -> DataFrame:
     fits = F.least("a_n", "b_n") * SHARE[1] >= F.greatest("a_n", "b_n") * SHARE[0]
     apart = ~((F.col("a_low") == F.col("a_high")) & (F.col("b_low") == F.col("b_high")) & (F.col("a_low") == F.col("b_low")))
     matched = two[0].join(two[1], "token").where(fits & apart & (9 * F.least("a_cap", "b_cap") >= 4 * both)).select("token", "a_n", "a_cap", "b_n", "b_cap")
-    left = _side(kinds, "a", F.col("cap").alias("a_cap")).join(matched, ["token", "a_n", "a_cap"])
-    return left.join(_side(kinds, "b", F.col("cap").alias("b_cap")), ["token", "b_n", "b_cap"]).where("a_doc < b_doc and a_component <> b_component")
+    with_odd = kinds.join(sent(odd), "doc_id", "left")
+    sides = [_side(with_odd, side, F.col("cap").alias(f"{side}_cap"), *[F.col(c).alias(f"{side}_{c}") for c in _parity()]) for side in "ab"]
+    left = sides[0].join(matched, ["token", "a_n", "a_cap"])
+    differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _parity()), F.lit(0))
+    near = F.coalesce(9 * differ <= both, F.lit(True))  # unknown where an id has no parities
+    pairs = left.join(sides[1], ["token", "b_n", "b_cap"]).where("a_doc < b_doc and a_component <> b_component").where(near)
+    return pairs.drop(*_parity("a_"), *_parity("b_"))
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,7 +302,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             break
     edges = links
     if not rest.isEmpty():
-        asked.append(written(_candidates(_across(rest), more_texts).join(pairs, ["a", "b"], "left_anti"), "jaccard-more"))
+        odd = sets.where("doc_id is not null").join(sent(rest.select("doc_id").distinct()), "doc_id", "left_semi")
+        odd = (odd if again.isEmpty() else keep_ids(odd, again.select("doc_id"), "doc_id", "left_anti")).select("doc_id", *_parity())
+        asked.append(written(_candidates(_across(rest, odd), more_texts).join(pairs, ["a", "b"], "left_anti"), "jaccard-more"))
         edges = links.unionByName(_verified(asked[-1], texts))
     if more_texts is not None:  # their classes are tied by them, the one each stands for as well
         ties = sets.where("n > 0").join(sent(several), "doc_id").join(sent(classes), key, "left")

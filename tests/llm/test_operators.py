@@ -424,6 +424,24 @@ def test_plans_give_each_rank_one_slot():
         assert end <= 100
 
 
+def test_parities_bound_the_difference_of_sets(spark):
+    """Documents that share tokens and can't link aren't paired, and no pair that links is left out."""
+    rng = np.random.default_rng(2)
+    sets = [np.sort(rng.choice(np.arange(1, 4000, dtype=np.uint64), n, replace=False)) for n in (0, 1, 50, 400, 900)]
+    sets += [np.sort(np.concatenate((sets[3][20:], np.arange(10_000, 10_020, dtype=np.uint64))))]
+    at = np.cumsum([0, *map(len, sets)])
+    bits = jaccard_join.parities(np.concatenate(sets), at)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            differ = int(np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)).sum())
+            assert differ <= len(np.setxor1d(a, b)) and (i != j or not differ)
+    assert np.bitwise_count((bits[3] ^ bits[5]).view(np.uint64)).sum() * 9 <= 800 < np.bitwise_count((bits[3] ^ bits[4]).view(np.uint64)).sum() * 9
+    odd = spark.createDataFrame([(i, *map(int, bits[i])) for i in (3, 4, 5)], ", ".join(["doc_id long", *[f"{c} long" for c in jaccard_join._parity()]]))
+    rest = spark.createDataFrame([(7, 0, i, 400, 1, 1, i, 1) for i in (3, 4, 5, 6)], "token long, salt int, doc_id long, n int, pos int, need int, component long, ahead int")
+    got = {(r.a_doc, r.b_doc) for r in jaccard_join._across(rest, odd).collect()}
+    assert got == {(3, 5), (3, 6), (4, 6), (5, 6)}
+
+
 def test_marks_at_the_end_of_a_word_are_told_from_it():
     """Runs of marks and letters outside ASCII make no words of their own, and ids stay those of whole texts."""
     import pyarrow as pa
