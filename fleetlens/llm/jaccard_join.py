@@ -24,6 +24,8 @@ HOT, SALTS = 2048, 64
 PIVOTS, ROUNDS = 8, 2
 #: Cost of verifying a candidate against that of reading one entry of a token's list, in list entries for each of its shingles.
 VERIFY_COST = 0.05
+#: Entries of a list from which on sizes are paired before documents are.
+LONG = 64
 
 
 def parities(s: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -219,39 +221,80 @@ def _star(entries: DataFrame, turn: int) -> DataFrame:
     return _side(hashed, "a", "salt", "h").join(pivots, ["token", "salt"]).where("struct(b_h, b_doc) < struct(h, a_doc) and a_component <> b_component").drop("salt", "h", "b_h")
 
 
+def _least(n: Column) -> Column:
+    """least_overlap of a column."""
+    return F.ceil(n * SHARE[0] / SHARE[1]).cast("int")
+
+
 def _apart(entries: DataFrame, joined: DataFrame | None = None) -> DataFrame:
-    """Entries of tokens whose documents lie in several components, with those, and with the number of such tokens ahead in the document."""
+    """Entries of tokens whose documents lie in several components, with those, and with the number of such tokens ahead in the document.
+
+    Prefixes of sets that link share MOST_MATCHES tokens, or as many as the sets have to, so a set with fewer entries left has no more links to other components and goes."""
     if joined is None:
         placed = entries.withColumn("component", F.col("doc_id"))
     else:
         placed = entries.join(sent(joined).withColumnRenamed("component", "_c"), F.col("doc_id") == F.col("node"), "left").select("token", "salt", "doc_id", "n", "pos", "need", F.coalesce("_c", "doc_id").alias("component"))
         split = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
         placed = placed.join(split, "token")
-    return placed.withColumn("ahead", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "token")) - 1)
+    ahead = placed.withColumn("ahead", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "token")) - 1)
+    return ahead.withColumn("own", F.count("*").over(Window.partitionBy("doc_id", "n"))).where(F.col("own") >= F.least(_least(F.col("n")), F.lit(MOST_MATCHES))).drop("own")
 
 
-def _across(rest: DataFrame, odd: DataFrame) -> DataFrame:
-    """Pairs of entries of a token whose documents lie in different components.
-
-    Linked sets differ in a ninth of the shingles of both at most, and in as many at least as their parities (odd, by id)
-    differ in bits: other pairs aren't made. Ids that odd lacks are met without that.
-    A set of n shingles of which n - cap lie ahead unshared shares at most cap with any other. So entries of a token are
-    counted by (n, cap), kinds are matched with kinds whose sets can link, and only entries of matched kinds are joined
-    by the key (token, kind, kind): documents that merely share a common token are never paired."""
-    kinds = rest.withColumn("cap", F.col("n") - F.col("pos") + F.col("ahead")).where(F.col("cap") * SHARE[1] >= F.col("n") * SHARE[0])
-    held = kinds.groupBy("token", "n", "cap").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    two = [held.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("n", "cap", "low", "high")]) for side in "ab"]
-    both = F.col("a_n") + F.col("b_n")
-    fits = F.least("a_n", "b_n") * SHARE[1] >= F.greatest("a_n", "b_n") * SHARE[0]
+def _reach(n: Column, other: Column) -> Column:
+    """The last place in a prefix ordered anew at which the first token may stand that a set of n shares with one of `other` shingles, if they link.
+
+    Prefixes hold n - least + MOST_MATCHES tokens, all but that many less of the shared ones lie within them, and those that follow the first one need places too."""
+    return n - F.ceil(4 * (n + other) / 9).cast("int") + F.greatest(_least(n), _least(other)) - _least(n)
+
+
+def _ordered(rest: DataFrame) -> DataFrame:
+    """The entries in an order by the lengths that lists have now: pos and ahead are places in it, list is the length. Those behind any place of a first shared token go.
+
+    The sketch can't tell tokens of tens of documents from those of one, and the less the more documents there are; the
+    prefixes it has made are long enough for any other order inside them. Tokens that no one else holds come first."""
+    lists = rest.groupBy("token").agg(F.count("*").alias("list"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token", "list")
+    whose, n = Window.partitionBy("doc_id", "n"), F.col("n")
+    size = F.least(n, n - _least(n) + MOST_MATCHES)
+    placed = rest.drop("pos", "ahead").join(lists, "token").withColumn("own", F.count("*").over(whose)).where(F.col("own") >= F.least(_least(n), F.lit(MOST_MATCHES)))
+    placed = placed.withColumn("ahead", F.row_number().over(whose.orderBy("list", "token")) - 1)
+    return placed.withColumn("pos", (size - F.col("own") + F.col("ahead")).cast("int")).where(F.col("pos") <= n - _least(n)).drop("own")
+
+
+def _thinned(ordered: DataFrame) -> DataFrame:
+    """Ordered entries without those of long lists that meet no set of a size that suits both places: sizes are paired for that, not documents."""
+    long = ordered.where(F.col("list") > LONG)
+    held = long.groupBy("token", "n").agg(F.min("pos").alias("pos"), F.min("component").alias("low"), F.max("component").alias("high"))
+    two = [held.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("n", "pos", "low", "high")]) for side in "ab"]
+    a, b = F.col("a_n"), F.col("b_n")
+    fits = F.least(a, b) * SHARE[1] >= F.greatest(a, b) * SHARE[0]
     apart = ~((F.col("a_low") == F.col("a_high")) & (F.col("b_low") == F.col("b_high")) & (F.col("a_low") == F.col("b_low")))
-    matched = two[0].join(two[1], "token").where(fits & apart & (9 * F.least("a_cap", "b_cap") >= 4 * both)).select("token", "a_n", "a_cap", "b_n", "b_cap")
-    with_odd = kinds.join(sent(odd), "doc_id", "left")
-    sides = [_side(with_odd, side, F.col("cap").alias(f"{side}_cap"), *[F.col(c).alias(f"{side}_{c}") for c in _parity()]) for side in "ab"]
-    left = sides[0].join(matched, ["token", "a_n", "a_cap"])
+    met = two[0].join(two[1], "token").where(fits & apart & (F.col("a_pos") <= _reach(a, b)) & (F.col("b_pos") <= _reach(b, a)))
+    last = met.groupBy("token", a.alias("n")).agg(F.max(_reach(a, b)).alias("last"))
+    return ordered.where(F.col("list") <= LONG).unionByName(long.join(last, ["token", "n"]).where("pos <= last").drop("last"))
+
+
+def _across(rest: DataFrame, odd: DataFrame) -> DataFrame:
+    """Pairs of entries of a token whose documents lie in different components, of ordered entries.
+
+    Sets that link share 4/9 of the shingles of both at least. So many less the larger one's least overlap, and
+    MOST_MATCHES more, lie in both prefixes, and the first of these no further back than _reach says in either. Only pairs
+    of entries at such places are made, which hold that first one, and each pair's tokens are gathered. Linked sets differ
+    in a ninth of the shingles of both at most, and in as many at least as their parities (odd, by id) differ in bits:
+    other pairs go. Ids that odd lacks are met without that. For _candidates one match is asked for, and places in the
+    smaller set are put forward by what its prefix ends before the larger one's."""
+    sides = [_side(rest, side) for side in "ab"]
+    a, b, both = F.col("a_n"), F.col("b_n"), F.col("a_n") + F.col("b_n")
+    fits = F.least(a, b) * SHARE[1] >= F.greatest(a, b) * SHARE[0]
+    most = F.greatest(_least(a), _least(b))
+    place = {"a": F.col("a_pos") - most + _least(a), "b": F.col("b_pos") - most + _least(b)}
+    can = 9 * (F.least("a_ahead", "b_ahead") + F.least(a - place["a"], b - place["b"])) >= 4 * both
+    met = sides[0].join(sides[1], "token").where("a_doc < b_doc and a_component <> b_component").where(fits & (F.col("a_pos") <= _reach(a, b)) & (F.col("b_pos") <= _reach(b, a)) & can)
+    pairs = met.groupBy("a_doc", "b_doc", "a_n", "b_n").agg(F.collect_list(F.struct(place["a"].alias("a_pos"), place["b"].alias("b_pos"), "a_ahead", "b_ahead")).alias("met"))
+    for side in "ab":
+        pairs = pairs.join(sent(odd.select(F.col("doc_id").alias(f"{side}_doc"), *[F.col(c).alias(f"{side}_{c}") for c in _parity()])), f"{side}_doc", "left")
     differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _parity()), F.lit(0))
     near = F.coalesce(9 * differ <= both, F.lit(True))  # unknown where an id has no parities
-    pairs = left.join(sides[1], ["token", "b_n", "b_cap"]).where("a_doc < b_doc and a_component <> b_component").where(near)
-    return pairs.drop(*_parity("a_"), *_parity("b_"))
+    return pairs.where(near).select("a_doc", "b_doc", "a_n", "b_n", F.lit(1).alias("a_need"), F.lit(1).alias("b_need"), F.inline("met"))
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,9 +345,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             break
     edges = links
     if not rest.isEmpty():
-        odd = sets.where("doc_id is not null").join(sent(rest.select("doc_id").distinct()), "doc_id", "left_semi")
-        odd = (odd if again.isEmpty() else keep_ids(odd, again.select("doc_id"), "doc_id", "left_anti")).select("doc_id", *_parity())
-        asked.append(written(_candidates(_across(rest, odd), more_texts).join(pairs, ["a", "b"], "left_anti"), "jaccard-more"))
+        ordered = written(_ordered(rest), "jaccard-ordered")
+        odd = sets.where("doc_id is not null").join(sent(ordered.select("doc_id").distinct()), "doc_id", "left_semi")
+        odd = written((odd if again.isEmpty() else keep_ids(odd, again.select("doc_id"), "doc_id", "left_anti")).select("doc_id", *_parity()), "jaccard-odd")
+        asked.append(written(_candidates(_across(_thinned(ordered), odd), more_texts).join(pairs, ["a", "b"], "left_anti"), "jaccard-more"))
+        release(ordered, odd)
         edges = links.unionByName(_verified(asked[-1], texts))
     if more_texts is not None:  # their classes are tied by them, the one each stands for as well
         ties = sets.where("n > 0").join(sent(several), "doc_id").join(sent(classes), key, "left")

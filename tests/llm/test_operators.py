@@ -124,6 +124,27 @@ def test_jaccard_of_unlinked_documents_with_common_sentences(spark, monkeypatch)
     assert met[-1] < 5000
 
 
+def test_jaccard_of_documents_with_a_common_passage(spark, monkeypatch):
+    """Documents that share more than half of their shingles are hardly met by these, however coarse the sketch; near copies among them are found."""
+    rng = random.Random(31)
+    passage = [f"p{k}" for k in range(64)]
+    rows = [(i, " ".join([*passage, *[f"u{i}x{k}" for k in range(36 + i % 3)]])) for i in range(160)]
+    for i, text in rng.sample(rows, 30):
+        own = text.split()
+        for k in rng.sample(range(len(own)), rng.randint(1, 4)):
+            own[k] = f"v{i}x{k}"
+        rows.append((len(rows), " ".join(own)))
+    want = sorted(brute.components(rows))
+    monkeypatch.setattr(jaccard_join, "SKETCH_BITS", 4)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 1)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 1)
+    monkeypatch.setattr(jaccard_join, "LONG", 8, raising=False)
+    met, own = [], jaccard_join._across
+    monkeypatch.setattr(jaccard_join, "_across", lambda rest, odd: (met.append(own(rest, odd.limit(0)).count()), own(rest, odd))[1])
+    assert sorted(map(tuple, jaccard_components(table(spark, rows)).collect())) == want
+    assert met[0] < 10_000, met
+
+
 def test_multi_match_prefixes_take_the_cheapest():
     cost = np.array([1.0, 1, 1, 1000, 1, 1, 1, 1, 1, 1])
     n = np.array([10])
