@@ -98,8 +98,8 @@ def parted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     split = np.flatnonzero(mark[1:] & letter[:-1]) + 1
     split = split[~np.isin(split, offsets)]
     # marks go on to the end of the word: what follows them is white space, or their text ends there
-    other = np.append(np.flatnonzero(~mark), len(data))
-    stop = np.minimum(other[np.searchsorted(other, split)], offsets[np.searchsorted(offsets, split, side="right")])
+    over = np.flatnonzero(mark & ~np.append(mark[1:], False)) + 1
+    stop = np.minimum(over[np.searchsorted(over, split, side="right")], offsets[np.searchsorted(offsets, split, side="right")])
     split = split[np.isin(stop, offsets) | _SPACE[data[np.minimum(stop, len(data) - 1)]]]
     return np.insert(data, split, 32), offsets + np.searchsorted(split, offsets)
 

@@ -463,6 +463,20 @@ def test_parities_bound_the_difference_of_sets(spark):
     assert got == {(3, 5), (3, 6), (4, 6), (5, 6)}
 
 
+def test_parting_words_takes_little_memory():
+    """A chunk of a megabyte takes no eight bytes of memory for each of its own, twice over."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    data, offsets = common.column_bytes(pa.array(["some words, and marks; at their ends. " * 300] * 90))
+    tracemalloc.start()
+    packing.parted(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 13 * len(data)
+
+
 def test_marks_at_the_end_of_a_word_are_told_from_it():
     """Runs of marks and letters outside ASCII make no words of their own, and ids stay those of whole texts."""
     import pyarrow as pa
