@@ -92,25 +92,25 @@ def keep_ids(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") ->
     return df.join(sent(ids), on, how)
 
 
-def arrow_pass(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict | pa.RecordBatch]]], schema: str) -> DataFrame:
-    """mapInArrow over slices of at most about CHUNK_BYTES of data; make() is called once a task and may hold the task's state.
+def arrow_pass(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict | pa.RecordBatch]]], schema: str, size: int | None = None) -> DataFrame:
+    """mapInArrow over slices of at most about `size` bytes of data, else CHUNK_BYTES; make() is called once a task and may hold the task's state.
 
     Its function may have an attribute `finish`, a generator function for what remains at a task's end."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    return arrow_rows(df, make, to_arrow_schema(_parse_datatype_string(schema)), schema)
+    return arrow_rows(df, make, to_arrow_schema(_parse_datatype_string(schema)), schema, size)
 
 
-def arrow_rows(df: DataFrame, make, kind: pa.Schema, schema) -> DataFrame:
+def arrow_rows(df: DataFrame, make, kind: pa.Schema, schema, size: int | None = None) -> DataFrame:
     """arrow_pass for an Arrow schema. Batches are bounded in bytes by a setting of the session, which is made here unless the caller has made it."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(name, None) is None:
         conf.set(name, BATCH_BYTES)
-    return df.mapInArrow(arrow_runner(make, kind), schema)
+    return df.mapInArrow(arrow_runner(make, kind, size), schema)
 
 
-def arrow_runner(make, kind: pa.Schema):
+def arrow_runner(make, kind: pa.Schema, size: int | None = None):
     def run(batches):
         step, worked = make(), 0
 
@@ -121,7 +121,7 @@ def arrow_runner(make, kind: pa.Schema):
 
         for batch in batches:
             worked += batch.nbytes
-            for piece in slices(batch):
+            for piece in slices(batch, size):
                 for x in step(piece):
                     yield out(x)
             if worked > TRIM_BYTES:
@@ -144,15 +144,15 @@ def give_back() -> None:
         trim(0)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    n = batch.num_rows
+def slices(batch: pa.RecordBatch, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    n, size = batch.num_rows, size or CHUNK_BYTES
     if not n:
         return
-    size = max(1, int(n * CHUNK_BYTES / max(1, batch.nbytes)))
+    rows = max(1, int(n * size / max(1, batch.nbytes)))
     at = 0
     while at < n:
-        piece = batch.slice(at, size)
-        while piece.num_rows > 1 and _bytes(piece) > 4 * CHUNK_BYTES:
+        piece = batch.slice(at, rows)
+        while piece.num_rows > 1 and _bytes(piece) > 4 * size:
             piece = piece.slice(0, piece.num_rows // 2)
         yield piece
         at += piece.num_rows

@@ -5,20 +5,21 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import _LOWER, _SPACE, arrow_pass, column_bytes, sent, written
+from .common import _SPACE, arrow_pass, column_bytes, sent, word_starts, written
 
-#: Bytes of words and their ids that a task keeps, about, and what one of them takes besides its characters and ids.
-CACHE_BYTES, ENTRY_BYTES = 40 << 20, 170
-_MARK = np.zeros(256, bool)
-_MARK[[ord(c) for c in ".,;:!?#*$%&|<>"]] = True
+#: Bytes of words and their ids that a task keeps, about, and of the texts that it looks up at once: a look-up goes over what is kept.
+CACHE_BYTES, TEXT_BYTES = 24 << 20, 2 << 20
+_MARKS = bytes(chr(i) in ".,;:!?#*$%&|<>" for i in range(256))
 
 
 class WordIds:
@@ -26,53 +27,96 @@ class WordIds:
 
     That holds for tokenizers whose pieces never cross white space and that drop it and the case; checked() holds a
     tokenizer against that. Ids are little-endian unsigned 32-bit bytes. What is kept is bounded in bytes and goes with
-    the object, which is one task's."""
+    the object, which is one task's. Words and their ids are Arrow arrays, and only words that are met for the first
+    time become Python objects."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        #: Ids by word, and those of the words before them: when the first half is full, it takes the place of the second.
-        self.cache: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.held = 0
+        #: Words and their ids, and those before them: when the first half is full, it takes the place of the second.
+        self.words, self.codes = self.older = pa.array([], pa.binary()), pa.array([], pa.large_binary())
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def learn(self, words: list[bytes]) -> None:
-        """Encodes words that the store lacks. Those of ASCII letters are one piece each, so many go in one text and are told apart by the ids that end a word."""
-        cache, single = self.cache, [w for w in words if not w.isalpha()]
-        plain = [w for w in words if w.isalpha()]
-        lines = [b" ".join(plain[i : i + 256]).decode() for i in range(0, len(plain), 256)]
-        coded = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) if lines else []
-        for i, e in enumerate(coded):
-            own, ids = plain[256 * i : 256 * (i + 1)], np.array(e.ids, "<u4")
-            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+    @property
+    def cache(self) -> list[bytes]:
+        return self.words.to_pylist()
+
+    @property
+    def held(self) -> int:
+        return self.words.nbytes + self.codes.nbytes
+
+    def encoded(self, texts: list[str], few: int) -> Iterator[np.ndarray]:
+        """The ids of each text, a few texts at a time: what the tokenizer returns is much larger than its ids."""
+        for i in range(0, len(texts), few):
+            for e in self.tokenizer.encode_batch_fast(texts[i : i + few], add_special_tokens=False):
+                yield np.array(e.ids, "<u4")
+
+    def learn(self, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """The ids of words that the store lacks, and the order they come in. Words of letters are one piece each, so many go in one text and are told apart by the ids that end a word."""
+        texts = [w.decode("utf-8", "replace") for w in words.to_pylist()]
+        letters = np.array([t.isalpha() for t in texts], bool)
+        plain, single = np.flatnonzero(letters).tolist(), np.flatnonzero(~letters).tolist()
+        lines = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        order, ids, sizes = [], [], [np.zeros(1, np.int64)]
+        for own, code in zip(lines, self.encoded([" ".join([texts[i] for i in own]) for own in lines], 16), strict=True):
+            ends = np.flatnonzero(self.last[code]) + 1
             if len(ends) != len(own):
                 single += own
                 continue
-            code, at = ids.tobytes(), 0
-            for w, end in zip(own, ends, strict=True):
-                cache[w] = code[at:end]
-                at = end
-        for w, e in zip(single, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in single], add_special_tokens=False) if single else [], strict=True):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
+            order += own
+            ids.append(code)
+            sizes.append(np.diff(ends, prepend=0))
+        order += single
+        alone = list(self.encoded([texts[i] for i in single], 1024))
+        sizes.append(np.array([len(x) for x in alone], np.int64))
+        code = np.concatenate([np.zeros(0, "<u4"), *ids, *alone])
+        at = 4 * np.cumsum(np.concatenate(sizes))
+        return np.array(order, np.int64), pa.Array.from_buffers(pa.large_binary(), len(order), [None, pa.py_buffer(at), pa.py_buffer(code)])
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where different words are in the store, which takes in those that it lacks."""
+        at = _found(words, self.words)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            old = _found(words.take(pa.array(new)), self.older[0])
+            fresh = new[old < 0]
+            order, codes = self.learn(words.take(pa.array(fresh)))
+            new = np.concatenate((new[old >= 0], fresh[order]))
+            at[new] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, words.take(pa.array(new))])
+            self.codes = pa.concat_arrays([self.codes, self.older[1].take(pa.array(old[old >= 0])), codes])
+        pa.default_memory_pool().release_unused()  # a look-up's table is as large as the store
+        return at
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The ids of each of the texts that lie one after the other in data."""
-        data, offsets = parted(data, offsets)
-        code = data.tobytes()
-        split = [code[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         if self.held > CACHE_BYTES // 2:
-            self.older, self.cache, self.held = self.cache, {}, 0
-        cache, older = self.cache, self.older
-        fresh = [w for w in set().union(*split) if w not in cache]
-        cache.update((w, older[w]) for w in fresh if w in older)
-        self.learn([w for w in fresh if w not in older])
-        self.held += sum(len(w) + len(cache[w]) + ENTRY_BYTES for w in fresh)
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
+            self.older = self.words, self.codes
+            self.words, self.codes = self.words[:0], self.codes[:0]
+        words, at = words_of(*parted(data, offsets))
+        words = words.dictionary_encode()
+        places = self.places(words.dictionary)
+        codes = self.codes.take(pa.array(places[words.indices.to_numpy()]))
+        ends = np.frombuffer(codes.buffers()[1], np.int64)[at].tolist()
+        code = pa.py_buffer(b"") if codes.buffers()[2] is None else codes.buffers()[2]
+        return [code[a:b].to_pybytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _found(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Where each word is in an array, or -1."""
+    return np.array(pc.index_in(words, among).fill_null(-1))
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts that lie one after the other, without the white space between them, and n+1 offsets of each text's words."""
+    word, starts = ~_SPACE[data], word_starts(data, offsets)
+    ends = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(np.add.reduceat(word, starts, dtype=np.int32), out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data[word])]), np.searchsorted(starts, offsets)
 
 
 #: Texts that tell whether a tokenizer drops case and white space and lets no piece cross it.
@@ -90,15 +134,17 @@ def checked(path: str) -> None:
 
 def parted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts with A-Z lowered and a space before marks that follow a letter (a-z, U+00C0 to U+00FF) and end its word: pieces stay as they are, and there are fewer different words. Texts that may spell a special token stay as they are."""
-    if b"<|" in data.tobytes() or not len(data):
+    code = data.tobytes()
+    if b"<|" in code or not code:
         return data, offsets
-    data = _LOWER[data]
-    mark, letter = _MARK[data], (data >= 97) & (data <= 122)
-    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
-    split = np.flatnonzero(mark[1:] & letter[:-1]) + 1
+    code = code.lower()
+    data, marks = np.frombuffer(code, np.uint8), np.flatnonzero(np.frombuffer(code.translate(_MARKS), bool))
+    before = data[marks - 1]
+    letter = (before >= 97) & (before <= 122) | (marks > 1) & (data[np.maximum(marks - 2, 0)] == 0xC3) & (before != 0x97) & (before != 0xB7)
+    split = marks[letter]
     split = split[~np.isin(split, offsets)]
     # marks go on to the end of the word: what follows them is white space, or their text ends there
-    over = np.flatnonzero(mark & ~np.append(mark[1:], False)) + 1
+    over = marks[np.diff(marks, append=len(data) + 1) > 1] + 1
     stop = np.minimum(over[np.searchsorted(over, split, side="right")], offsets[np.searchsorted(offsets, split, side="right")])
     split = split[np.isin(stop, offsets) | _SPACE[data[np.minimum(stop, len(data) - 1)]]]
     return np.insert(data, split, 32), offsets + np.searchsorted(split, offsets)
@@ -127,7 +173,7 @@ def tokenised(docs: DataFrame, tokenizer: str, room: int, end_id: int, id_col: s
         return step
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return arrow_pass(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), make, f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint, pid bigint, nth bigint")
+    return arrow_pass(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), make, f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint, pid bigint, nth bigint", TEXT_BYTES)
 
 
 def plan_bins(counts: dict[int, int], room: int) -> list[tuple[int, int, int, int, int]]:

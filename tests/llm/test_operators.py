@@ -492,6 +492,36 @@ def test_marks_at_the_end_of_a_word_are_told_from_it():
     assert {b"wait", b"gest\xc3\xa4", b"###", b"h\xc3\xa9", b"end", b"x**y"} <= set(own.cache) and not {b"wait...", b"end###", b"h\xc3\xa9!?"} & set(own.cache)
 
 
+def test_words_are_encoded_once_and_many_at_a_time():
+    """Words of letters, ASCII or not, go to the tokenizer by the hundred; a quarter of a million stay known within the bound."""
+    import pyarrow as pa
+
+    class Counting:
+        def __init__(self, own):
+            self.own, self.texts = own, 0
+
+        def encode_batch_fast(self, texts, **more):
+            self.texts += len(texts)
+            return self.own.encode_batch_fast(texts, **more)
+
+    ids = packing.WordIds(_tokenizer())
+    plain = ids.tokenizer
+    ids.tokenizer = Counting(plain)
+    a = "abcdefghijkl\u00e4\u00f1\u0436\u00df"
+    words = ["".join(a[(k * 48271 + 11) >> s & 15] for s in range(0, 36, 4)) for k in range(250_000)]
+    texts = [" ".join(words[k : k + 5_000]) for k in range(0, len(words), 5_000)]
+    first = [ids(*common.column_bytes(pa.array([t])))[0] for t in texts]
+    assert ids.tokenizer.texts <= len(words) // 256 + len(texts)
+    assert np.frombuffer(first[-1], "<u4").tolist() == plain.encode(texts[-1], add_special_tokens=False).ids
+    ids.tokenizer.texts = 0
+    assert [ids(*common.column_bytes(pa.array([t])))[0] for t in texts] == first and not ids.tokenizer.texts
+    # two pieces of one word are told from two words: such lines are encoded word by word
+    odd = ["\u0915\u093c\u0916 \u0958x \u0130a b", "\u00a0 \u3000 z\u00a0 \u1100\u1161 x", "e\u0301 \u0958 \ufb01n"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids(*common.column_bytes(pa.array(odd)))] == [plain.encode(t, add_special_tokens=False).ids for t in odd]
+    # a first byte that is a mark or a letter, alone
+    assert [len(x) for t in (".", "a", "") for x in ids(*common.column_bytes(pa.array([t])))] == [4, 4, 0]
+
+
 def test_toxicity(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
