@@ -5,17 +5,18 @@ from __future__ import annotations
 import math
 import os
 import re
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, arrow_pass, column_bytes, release, written
 
-#: Bytes of units and what is known of them that a task keeps, about, and what a unit takes besides its characters.
-STORE_BYTES, UNIT_BYTES = 48 << 20, 260
+#: Bytes of units and what is known of them that a task keeps, about, and what a unit takes besides its characters, groups and pairs.
+STORE_BYTES, UNIT_BYTES = 48 << 20, 80
 #: Pairs that are expanded at once, and pairs that a task counts before it hands on what it has.
 PAIRS_AT_ONCE = 1 << 20
 #: Bytes that a pair's count takes in a task.
@@ -28,8 +29,6 @@ _CUT = np.zeros(256, bool)
 _CUT[[10, 32]] = True
 #: Units that are encoded as one text where that is sure to give the ids of each.
 LINE_UNITS = 256
-#: Never a byte of UTF-8.
-_MARK = 255
 
 
 def byte_level() -> dict[str, int]:
@@ -96,6 +95,32 @@ def _counted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n[order], first)
 
 
+def merged(own: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (own, key) in order, and the sums of n."""
+    if not len(own):
+        return own, key, n
+    span = int(key.max()) + 1
+    order = np.argsort(own * span + key) if (int(own.max()) + 1) * span < 1 << 62 else np.lexsort((key, own))
+    own, key = own[order], key[order]
+    first = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (key[1:] != key[:-1]))))
+    return own[first], key[first], np.add.reduceat(n[order], first)
+
+
+def stretches(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The positions of stretches of n from each start, one after the other."""
+    return np.arange(int(n.sum())) + np.repeat(starts - (np.cumsum(n) - n), n)
+
+
+def _strings(offsets: np.ndarray, data, kind: pa.DataType | None = None) -> pa.Array:
+    """An Arrow array of the bytes between offsets, without a copy."""
+    data = pa.py_buffer(b"") if data is None else data
+    return pa.Array.from_buffers(kind or pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), data])
+
+
+def _offsets(strings: pa.Array) -> np.ndarray:
+    return np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+
+
 def expanded(group: np.ndarray, ids: np.ndarray, group_b: np.ndarray, ids_b: np.ndarray, n_b: int, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, pair, links): the links of ids that share a group, summed up by the group's owner. pair is a * n_b + b.
 
@@ -110,11 +135,7 @@ def expanded(group: np.ndarray, ids: np.ndarray, group_b: np.ndarray, ids_b: np.
         w = width[at:stop]
         row = np.repeat(np.arange(at, stop), w)
         other = np.arange(len(row)) - np.repeat(np.cumsum(w) - w, w) + low[row]
-        own, pair = owner[ga[row]], (ka[row] & 0xFFFFFFFF) * n_b + (kb[other] & 0xFFFFFFFF)
-        order = np.lexsort((pair, own))
-        own, pair, n = own[order], pair[order], (na[row] * nb[other])[order]
-        first = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (pair[1:] != pair[:-1])))) if len(own) else np.zeros(0, np.int64)
-        parts.append((own[first], pair[first], np.add.reduceat(n, first) if len(first) else n))
+        parts.append(merged(owner[ga[row]], (ka[row] & 0xFFFFFFFF) * n_b + (kb[other] & 0xFFFFFFFF), na[row] * nb[other]))
         at = stop
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -124,21 +145,43 @@ def expanded(group: np.ndarray, ids: np.ndarray, group_b: np.ndarray, ids_b: np.
 class Units:
     """What is known of units of text. A unit is a stretch before which both tokenizers are sure to cut; its tokens, groups and links don't depend on its neighbours.
 
-    What is kept is bounded in bytes and goes with the object, which is one task's."""
+    What is kept is bounded in bytes and goes with the object, which is one task's. Beyond the bound, the units that the most batches had stay, within half of it."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
         self.tokenizers = Tokenizers(path_a, path_b)
-        self.n_b = len(self.tokenizers.bytes_b)
+        self.n_a, self.n_b = len(self.tokenizers.bytes_a), len(self.tokenizers.bytes_b)
         self.len_a, self.len_b = (np.array([len(x) for x in own], np.int64) for own in (self.tokenizers.bytes_a, self.tokenizers.bytes_b))
+        #: An id of A before another and at its group's end, then those of B.
+        self.said = pa.array([f"{i}{c}".encode() for n, ends in ((self.n_a, ",|"), (self.n_b, ",;")) for i in range(n) for c in ends], pa.large_binary())
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.groups: list[str] = []
+        self.known = pa.array([], pa.large_binary())
+        #: A unit's groups, each followed by a semicolon.
+        self.groups = pa.array([], pa.large_binary())
         #: A row a unit: tokens of A and B, groups, links, whether both tokenizers give its bytes back, pairs.
         self.numbers = np.zeros((0, 6), np.int64)
+        #: How many batches had a unit; halved whenever units are dropped.
+        self.met = np.zeros(0, np.int64)
         self.pairs, self.links, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
+    def sizes(self) -> np.ndarray:
+        return UNIT_BYTES + np.diff(_offsets(self.known)) + np.diff(_offsets(self.groups)) + 16 * self.numbers[:, 5]
+
+    def of_units(self, ids: np.ndarray) -> np.ndarray:
+        """Where the pairs of units are."""
+        return stretches((np.cumsum(self.numbers[:, 5]) - self.numbers[:, 5])[ids], self.numbers[ids, 5])
+
+    def shrink(self) -> None:
+        """Drops the units that the fewest batches had, of equal ones the oldest."""
+        order = np.lexsort((-np.arange(len(self.met)), -self.met))
+        size = self.sizes()
+        keep = np.sort(order[np.cumsum(size[order]) <= STORE_BYTES // 2])
+        place = self.of_units(keep)
+        self.pairs, self.links = self.pairs[place], self.links[place]
+        self.known, self.groups = self.known.take(pa.array(keep)), self.groups.take(pa.array(keep))
+        self.numbers, self.met, self.held = self.numbers[keep], self.met[keep] // 2, int(size[keep].sum())
+
     def encoded(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of units: whether both tokenizers give their bytes back; the numbers of those that do, in the order in which they were encoded, and in that order the ids of A and of B.
 
@@ -146,14 +189,16 @@ class Units:
         t, lengths = self.tokenizers, (self.len_a, self.len_b)
         sure = [i for i, u in enumerate(units) if t.cuts and u[0] == 32 and u[-1] not in b" \t\n\v\f\r"]
         lines = [sure[i : i + LINE_UNITS] for i in range(0, len(sure), LINE_UNITS)]
-        lines = [line for line in lines if not _UNSURE.search("".join([units[i].decode() for i in line]))]
-        codes = [b"".join([units[i] for i in line]) for line in lines]
-        both = t.encode([c.decode() for c in codes]) if lines else ([], [])
+        texts = [b"".join([units[i] for i in line]).decode() for line in lines]
+        sound = [x.isascii() or not _UNSURE.search(x) for x in texts]
+        lines, texts = list(compress(lines, sound)), list(compress(texts, sound))
+        codes = [x.encode() for x in texts]
+        both = t.encode(texts) if lines else ([], [])
         good, single = np.ones(len(units), bool), set(range(len(units))).difference(*lines)
         order: list[int] = []
         ids: tuple[list, list] = ([], [])
         for line, code, *own in zip(lines, codes, *both, strict=True):
-            ends, fit = np.cumsum([len(units[i]) for i in line]), True
+            ends, fit = np.cumsum([*map(len, map(units.__getitem__, line))]), True
             for x, table, length in zip(own, (t.bytes_a, t.bytes_b), lengths, strict=True):
                 to = np.cumsum(length[x])
                 fit = fit and b"".join(map(table.__getitem__, x)) == code and bool((to[np.searchsorted(to, ends)] == ends).all())
@@ -177,47 +222,43 @@ class Units:
     def learn(self, units: list[bytes]) -> None:
         good, use, flat_a, flat_b = self.encoded(units)
         size = np.cumsum([len(units[i]) for i in use.tolist()], dtype=np.int64)
-        n, numbers, groups = len(units), np.zeros((len(units), 6), np.int64), [""] * len(units)
+        n, numbers, groups, data = len(units), np.zeros((len(units), 6), np.int64), np.zeros(1, np.int64), None
         if len(use):
             ends_a, ends_b = (bitset(np.cumsum(length[ids]), int(size[-1]) + 1) for length, ids in ((self.len_a, flat_a), (self.len_b, flat_b)))
             cuts = selected(ends_a & ends_b)
             to_a, to_b = ranks(ends_a, cuts), ranks(ends_b, cuts)
             in_a, in_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
-            owner = use[np.searchsorted(size, cuts)]
+            stop = np.searchsorted(cuts, size, side="right")
+            first = np.concatenate(([0], stop[:-1]))
+            owner = np.repeat(use, stop - first)
             group = np.arange(len(cuts))
-            own, pair, links = expanded(np.repeat(group, in_a), flat_a, np.repeat(group, in_b), flat_b, self.n_b, owner)
-            own, pair, links = self._merged(own, pair, links)
+            group_a, group_b = np.repeat(group, in_a), np.repeat(group, in_b)
+            own, pair, links = merged(*expanded(group_a, flat_a, group_b, flat_b, self.n_b, owner))
             for c, v in enumerate((in_a, in_b, np.ones_like(in_a), in_a * in_b)):
-                np.add.at(numbers[:, c], owner, v)
+                numbers[use, c] = np.add.reduceat(v, first)
             numbers[:, 5] = np.bincount(own, minlength=n)
             self.pairs, self.links = np.concatenate((self.pairs, pair)), np.concatenate((self.links, links))
-            dec_a, dec_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-            ends = zip([0, *to_a[:-1].tolist()], to_a.tolist(), [0, *to_b[:-1].tolist()], to_b.tolist(), strict=True)
-            said = [f"{dec_a[i]}|{dec_b[k]}" if j - i == m - k == 1 else f"{','.join(dec_a[i:j])}|{','.join(dec_b[k:m])}" for i, j, k, m in ends]
-            stop = np.searchsorted(cuts, size, side="right").tolist()
-            for i, low, high in zip(use.tolist(), [0, *stop[:-1]], stop, strict=True):
-                groups[i] = ";".join(said[low:high])
+            code = np.zeros(len(flat_a) + len(flat_b), np.int64)  # of each group the ids of A, then those of B
+            in_order = np.arange(len(flat_a))
+            code[in_order + (to_b - in_b)[group_a]] = 2 * flat_a + (in_order == to_a[group_a] - 1)
+            in_order = np.arange(len(flat_b))
+            code[in_order + to_a[group_b]] = 2 * (self.n_a + flat_b) + (in_order == to_b[group_b] - 1)
+            said = self.said.take(pa.array(code))
+            groups, data = _offsets(said)[np.concatenate(([0], (to_a + to_b)[stop - 1]))], said.buffers()[2]
         numbers[:, 4] = good
-        at = len(self.groups)
-        self.index.update(zip(units, range(at, at + n), strict=True))
-        self.groups += groups
-        self.numbers = np.concatenate((self.numbers, numbers))
-        self.held += UNIT_BYTES * n + sum(map(len, units)) + sum(map(len, groups)) + 16 * int(numbers[:, 5].sum())
-
-    @staticmethod
-    def _merged(own: np.ndarray, pair: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.lexsort((pair, own))
-        own, pair, links = own[order], pair[order], links[order]
-        if not len(own):
-            return own, pair, links
-        first = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (pair[1:] != pair[:-1]))))
-        return own[first], pair[first], np.add.reduceat(links, first)
-
-    def cut(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        place = np.full(n, len(use))
+        place[use] = np.arange(len(use))
+        own = _strings(np.append(groups, groups[-1]), data).take(pa.array(place))
+        new = pa.array(units, pa.large_binary())
+        self.known, self.groups = pa.concat_arrays([self.known, new]), pa.concat_arrays([self.groups, own])
+        self.numbers, self.met = np.concatenate((self.numbers, numbers)), np.concatenate((self.met, np.zeros(n, np.int64)))
+        self.held += UNIT_BYTES * n + sum(map(len, units)) + int(_offsets(own)[-1]) + 16 * int(numbers[:, 5].sum())
+
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The units of texts, a space put before each, and the n+1 offsets of each text's units; null and empty texts have none."""
         data, offsets = column_bytes(texts)
         if not len(data):
-            return [], np.zeros(len(offsets), np.int64)
+            return self.known[:0], np.zeros(len(offsets), np.int64)
         inner = _CUT[data]
         inner[1:] &= ~_BLANK[data[:-1]]
         starts = offsets[:-1][np.diff(offsets) > 0]
@@ -228,28 +269,28 @@ class Units:
             for i, t in enumerate(texts.to_pylist()):
                 if t and _UNSURE.search(t):
                     inner[offsets[i] : offsets[i + 1]] = False
-        marks = np.sort(np.concatenate((np.flatnonzero(inner), starts, starts)), kind="stable")
-        value = np.full(len(marks), _MARK, np.uint8)
-        value[np.searchsorted(marks, starts, side="right") - 1] = 32  # at a text's start: a mark and then a space
-        units = np.insert(data, marks, value).tobytes().split(b"\xff")[1:]
         heads = np.sort(np.concatenate((np.flatnonzero(inner), starts)))
-        return units, np.searchsorted(heads, offsets)
+        ends = np.append(heads + np.searchsorted(starts, heads), len(data) + len(starts))
+        return _strings(ends, pa.py_buffer(np.insert(data, starts, 32))), np.searchsorted(heads, offsets)
 
     def __call__(self, texts: pa.Array) -> dict:
         """Columns of alignments() for texts."""
         if self.held > STORE_BYTES:
-            self.clear()
+            self.shrink()
         units, at = self.cut(texts)
-        index = self.index
-        fresh = list({u for u in set(units) if u not in index})
+        coded = units.dictionary_encode()
+        found = pc.index_in(coded.dictionary, value_set=self.known)
+        place = found.fill_null(-1).to_numpy().astype(np.int64)
+        fresh = coded.dictionary.filter(found.is_null()).to_pylist()
+        place[place < 0] = len(self.known) + np.arange(len(fresh))
         size, lo = 0, 0
         for hi, u in enumerate(fresh, 1):  # in parts, so that what is built at once is bounded
             size += len(u)
             if size > PAIRS_AT_ONCE or hi == len(fresh):
                 self.learn(fresh[lo:hi])
                 size, lo = 0, hi
-        which = list(map(index.__getitem__, units))
-        ids = np.array(which, np.int64)
+        self.met[place] += 1
+        ids = place[coded.indices.to_numpy()]
         doc = np.repeat(np.arange(len(texts)), np.diff(at))
         bad = np.zeros(len(texts), bool)
         bad[doc[self.numbers[ids, 4] == 0]] = True
@@ -257,16 +298,17 @@ class Units:
         np.cumsum(self.numbers[ids, :4], axis=0, out=run[1:])
         sums = run[at[1:]] - run[at[:-1]]
         sums[bad] = 0
-        before = np.cumsum(self.numbers[:, 5]) - self.numbers[:, 5]
         kept = ~bad[doc]
         ids, doc = ids[kept], doc[kept]
-        n = self.numbers[ids, 5]
-        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(before[ids], n)
-        own, pair, links = self._merged(np.repeat(doc, n), self.pairs[place], self.links[place])
+        said = self.groups.take(pa.array(ids))
+        ends = _offsets(said)[np.searchsorted(doc, np.arange(len(texts) + 1))]
+        groups = pc.ascii_rtrim(_strings(ends, said.buffers()[2], pa.large_string()), characters=";").cast(pa.string())
+        doc, ids, times = merged(doc, ids, np.ones(len(ids), np.int64))
+        n, place = self.numbers[ids, 5], self.of_units(ids)
+        own, pair, links = merged(np.repeat(doc, n), self.pairs[place], self.links[place] * np.repeat(times, n))
         ends = np.searchsorted(own, np.arange(len(texts) + 1)).tolist()
-        groups = ["" if b else ";".join(map(self.groups.__getitem__, which[i:j])) for b, i, j in zip(bad.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
         packed = [planes(pair[i:j], links[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
-        return {"n_a": pa.array(sums[:, 0]), "n_b": pa.array(sums[:, 1]), "n_groups": pa.array(sums[:, 2]), "n_links": pa.array(sums[:, 3]), "groups": pa.array(groups, pa.string()), "links": pa.array(packed, pa.binary())}
+        return {"n_a": pa.array(sums[:, 0]), "n_b": pa.array(sums[:, 1]), "n_groups": pa.array(sums[:, 2]), "n_links": pa.array(sums[:, 3]), "groups": groups, "links": pa.array(packed, pa.binary())}
 
 
 def planes(pair: np.ndarray, links: np.ndarray) -> bytes:

@@ -177,3 +177,23 @@ def test_units_are_encoded_by_lines():
         alone.clear()
         alone.learn([u])
         assert alone.groups[0] == many.groups[i] and (alone.numbers[0] == many.numbers[i]).all(), u
+
+
+def test_a_full_store_keeps_what_many_batches_have(monkeypatch):
+    """Units of every batch are encoded once, however many others pass; what is kept stays bounded, and rows are those of a store that holds all."""
+    monkeypatch.setattr(token_alignment, "STORE_BYTES", 60_000)
+    units, whole, asked = token_alignment.Units(A, B), token_alignment.Units(A, B), []
+    encoded = units.encoded
+    units.encoded = lambda fresh: (asked.extend(fresh), encoded(fresh))[1]
+    common = [f"often{chr(97 + i)}" for i in range(20)]
+    for batch in range(12):
+        texts = pa.array([" ".join([*common, *(f"x{batch}y{i}é" for i in range(150))]), None, "", " ".join(common)])
+        got = units(texts)
+        monkeypatch.setattr(token_alignment, "STORE_BYTES", 1 << 30)
+        want = whole(texts)
+        monkeypatch.setattr(token_alignment, "STORE_BYTES", 60_000)
+        assert all(got[c].equals(want[c]) for c in want)
+        assert units.held == units.sizes().sum() < 150_000
+    assert {Counter(asked)[f" {w}".encode()] for w in common} == {1} and len(units.known) < len(whole.known)
+    nothing = units(pa.array([None, ""], pa.string()))
+    assert nothing["groups"].to_pylist() == ["", ""] and nothing["n_a"].to_pylist() == [0, 0]
