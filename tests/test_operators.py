@@ -232,3 +232,14 @@ def test_mixtures_normalise_before_they_restrict(spark):
     got = {r.cell_id: r.weight for r in spatial.feature_mixture(f, {"a": 1.0, "b": 1.0}, spark.createDataFrame([(1,), (2,)], "cell_id long")).collect()}
     assert got == {1: pytest.approx(0.75 / 1.5), 2: pytest.approx(0.75 / 1.5)}
     assert math.isclose(sum(got.values()), 1.0)
+
+
+def test_snap_takes_the_exactly_nearest_node(spark):
+    """Nodes a rounding error nearer than others win whatever their ids; crowded and lonely points, and many nodes in one place."""
+    rng = random.Random(6)
+    nodes = [(5, 100.01 - 1e-10, 0.0), (2, 99.99, 0.0), (9, 500.0, 40.0), (7, 500.0, 40.0), (1, 640.0, 40.0)] + [(10 + k, round(rng.uniform(0, 90), 2), round(rng.uniform(0, 9), 2)) for k in range(400)]
+    points = [(1, 100.0, 0.0), (2, 500.0, 41.0), (3, 570.0, 40.0), (4, 790.0, 40.0), (5, 790.1, 40.0), (6, None, 1.0)] + [(10 + k, round(rng.uniform(-50, 200), 2), round(rng.uniform(-40, 30), 2)) for k in range(300)]
+    rows = lambda x, c: spark.createDataFrame(x, f"{c} long, x double, y double").repartition(3)
+    got = {r.point_id: (r.distance, r.node_id) for r in spatial.snap(rows(points, "point_id"), rows(nodes, "node_id"), 150.0).collect()}
+    best = {p: min((math.sqrt((x - a) ** 2 + (y - b) ** 2), n) for n, a, b in nodes) for p, x, y in points if x is not None}
+    assert got == {p: b for p, b in best.items() if b[0] <= 150.0} and 5 not in got and got[2][1] == 7
