@@ -67,7 +67,7 @@ def _simulation(spark, d, what):
     tasks = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("replication_id"), F.format_string("t%06d", "o_orderkey").alias("task_id"), (F.col("o_orderkey") % 3600).cast("double").alias("release"), (F.col("o_custkey") % 500).cast("double").alias("place"), (60 + F.col("o_orderkey") % 60).cast("double").alias("duration"), F.lit(1.0).alias("quantity"))
     shift = F.col("s_suppkey") % 180 * 10
     s = table(spark, d, "supplier").select(F.format_string("v%03d", "s_suppkey").alias("vehicle_id"), shift.cast("double").alias("start_s"), (F.lit(4000) - shift).cast("double").alias("end_s"), (F.col("s_suppkey") * 37 % 500).cast("double").alias("place"), F.lit(30.0).alias("capacity"))
-    return kernel.simulate(tasks, s.crossJoin(F.broadcast(tasks.select("replication_id").distinct())), 3600.0, what)
+    return kernel.simulate(tasks, s, 3600.0, what)
 
 
 @query()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -243,3 +244,25 @@ def test_snap_takes_the_exactly_nearest_node(spark):
     got = {r.point_id: (r.distance, r.node_id) for r in spatial.snap(rows(points, "point_id"), rows(nodes, "node_id"), 150.0).collect()}
     best = {p: min((math.sqrt((x - a) ** 2 + (y - b) ** 2), n) for n, a, b in nodes) for p, x, y in points if x is not None}
     assert got == {p: b for p, b in best.items() if b[0] <= 150.0} and 5 not in got and got[2][1] == 7
+
+
+def test_one_fleet_serves_every_replication(spark):
+    """As with the fleet given to each replication; a replication's run doesn't go on from another's."""
+    rng = random.Random(8)
+    tasks = [(f"r{k % 5}", f"t{k:03d}", float(rng.randrange(-5, 80)), float(rng.randrange(40)), float(rng.randrange(20)), 1.0) for k in range(200)]
+    fleet = [(f"v{k}", float(rng.randrange(40)), float(rng.randrange(50, 120)), float(rng.randrange(40)), float(rng.randrange(1, 9))) for k in range(12)]
+    t = spark.createDataFrame(tasks, "replication_id string, task_id string, release double, place double, duration double, quantity double").repartition(3)
+    v = spark.createDataFrame(fleet, "vehicle_id string, start_s double, end_s double, place double, capacity double")
+    for what in ("events", "outcomes"):
+        each, one = (sorted(map(tuple, kernel.simulate(t, x, 90.0, what).collect()), key=repr) for x in (v.crossJoin(t.select("replication_id").distinct()), v))
+        assert each == one and len({r[0] for r in one}) == 5
+
+
+def test_a_crowd_of_vehicles_stays_cheap():
+    """A hundred thousand vehicles enter and leave in seconds: each is put in among those of its place alone."""
+    fleet = {f"v{k:06d}": kernel.Vehicle(f"v{k:06d}", float(k % 300), float(400 + k % 300), float(k * 37 % 500), 9.0) for k in range(100_000)}
+    tasks = {f"t{k}": {"task_id": f"t{k}", "release": float(k % 600), "place": float(k * 7 % 500), "duration": 5.0, "quantity": 1.0} for k in range(3000)}
+    run = kernel.Run(1000.0, tasks, fleet)
+    begin = time.process_time()
+    run.go()
+    assert time.process_time() - begin < 5 and sum(e[2] in ("entry", "exit") for e in run.events) == 200_000
